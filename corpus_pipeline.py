@@ -2,19 +2,56 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup
+from plumbline.llm import bpe, exact_dedup, mixing, quality, simhash
 from plumbline.session import ensure_checkpoint_dir, table
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: exact_dedup.drop_exact_copies(docs))]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs.select(*COLUMNS), model, keep_columns=True).where("keep").select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_exact_copies(docs.select(*COLUMNS))
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.drop_near_copies(docs.select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources replicated towards equal weight, in shuffled order."""
+    return mixing.mix_sources(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of ids and decoded bytes."""
+    return bpe.encode_texts(docs, id_cols=["doc_id", "source"], keep_ids=True)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE encoding and decoding", encode),
+]
+
+#: Regression, fingerprints and byte-pair merges have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each reads what the one before wrote to the shared folder."""
-    import uuid
-
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")

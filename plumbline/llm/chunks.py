@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from plumbline.llm.texts import map_rows, pieces_of, strings
+from plumbline.llm.texts import map_arrow, map_rows, pieces_of, strings
 from plumbline.session import cut
 
 CHUNK = 16384
@@ -229,7 +229,7 @@ def _splice(parts: DataFrame, make_total, schema: str, names: list[str]) -> Data
         if rows:
             yield _batch(rows, target)
 
-    return ordered.mapInArrow(run, out_schema)
+    return map_arrow(ordered, run, out_schema)
 
 
 def _batch(rows: list, target: pa.Schema) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.texts import map_rows, raw
+from plumbline.llm.texts import map_arrow, map_rows, raw
 from plumbline.session import cut
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -82,12 +82,12 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 def merge_tree(rows: DataFrame, n_leaves: int = 256, fan_in: int = 16) -> DataFrame:
     """One row per digest (digest, n_bytes, best, n) from rows (leaf, digest, n_bytes, best, n)."""
     runs = rows.select("leaf", "digest", "n_bytes", "best", "n")
-    runs = runs.sortWithinPartitions("leaf", "digest").mapInArrow(_fold, RUN)
+    runs = map_arrow(runs.sortWithinPartitions("leaf", "digest"), _fold, RUN)
     width = n_leaves
     while width > 1:
         width = -(-width // fan_in)
         runs = runs.withColumn("leaf", F.floor(F.col("leaf") / fan_in).cast("int"))
-        runs = runs.repartition("leaf", "digest").sortWithinPartitions("leaf", "digest").mapInArrow(_fold, RUN)
+        runs = map_arrow(runs.repartition("leaf", "digest").sortWithinPartitions("leaf", "digest"), _fold, RUN)
     return runs.drop("leaf")
 
 

@@ -5,10 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact_dedup, simhash, token_counts
+from plumbline.llm import ann, bpe, exact_dedup, mixing, pii, quality, secrets, simhash, token_counts, url_filter
 from plumbline.session import table
 
+#: Key of the surrogates in the registered query; a deployment passes its own.
+PII_KEY = "registered query"
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+
+    def joined(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("crf")
+    )
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = url_filter.judge_urls(pages, url_filter.unigram_counts(pages))
+    return judged.withColumn("words", F.concat_ws(" ", "words"))
+
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
@@ -18,6 +52,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.replace_entities(table(spark, sf_dir, "documents"), PII_KEY)
+    return made.select("doc_id", "text", "n_entities", *[f"n_{t}" for t in pii.TYPES])
+
+
+def op8_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(ann.build_index(rows), rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -27,12 +71,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_byte_bpe, op6_exact_dedup, op9_simhash_near_dedup, op10_token_counts)
-}
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_quality_classifier, op3_poisson_mixing, op4_url_filter, op5_byte_bpe,
+        op6_exact_dedup, op7_pii_surrogates, op8_rotated_codes, op9_simhash_near_dedup, op10_token_counts,
+    )
+}
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op3_poisson_mixing": mixing.mix_sql(),
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {ASCII_LOWER} AS low FROM documents),
         g AS (SELECT low, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY low)

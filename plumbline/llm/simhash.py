@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.texts import map_rows, raw
+from plumbline.llm.texts import map_arrow, map_rows, raw
 from plumbline.operators.components import connected_components
 from plumbline.session import cut
 
@@ -175,7 +175,7 @@ def links(classes: DataFrame, radius: int = 3, block: int = 2048) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["src", "dst"])
 
-    return work.mapInArrow(compare, "src long, dst long")
+    return map_arrow(work, compare, "src long, dst long")
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from plumbline.session import ship
+
 
 def strings(column: pa.Array) -> list[str]:
     """Python strings of an Arrow string column; null becomes the empty text."""
@@ -38,6 +40,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[s
                     schema=target,
                 )
 
+    return map_arrow(df, run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose workers have this package."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
