@@ -3,15 +3,25 @@
 A fingerprint has bit b set when more than half of a text's shingles have it
 set in their XXH64. Distinct fingerprints, not documents, are compared: copies
 with one fingerprint are one class from the start. The classes are laid out in
-tiles by the population counts of the fingerprint's four 16-bit quarters. Two
-fingerprints at Hamming distance d have quarter counts that differ by at most d
-in sum, so tile pairs beyond the radius are skipped without loss; all others
-are compared in full with numpy exclusive-or and bit counts. Large tiles are
-split into blocks of bounded size, and a task holds two blocks at a time.
-
-Each comparison emits a spanning star of the links it found, never all pairs:
-components are unchanged, and a group of n near copies gives O(n) links for
-each tile pair. Components come from joins over those links.
+tiles by the population counts of the fingerprint's segments. Two fingerprints
+at Hamming distance d have segment counts that differ by at most d in sum, so
+tile pairs beyond the radius are skipped without loss; all others are compared
+in full with numpy exclusive-or and bit counts. For small radii four segments
+of 16 bits skip most pairs, for larger ones the whole count is one segment.
+Large tiles are split into blocks, and a task holds two blocks at a time; from
+GRID * BLOCK fingerprints on blocks grow with the table, so that each
+fingerprint is sent out at most about GRID times. The comparisons themselves
+grow with the square of the number of distinct fingerprints in tiles within
+reach, which is what an exact comparison costs.
+
+Links are emitted as minimum spanning forests, never all pairs of a group:
+components are unchanged, and n near copies give O(n) links for a tile pair.
+Components come from joins over those links.
+
+`near_components` links by the fingerprints alone. `drop_near_copies` takes
+fingerprints within a wider radius as candidates and links those whose sets of
+shingles have a Jaccard similarity of `similarity` or more, computed on the
+whole texts.
 """
 
 from __future__ import annotations
@@ -22,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.texts import map_arrow, map_rows, raw
@@ -30,8 +40,9 @@ from plumbline.operators.components import connected_components
 from plumbline.session import cut
 
 SEED = 42
-QUARTERS = 4
-QUARTER_BITS = 16
+BLOCK = 2048
+GRID = 512
+SPARSE = 4
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -49,7 +60,11 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     """Signed 64-bit fingerprint; a text without words has 0."""
-    hashes = shingle_hashes(text.lower(), words)
+    return majority(shingle_hashes(text.lower(), words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number."""
     n = len(hashes)
     if not n:
         return 0
@@ -61,121 +76,181 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; null text counts as empty."""
+    """(doc_id, fp, size) for every row; size: distinct shingles. Null text counts as empty."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            hashed = [shingle_hashes(x.lower(), words) for x in raw(batch.column(1))]
+            return {"doc_id": batch.column(0), "fp": [majority(h) for h in hashed], "size": [len(np.unique(h)) for h in hashed]}
+
+        return work
+
+    return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, fp long, size int")
+
+
+def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, shingles): the distinct shingle hashes of every row."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column(0), "fp": [fingerprint(x, words) for x in raw(batch.column(1))]}
+            hashed = [shingle_hashes(x.lower(), words) for x in raw(batch.column(1))]
+            return {"doc_id": batch.column(0), "fp": [majority(h) for h in hashed], "shingles": [np.unique(h).view(np.int64) for h in hashed]}
 
         return work
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(kept, make, "doc_id long, fp long")
+    return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, fp long, shingles array<long>")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _segment_counts(segments: int) -> list[Column]:
+    bits = 64 // segments
+    mask = F.lit((1 << bits) - 1 if bits < 64 else -1)
+    return [F.bit_count(F.shiftrightunsigned(F.col("fp"), bits * i).bitwiseAND(mask)).cast("int") for i in range(segments)]
 
 
-def _quarter_counts(fp: str = "fp"):
-    return [F.bit_count(F.shiftrightunsigned(F.col(fp), QUARTER_BITS * i).bitwiseAND(F.lit(0xFFFF))).cast("int") for i in range(QUARTERS)]
+def neighbour_offsets(radius: int, segments: int) -> list[tuple[int, ...]]:
+    """Differences of segment counts within the radius, one of each opposite pair."""
+    most = min(radius, 64 // segments)
+    zero = (0,) * segments
+    return [d for d in itertools.product(range(-most, most + 1), repeat=segments) if sum(map(abs, d)) <= radius and d >= zero]
 
 
-def _tile_of(parts) -> object:
+def tile_rows(classes: DataFrame, segments: int) -> DataFrame:
+    """(tile, block, fps, sizes): the classes packed by segment counts, a block to a row."""
+    base = 64 // segments + 1
     key = F.lit(0)
-    for p in parts:
-        key = key * (QUARTER_BITS + 1) + p
-    return key.cast("int")
-
-
-def neighbour_offsets(radius: int) -> list[tuple[int, ...]]:
-    """Differences of quarter counts within the radius, one of each opposite pair."""
-    span = range(-min(radius, QUARTER_BITS), min(radius, QUARTER_BITS) + 1)
-    zero = (0,) * QUARTERS
-    return [d for d in itertools.product(span, repeat=QUARTERS) if sum(map(abs, d)) <= radius and d >= zero]
-
-
-def _stars(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[list[int], list[int]]:
-    """Spanning stars over the links between two blocks (as unsigned arrays)."""
-    nodes = left if same else np.concatenate([left, right])
-    base = 0 if same else len(left)
-    us, vs = [], []
-    step = max(1, (1 << 22) // max(1, len(right)))
-    for start in range(0, len(left), step):
-        near = np.bitwise_count(left[start : start + step, None] ^ right[None, :]) <= radius
-        u, v = np.nonzero(near)
-        u = u + start
-        if same:
-            u, v = u[u < v], v[u < v]
-        us.append(u)
-        vs.append(v + base)
-        if sum(map(len, us)) > 1 << 22:  # fold what is there before it grows
-            us, vs = _folded(us, vs, len(nodes))
-    us, vs = _folded(us, vs, len(nodes))
-    u, v = us[0], vs[0]
-    return nodes[u].view(np.int64), nodes[v].view(np.int64)
-
-
-def _folded(us: list, vs: list, n: int) -> tuple[list, list]:
-    """Links with the same components, one for each node that isn't a root."""
-    u, v = np.concatenate(us), np.concatenate(vs)
-    label = np.arange(n)
-    while len(u):
-        low = np.minimum(label[u], label[v])
-        after = label.copy()
-        np.minimum.at(after, u, low)
-        np.minimum.at(after, v, low)
-        np.minimum.at(after, label[u], low)
-        np.minimum.at(after, label[v], low)
-        after = after[after]
-        if (after == label).all():
-            break
-        label = after
-    node = np.nonzero(label != np.arange(n))[0]
-    return [node], [label[node]]
+    for count in _segment_counts(segments):
+        key = key * base + count
+    tiled = cut(classes.select("fp", "size", key.cast("int").alias("tile")))
+    counts = tiled.groupBy("tile").count()  # at most base ** segments rows
+    n = tiled.count()
+    size = max(BLOCK, -(-n // GRID))
+    parts = tiled.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("count") / size)).cast("int"))
+    packed = parts.groupBy("tile", "block").agg(F.array_sort(F.collect_list(F.struct("fp", "size"))).alias("x"))
+    return cut(packed.select("tile", "block", F.col("x.fp").alias("fps"), F.col("x.size").alias("sizes")))
+
+
+def tile_pairs(rows: DataFrame, radius: int, segments: int) -> DataFrame:
+    """(tile, block, tile2, block2): pairs of rows within reach, each once, a row with itself included."""
+    base = 64 // segments + 1
+    keys = rows.select("tile", "block")
+    digits = F.array(*(F.pmod(F.floor(F.col("tile") / base ** (segments - 1 - i)), F.lit(base)).cast("int") for i in range(segments)))
+    offsets = F.array(*(F.array(*map(F.lit, d)) for d in neighbour_offsets(radius, segments)))
+    near = keys.withColumn("digits", digits).withColumn("d", F.explode(offsets)).withColumn("to", F.zip_with("digits", "d", lambda a, b: a + b))
+    near = near.where(~F.exists("to", lambda x: (x < 0) | (x >= base)))
+    other = F.aggregate("to", F.lit(0), lambda a, x: a * base + x)
+    pairs = near.select("tile", "block", other.alias("tile2")).join(keys.select(F.col("tile").alias("tile2"), F.col("block").alias("block2")), "tile2")
+    return pairs.where((F.col("tile") != F.col("tile2")) | (F.col("block") <= F.col("block2"))).select("tile", "block", "tile2", "block2")
 
 
-def links(classes: DataFrame, radius: int = 3, block: int = 2048) -> DataFrame:
-    """(src, dst): links among distinct fingerprints `fp` whose closure is that of all links.
+EDGES = "src long, dst long, tile int, block int, tile2 int, block2 int, whole boolean"
 
-    Every pair of fingerprints at Hamming distance `radius` or less is compared.
-    `block` bounds the fingerprints a row of a tile holds.
+
+def compare(rows: DataFrame, pairs: DataFrame, radius: int, ratio: float = 0.0, roots: DataFrame | None = None) -> DataFrame:
+    """Links among the rows' fingerprints over the given tile pairs (EDGES).
+
+    A link has at most `radius` differing bits and sizes of ratio `ratio` or
+    more. Up to SPARSE links for each fingerprint a tile pair gives all of them
+    (whole), else a spanning forest with the smallest distances. With roots
+    (fp, root) only links between different roots are given, and all of them.
     """
-    parts = _quarter_counts()
-    tiled = cut(classes.select("fp", _tile_of(parts).alias("tile")))
-    largest = tiled.groupBy("tile").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-largest // block))
-    rows = tiled.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int"))
-    rows = rows.groupBy("tile", "block").agg(F.collect_list("fp").alias("fps"))
-    rows = cut(rows)
-    keys = rows.select("tile", "block")
-    base = QUARTER_BITS + 1
-    digits = [F.floor(F.col("tile") / base ** (QUARTERS - 1 - i)) % base for i in range(QUARTERS)]
-    offsets = F.array(*(F.array(*map(F.lit, d)) for d in neighbour_offsets(radius)))
-    near = keys.withColumn("digits", F.array(*(d.cast("int") for d in digits))).withColumn("d", F.explode(offsets))
-    near = near.withColumn("to", F.zip_with("digits", "d", lambda a, b: a + b))
-    near = near.where(~F.exists("to", lambda x: (x < 0) | (x > QUARTER_BITS)))
-    other = F.lit(0)
-    for i in range(QUARTERS):
-        other = other * base + F.col("to")[i]
-    near = near.select("tile", "block", other.cast("int").alias("tile2"))
-    pairs = near.join(keys.select(F.col("tile").alias("tile2"), F.col("block").alias("block2")), "tile2")
-    pairs = pairs.where((F.col("tile") != F.col("tile2")) | (F.col("block") <= F.col("block2")))
-    left = pairs.join(rows.withColumnRenamed("fps", "a"), ["tile", "block"])
-    right = rows.select(F.col("tile").alias("tile2"), F.col("block").alias("block2"), F.col("fps").alias("b"))
-    work = left.join(right, ["tile2", "block2"]).select(
-        "a", "b", ((F.col("tile") == F.col("tile2")) & (F.col("block") == F.col("block2"))).alias("same")
-    )
+    if roots is not None:
+        each = rows.select("tile", "block", F.posexplode(F.arrays_zip("fps", "sizes")).alias("at", "x"))
+        each = each.select("tile", "block", "at", F.col("x.fps").alias("fp"), F.col("x.sizes").alias("size"))
+        named = each.join(roots, "fp", "left").select("tile", "block", F.struct("at", "fp", "size", F.coalesce("root", "fp").alias("root")).alias("x"))
+        packed = named.groupBy("tile", "block").agg(F.array_sort(F.collect_list("x")).alias("x"))
+        rows = packed.select("tile", "block", F.col("x.fp").alias("fps"), F.col("x.size").alias("sizes"), F.col("x.root").alias("roots"))
+    else:
+        rows = rows.withColumn("roots", F.lit(None).cast("array<long>"))
+    side = lambda n: rows.select(*(F.col(c).alias(f"{c}{n}") for c in rows.columns))
+    left = pairs.join(side("").select("tile", "block", *(F.col(c).alias(f"{c}1") for c in ("fps", "sizes", "roots"))), ["tile", "block"])
+    work = left.join(side(2), ["tile2", "block2"]).select("tile", "block", "tile2", "block2", "fps1", "sizes1", "roots1", "fps2", "sizes2", "roots2")
+    split = roots is not None
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
             for i in range(batch.num_rows):
-                a = batch.column(0)[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                b = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                u, v = _stars(a, b, batch.column(2)[i].as_py(), radius)
-                us.append(u)
-                vs.append(v)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["src", "dst"])
-
-    return map_arrow(work, compare, "src long, dst long")
+                at = [batch.column(c)[i].as_py() for c in range(4)]
+                fps1, sizes1, roots1, fps2, sizes2, roots2 = (batch.column(c)[i].values for c in range(4, 10))
+                one, two = (x.to_numpy(zero_copy_only=False).view(np.uint64) for x in (fps1, fps2))
+                s1, s2 = (x.to_numpy(zero_copy_only=False).astype(float) for x in (sizes1, sizes2))
+                r1, r2 = (x.to_numpy(zero_copy_only=False) if split else None for x in (roots1, roots2))
+                u, v, whole = tile_links(one, two, s1, s2, r1, r2, at[:2] == at[2:], radius, ratio)
+                columns = [pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), *(pa.array(np.full(len(u), x, np.int32)) for x in at), pa.array(np.full(len(u), whole))]
+                yield pa.RecordBatch.from_arrays(columns, names=["src", "dst", "tile", "block", "tile2", "block2", "whole"])
+
+    return map_arrow(work, run, EDGES)
+
+
+def tile_links(one, two, s1, s2, r1, r2, same: bool, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(src, dst, whole) of two blocks of fingerprints (or one with itself)."""
+    base, n = (0, len(one)) if same else (len(one), len(one) + len(two))
+    us, vs, ds = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    whole, held = True, 0
+    step = max(1, (1 << 16) // max(1, len(two)))  # the temporary arrays stay in the processor's cache
+    for start in range(0, len(one), step):
+        apart = np.bitwise_count(one[start : start + step, None] ^ two[None, :])
+        u, v = np.nonzero(apart <= radius)
+        if not len(u):
+            continue
+        d = apart[u, v].astype(np.int64)
+        u = u + start
+        use = np.minimum(s1[u], s2[v]) >= ratio * np.maximum(s1[u], s2[v])
+        if same:
+            use &= u < v
+        if r1 is not None:
+            use &= r1[u] != r2[v]
+        us.append(u[use])
+        vs.append(v[use] + base)
+        ds.append(d[use])
+        held += len(us[-1])
+        if r1 is None and held > SPARSE * n:
+            whole = False
+        if not whole and held > 1 << 20:
+            us, vs, ds = ([x] for x in forest(np.concatenate(us), np.concatenate(vs), np.concatenate(ds), n))
+            held = len(us[0])
+    u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
+    if not whole:
+        u, v, d = forest(u, v, d, n)
+    nodes = one if same else np.concatenate([one, two])
+    return nodes[u], nodes[v], whole
+
+
+def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the links: every component takes its nearest link out, again and again."""
+    label, taken = np.arange(n), []
+    live = np.arange(len(u))
+    while True:
+        live = live[label[u[live]] != label[v[live]]]
+        if not len(live):
+            break
+        ends = np.concatenate([label[u[live]], label[v[live]]])
+        edge = np.concatenate([live, live])
+        order = np.lexsort((edge, d[edge], ends))
+        first = np.r_[True, np.diff(ends[order]) != 0]
+        chosen = np.unique(edge[order][first])
+        taken.append(chosen)
+        while True:
+            low = np.minimum(label[u[chosen]], label[v[chosen]])
+            after = label.copy()
+            for x in (u[chosen], v[chosen], label[u[chosen]], label[v[chosen]]):
+                np.minimum.at(after, x, low)
+            after = after[after]
+            if (after == label).all():
+                break
+            label = after
+    picked = np.concatenate(taken) if taken else np.empty(0, np.int64)
+    return u[picked], v[picked], d[picked]
+
+
+def links(classes: DataFrame, radius: int = 3) -> DataFrame:
+    """(src, dst): links among distinct fingerprints with the components of all links within the radius."""
+    segments = 4 if radius <= 4 else 1
+    rows = tile_rows(classes, segments)
+    return compare(rows, tile_pairs(rows, radius, segments), radius).select("src", "dst")
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +264,7 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     Repeated rows stay repeated. Other columns are ignored.
     """
     rows = cut(fingerprints(docs, words, id_col, text_col))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("size").alias("size")))
     roots = connected_components(links(classes, radius))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("root")
@@ -200,16 +275,64 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id.
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """The pairs (src, dst) whose representatives' shingle sets have the similarity.
+
+    Only texts that some pair needs are read for their sets; their ids are
+    broadcast up to `broadcast_rows` and joined by shuffle beyond.
+    """
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    needed = cut(classes.join(ends, "fp").select("fp", F.col("low").alias("doc_id")))
+    ids = needed.select(F.col("doc_id").alias("__need")).distinct()
+    ids = F.broadcast(ids) if needed.count() <= broadcast_rows else ids
+    sets = shingle_sets(docs.join(ids, docs[id_col].cast("long") == F.col("__need"), "left_semi"), words, id_col, text_col)
+    sets = sets.join(needed, ["fp", "doc_id"]).groupBy("fp").agg(F.first("shingles").alias("s"))
+    sets = cut(sets)
+    both = pairs.join(sets.select(F.col("fp").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("s").alias("b")), "dst")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id for every row with an id: near copies by shingle sets.
+
+    Candidates are fingerprints within `radius` whose numbers of shingles allow
+    the similarity; a candidate is a link when the whole texts' sets of shingles
+    have it. Texts with one fingerprint are linked; a class of them is compared
+    by its smallest id's text. Where a tile pair is too dense to give all its
+    candidates, its spanning forest is verified first and then every candidate
+    that still lies between different components, so no link is lost.
+    """
+    rows = cut(fingerprints(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min_by("size", "doc_id").alias("size")))
+    tiles = tile_rows(classes, 1)
+    pairs = tile_pairs(tiles, radius, 1)
+    found = cut(compare(tiles, pairs, radius, similarity))
+    candidates = found.select("src", "dst").distinct()
+    good = cut(verified(candidates, classes, docs, words, similarity, id_col, text_col))
+    roots = connected_components(good)
+    dense = found.where("not whole").select("tile", "block", "tile2", "block2").distinct()
+    if not dense.isEmpty():
+        named = roots.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+        more = cut(compare(tiles, dense, radius, similarity, named)).select("src", "dst").join(candidates, ["src", "dst"], "left_anti").distinct()
+        more = verified(cut(more), classes, docs, words, similarity, id_col, text_col)
+        roots = connected_components(good.union(more))
+    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    named = cut(named)
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    ids = named.join(lows, "root").select("fp", "component_id")
+    return rows.join(ids, "fp").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies: the one with the smallest id.
 
-    Of repeated rows with that id one is left. Rows with a null id stay only
-    where their component has no id at all, one row for each text.
+    Rows without an id are not compared and stay. Of rows that repeat the id
+    that stays, one of each text is left.
     """
-    found = cut(near_components(docs, words, radius, id_col, text_col))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("__keep_id")).distinct()
-    out = docs.join(ids, docs[id_col].eqNullSafe(F.col("__keep_id")), "left_semi")
+    found = cut(similar_components(docs, words, similarity, radius, id_col, text_col))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    out = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
-    return out.dropDuplicates([id_col, text_col]) if kept.where("doc_id is null").count() else out.dropDuplicates([id_col])
+    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(out.where(F.col(id_col).isNull()))
