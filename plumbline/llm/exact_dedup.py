@@ -122,12 +122,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = cut(exact_groups(docs, id_col, text_col))
     kept = groups.where("kept")
     sums = groups.agg(F.count_if("kept").alias("rows"), F.count_distinct("text_sha256").alias("groups")).first()
-    key = kept.select(F.col("doc_id").alias("__keep_id"))
+    key = kept.select("doc_id")
     if sums["rows"] == sums["groups"] and kept.where("doc_id is null").isEmpty() and groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(key, docs[id_col] == F.col("__keep_id"), "left_semi")
+        return docs.join(key, docs[id_col] == key["doc_id"], "left_semi")
     # Repeated ids: the text's digest tells which of an id's rows stays.
-    low = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, UPPER.lower()), 256)
-    marked = docs.withColumn("__sha", low)
-    pairs = kept.select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha")).distinct()
-    match = marked[id_col].eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha"))
-    return marked.join(pairs, match, "left_semi").dropDuplicates(["__sha"]).drop("__sha")
+    low = F.sha2(F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), UPPER, UPPER.lower()), 256)
+    marked = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), low.alias("sha"))
+    pairs = kept.select("doc_id", "text_sha256").distinct()
+    match = marked["id"].eqNullSafe(pairs["doc_id"]) & (marked["sha"] == pairs["text_sha256"])
+    return marked.join(pairs, match, "left_semi").dropDuplicates(["sha"]).select("row.*")

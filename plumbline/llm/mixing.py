@@ -36,7 +36,7 @@ def source_rates(docs: DataFrame, targets: dict[str, float] | None, total: float
     sums = weighted.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
     whole, size = sums["w"] or 0.0, float(total if total is not None else sums["n"] or 0)
     rate = F.lit(0.0) if not whole else F.col("w") / F.lit(whole) * F.lit(size) / F.col("n").cast("double")
-    return weighted.select("__source", rate.alias("rate")), sums["k"]
+    return weighted.select(F.col("__source"), rate.alias("rate")), sums["k"]
 
 
 def with_distribution(rates: DataFrame) -> DataFrame:
@@ -73,26 +73,31 @@ def mix_sources(
 
     total is the expected number of rows of the mix (default: as many as docs
     has). A null id hashes like an empty one and a null source is a source of
-    its own; rows that repeat an id are replicated alike, each by itself. docs
-    must not have columns copy or shuffle_key. An empty table gives an empty
-    result. Up to `broadcast_sources` sources (a few hundred bytes each) their
+    its own; rows that repeat an id are replicated alike, each by itself.
+    Columns copy and shuffle_key of docs give way to the new ones. An empty
+    table gives an empty result. Up to `broadcast_sources` sources (a few hundred bytes each) their
     rates are broadcast, beyond that they are joined by source and salt, so
     that a source with a third of all rows is spread.
     """
     rates, n_sources = source_rates(docs, targets, total, temperature, source_col)
     rates = with_distribution(rates)
-    rows = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    own = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    # The row travels as one column, so that none of its names can clash with those made here.
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(docs[c] for c in own)).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), source.alias("__source"))
     if n_sources <= broadcast_sources:
         rated = rows.join(F.broadcast(rates), "__source")
     else:
         salts = 64
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rated = rows.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(salted, ["__source", "__salt"]).drop("__salt")
-    drawn = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(key, F.lit(str(seed)), i.cast("string")))))
-    counted = rated.withColumn("__n", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).where("__n > 0")
-    copies = counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("/", key, F.col("copy").cast("string"), F.lit(f"{seed} shuffle"))))
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rated = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(salted, ["__source", "salt"])
+    drawn = F.transform(
+        F.sequence(F.lit(1), F.col("parts")), lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(F.col("key"), F.lit(str(seed)), i.cast("string"))))
+    )
+    counted = rated.withColumn("n", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).where("n > 0")
+    copies = counted.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    shuffle_key = F.md5(F.concat_ws("/", "key", F.col("copy").cast("string"), F.lit(f"{seed} shuffle")))
+    keyed = copies.select("row.*", "copy", shuffle_key.alias("shuffle_key"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

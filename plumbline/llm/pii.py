@@ -213,31 +213,35 @@ def is_type(name: str) -> Callable[[Column], Column]:
     return lambda kind: F.coalesce(kind == name, F.lit(False))
 
 
-def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 10_000) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text", broadcast_rows: int = 10_000) -> DataFrame:
     """docs' columns with entities of the text replaced, n_entities and n_<type> for each type.
 
     Texts without entities are unchanged; null stays null. Equal entities get
     equal surrogates in all rows, different ones different surrogates. Rows
     that repeat an id are treated each by itself, and an empty table gives an
-    empty result. docs must not have the new columns. `key` is secret: who has
+    empty result. Columns of docs with the new names give way to them. `key` is secret: who has
     it can test guesses. Texts are rewritten where they are read; entities that
     need a later attempt are broadcast if they are at most `broadcast_rows`,
     else joined to the ids of the texts that hold them.
     """
-    text = F.col(text_col).cast("string")
     rare = clashes(docs, key, text_col)
     n_rare = rare.limit(broadcast_rows + 1).count()
-    rows = docs.withColumn("__m", matches(text)).withColumn("__p", F.transform("__m", parts_of))
+    new = {"n_entities", *(f"n_{t}" for t in TYPES)}
+    own = [c for c in docs.columns if c.lower() not in new]
+    # The row travels as one column, so that none of its names can clash with those made here.
+    rows = docs.select(F.struct(*(docs[c] for c in own)).alias("row"), docs[text_col].cast("string").alias("text"))
+    rows = rows.withColumn("m", matches(F.col("text"))).withColumn("p", F.transform("m", parts_of))
     lookup = F.lit(None).cast("map<string,int>")
     if n_rare and n_rare <= broadcast_rows:
         known = {f"{r['kind']}:{r['canon']}": r["attempt"] for r in rare.toLocalIterator()}
         lookup = F.from_json(F.lit(json.dumps(known)), "map<string,int>")
     elif n_rare:
         # By the text's digest, so that equal texts share one row and ids may repeat or be null.
-        rows = rows.withColumn("__sha", F.sha2(text, 256))
-        held = rows.where(F.size("__m") > 0).select("__sha", F.explode(F.flatten("__p")).alias("p")).select("__sha", "p.kind", "p.canon").distinct()
-        maps = held.join(rare, ["kind", "canon"]).groupBy("__sha").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "canon"), "attempt"))).alias("__known"))
-        rows, lookup = rows.join(maps, "__sha", "left"), F.col("__known")
+        rows = rows.withColumn("sha", F.sha2("text", 256))
+        held = rows.where(F.size("m") > 0).select("sha", F.explode(F.flatten("p")).alias("e")).select("sha", "e.kind", "e.canon").distinct()
+        entries = F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "canon"), "attempt")))
+        rows = rows.join(held.join(rare, ["kind", "canon"]).groupBy("sha").agg(entries.alias("known")), "sha", "left")
+        lookup = F.col("known")
 
     def one(p: Column) -> Column:
         attempt = F.coalesce(F.element_at(lookup, F.concat(p["kind"], F.lit(":"), p["canon"])), F.lit(0))
@@ -249,11 +253,13 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         named = F.get(parts, F.lit(0))["kind"].rlike("^(given|family)")
         return F.when(F.size(parts) == 0, m).when(named, F.concat(title, F.concat_ws(" ", made))).otherwise(F.get(made, F.lit(0)))
 
-    gaps = F.split(text, ANY, -1)
-    pieces = F.zip_with(gaps, F.zip_with("__m", "__p", whole), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    first = F.transform("__p", lambda p: F.get(p, F.lit(0))["kind"])
+    gaps = F.split("text", ANY, -1)
+    pieces = F.zip_with(gaps, F.zip_with("m", "p", whole), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+    first = F.transform("p", lambda p: F.get(p, F.lit(0))["kind"])
     kinds = F.transform(first, lambda k: F.when(k.rlike("^(given|family)"), "name").otherwise(k))
-    out = rows.withColumn("__kinds", kinds).withColumn(text_col, F.when(F.size("__m") > 0, F.concat_ws("", pieces)).otherwise(text))
-    counts = [F.size(F.array_remove(F.transform("__kinds", is_type(t)), False)).cast("long").alias(f"n_{t}") for t in TYPES]
-    total = F.size(F.filter("__kinds", lambda k: k.isNotNull())).cast("long").alias("n_entities")
-    return out.select(*docs.columns, total, *counts)
+    made = F.when(F.size("m") > 0, F.concat_ws("", pieces)).otherwise(F.col("text"))
+    out = rows.withColumn("kinds", kinds).withColumn("made", made)
+    counts = [F.size(F.array_remove(F.transform("kinds", is_type(t)), False)).cast("long").alias(f"n_{t}") for t in TYPES]
+    total = F.size(F.filter("kinds", lambda k: k.isNotNull())).cast("long").alias("n_entities")
+    same = text_col.lower()
+    return out.select(*(F.col("made").alias(c) if c.lower() == same else F.col("row")[c].alias(c) for c in own), total, *counts)

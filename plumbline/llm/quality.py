@@ -156,14 +156,14 @@ def classify(docs: DataFrame, model, keep_at: float = 0.5, id_col: str = "doc_id
 
     Null and empty texts are judged by the feature of an empty text; repeated
     rows stay repeated; an empty table gives an empty result. With
-    keep_columns the rows carry docs' own columns instead of the id, and the
-    three new ones must not be among them.
+    keep_columns the rows carry docs' own columns instead of the id; columns
+    with the new names give way to them.
     """
     w, thresholds = model
     shared = docs.sparkSession.sparkContext.broadcast((w, thresholds))  # 8,192 weights, whatever the data
-    own = docs.columns if keep_columns else [id_col]
-    kept = docs.select(*[F.col(c) for c in own], F.col(text_col).cast("string").alias("__judged"))
-    names = own if keep_columns else ["doc_id"]
+    new = ("expected_grade", "p_tail", "keep")
+    names = [c for c in docs.columns if c.lower() not in new] if keep_columns else ["doc_id"]
+    kept = docs.select(*[docs[c] for c in (names if keep_columns else [id_col])], docs[text_col].cast("string").alias("__judged"))
     ddl = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, kept.schema.fields, strict=False))
 
     def make():

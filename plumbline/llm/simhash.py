@@ -236,7 +236,7 @@ def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndar
         while True:
             low = np.minimum(label[u[chosen]], label[v[chosen]])
             after = label.copy()
-            for x in (u[chosen], v[chosen], label[u[chosen]], label[v[chosen]]):
+            for x in (label[u[chosen]], label[v[chosen]]):  # whole components move, never single nodes
                 np.minimum.at(after, x, low)
             after = after[after]
             if (after == label).all():
@@ -283,9 +283,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
     needed = cut(classes.join(ends, "fp").select("fp", F.col("low").alias("doc_id")))
-    ids = needed.select(F.col("doc_id").alias("__need")).distinct()
-    ids = F.broadcast(ids) if needed.count() <= broadcast_rows else ids
-    sets = shingle_sets(docs.join(ids, docs[id_col].cast("long") == F.col("__need"), "left_semi"), words, id_col, text_col)
+    ids = needed.select("doc_id").distinct()
+    texts = _texts(docs, id_col, text_col)
+    sets = shingle_sets(texts.join(F.broadcast(ids) if needed.count() <= broadcast_rows else ids, "doc_id", "left_semi"), words)
     sets = sets.join(needed, ["fp", "doc_id"]).groupBy("fp").agg(F.first("shingles").alias("s"))
     sets = cut(sets)
     both = pairs.join(sets.select(F.col("fp").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("s").alias("b")), "dst")
@@ -331,8 +331,8 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     that stays, one of each text is left.
     """
     found = cut(similar_components(docs, words, similarity, radius, id_col, text_col))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    out = docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
     return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(out.where(F.col(id_col).isNull()))

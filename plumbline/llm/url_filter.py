@@ -99,10 +99,10 @@ class Segmenter:
 
 
 class NaiveBayes:
-    """Multinomial, with add-half smoothing; words that training never saw say nothing."""
+    """Multinomial, with add-half smoothing; words that training never saw and single letters say nothing."""
 
     def __init__(self, block=BLOCK_PHRASES, allow=ALLOW_PHRASES, prior_block: float = 0.3, smooth: float = 0.5):
-        counts = [Counter(w for p in phrases for w in p.split()) for phrases in (block, allow)]
+        counts = [Counter(w for p in phrases for w in p.split() if len(w) > 1) for phrases in (block, allow)]
         words = set(counts[0]) | set(counts[1])
         sums = [sum(c.values()) + smooth * len(words) for c in counts]
         self.bias = math.log(prior_block / (1 - prior_block))
