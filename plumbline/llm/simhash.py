@@ -26,14 +26,17 @@ whole texts.
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plumbline.llm.texts import map_arrow, map_rows, raw
 from plumbline.operators.components import connected_components
@@ -43,6 +46,7 @@ SEED = 42
 BLOCK = 2048
 GRID = 512
 SPARSE = 4
+OPEN_BLOCK = 512
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -118,19 +122,18 @@ def neighbour_offsets(radius: int, segments: int) -> list[tuple[int, ...]]:
     return [d for d in itertools.product(range(-most, most + 1), repeat=segments) if sum(map(abs, d)) <= radius and d >= zero]
 
 
-def tile_rows(classes: DataFrame, segments: int) -> DataFrame:
-    """(tile, block, fps, sizes): the classes packed by segment counts, a block to a row."""
+def tile_rows(classes: DataFrame, segments: int, block: int = BLOCK) -> DataFrame:
+    """(tile, block, xs): the classes (fp, size, ...) packed by segment counts, a block to a row."""
     base = 64 // segments + 1
     key = F.lit(0)
     for count in _segment_counts(segments):
         key = key * base + count
-    tiled = cut(classes.select("fp", "size", key.cast("int").alias("tile")))
+    tiled = cut(classes.withColumn("tile", key.cast("int")))
     counts = tiled.groupBy("tile").count()  # at most base ** segments rows
     n = tiled.count()
-    size = max(BLOCK, -(-n // GRID))
+    size = max(block, -(-n // GRID))
     parts = tiled.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("count") / size)).cast("int"))
-    packed = parts.groupBy("tile", "block").agg(F.array_sort(F.collect_list(F.struct("fp", "size"))).alias("x"))
-    return cut(packed.select("tile", "block", F.col("x.fp").alias("fps"), F.col("x.size").alias("sizes")))
+    return cut(parts.groupBy("tile", "block").agg(F.array_sort(F.collect_list(F.struct(*classes.columns))).alias("xs")))
 
 
 def tile_pairs(rows: DataFrame, radius: int, segments: int) -> DataFrame:
@@ -146,50 +149,38 @@ def tile_pairs(rows: DataFrame, radius: int, segments: int) -> DataFrame:
     return pairs.where((F.col("tile") != F.col("tile2")) | (F.col("block") <= F.col("block2"))).select("tile", "block", "tile2", "block2")
 
 
-EDGES = "src long, dst long, tile int, block int, tile2 int, block2 int, whole boolean"
+def compare(rows: DataFrame, radius: int, segments: int, work: Callable, schema: str, pairs: DataFrame | None = None) -> DataFrame:
+    """work(x, y, same, at) over tile pairs: x and y are the two rows' columns by name, at the pair's tiles and blocks."""
+    pairs = tile_pairs(rows, radius, segments) if pairs is None else pairs
+    left = pairs.join(rows.withColumnRenamed("xs", "xs1"), ["tile", "block"])
+    right = rows.select(F.col("tile").alias("tile2"), F.col("block").alias("block2"), F.col("xs").alias("xs2"))
+    both = left.join(right, ["tile2", "block2"]).select("tile", "block", "tile2", "block2", "xs1", "xs2")
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-
-def compare(rows: DataFrame, pairs: DataFrame, radius: int, ratio: float = 0.0, roots: DataFrame | None = None) -> DataFrame:
-    """Links among the rows' fingerprints over the given tile pairs (EDGES).
-
-    A link has at most `radius` differing bits and sizes of ratio `ratio` or
-    more. Up to SPARSE links for each fingerprint a tile pair gives all of them
-    (whole), else a spanning forest with the smallest distances. With roots
-    (fp, root) only links between different roots are given, and all of them.
-    """
-    if roots is not None:
-        each = rows.select("tile", "block", F.posexplode(F.arrays_zip("fps", "sizes")).alias("at", "x"))
-        each = each.select("tile", "block", "at", F.col("x.fps").alias("fp"), F.col("x.sizes").alias("size"))
-        named = each.join(roots, "fp", "left").select("tile", "block", F.struct("at", "fp", "size", F.coalesce("root", "fp").alias("root")).alias("x"))
-        packed = named.groupBy("tile", "block").agg(F.array_sort(F.collect_list("x")).alias("x"))
-        rows = packed.select("tile", "block", F.col("x.fp").alias("fps"), F.col("x.size").alias("sizes"), F.col("x.root").alias("roots"))
-    else:
-        rows = rows.withColumn("roots", F.lit(None).cast("array<long>"))
-    side = lambda n: rows.select(*(F.col(c).alias(f"{c}{n}") for c in rows.columns))
-    left = pairs.join(side("").select("tile", "block", *(F.col(c).alias(f"{c}1") for c in ("fps", "sizes", "roots"))), ["tile", "block"])
-    work = left.join(side(2), ["tile2", "block2"]).select("tile", "block", "tile2", "block2", "fps1", "sizes1", "roots1", "fps2", "sizes2", "roots2")
-    split = roots is not None
+    def columns(cell: pa.Scalar) -> dict[str, pa.Array]:
+        return dict(zip((f.name for f in cell.values.type), cell.values.flatten(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 at = [batch.column(c)[i].as_py() for c in range(4)]
-                fps1, sizes1, roots1, fps2, sizes2, roots2 = (batch.column(c)[i].values for c in range(4, 10))
-                one, two = (x.to_numpy(zero_copy_only=False).view(np.uint64) for x in (fps1, fps2))
-                s1, s2 = (x.to_numpy(zero_copy_only=False).astype(float) for x in (sizes1, sizes2))
-                r1, r2 = (x.to_numpy(zero_copy_only=False) if split else None for x in (roots1, roots2))
-                u, v, whole = tile_links(one, two, s1, s2, r1, r2, at[:2] == at[2:], radius, ratio)
-                columns = [pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), *(pa.array(np.full(len(u), x, np.int32)) for x in at), pa.array(np.full(len(u), whole))]
-                yield pa.RecordBatch.from_arrays(columns, names=["src", "dst", "tile", "block", "tile2", "block2", "whole"])
+                out = work(columns(batch.column(4)[i]), columns(batch.column(5)[i]), at[:2] == at[2:], at)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
-    return map_arrow(work, run, EDGES)
+    return map_arrow(both, run, schema)
 
 
-def tile_links(one, two, s1, s2, r1, r2, same: bool, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(src, dst, whole) of two blocks of fingerprints (or one with itself)."""
-    base, n = (0, len(one)) if same else (len(one), len(one) + len(two))
-    us, vs, ds = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    whole, held = True, 0
+def _numbers(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False)
+
+
+def near_steps(x: dict, y: dict, same: bool, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, v, distance) of the pairs within the radius, a few rows of the first block at a time.
+
+    With a ratio, sizes must be of that ratio or more.
+    """
+    one, two = (_numbers(z["fp"]).view(np.uint64) for z in (x, y))
+    sizes = [_numbers(z["size"]).astype(float) for z in (x, y)] if ratio else None
     step = max(1, (1 << 16) // max(1, len(two)))  # the temporary arrays stay in the processor's cache
     for start in range(0, len(one), step):
         apart = np.bitwise_count(one[start : start + step, None] ^ two[None, :])
@@ -198,24 +189,33 @@ def tile_links(one, two, s1, s2, r1, r2, same: bool, radius: int, ratio: float)
             continue
         d = apart[u, v].astype(np.int64)
         u = u + start
-        use = np.minimum(s1[u], s2[v]) >= ratio * np.maximum(s1[u], s2[v])
-        if same:
-            use &= u < v
-        if r1 is not None:
-            use &= r1[u] != r2[v]
-        us.append(u[use])
-        vs.append(v[use] + base)
-        ds.append(d[use])
-        held += len(us[-1])
-        if r1 is None and held > SPARSE * n:
-            whole = False
+        use = u < v if same else np.ones(len(u), bool)
+        if sizes:
+            use &= np.minimum(sizes[0][u], sizes[1][v]) >= ratio * np.maximum(sizes[0][u], sizes[1][v])
+        yield u[use], v[use], d[use]
+
+
+def tile_links(x: dict, y: dict, same: bool, radius: int, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(src, dst, whole): all links of two blocks if few, else a minimum spanning forest of them.
+
+    Few is up to SPARSE for each fingerprint.
+    """
+    first = len(x["fp"])
+    base, n = (0, first) if same else (first, first + len(y["fp"]))
+    got = [[np.empty(0, np.int64)] for _ in range(3)]
+    whole, held = True, 0
+    for u, v, d in near_steps(x, y, same, radius, ratio):
+        for kept, new in zip(got, (u, v + base, d), strict=True):
+            kept.append(new)
+        held += len(u)
+        whole &= held <= SPARSE * n
         if not whole and held > 1 << 20:
-            us, vs, ds = ([x] for x in forest(np.concatenate(us), np.concatenate(vs), np.concatenate(ds), n))
-            held = len(us[0])
-    u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
+            got = [[z] for z in forest(*map(np.concatenate, got), n)]
+            held = len(got[0][0])
+    u, v, d = map(np.concatenate, got)
     if not whole:
         u, v, d = forest(u, v, d, n)
-    nodes = one if same else np.concatenate([one, two])
+    nodes = _numbers(x["fp"]) if same else np.concatenate([_numbers(x["fp"]), _numbers(y["fp"])])
     return nodes[u], nodes[v], whole
 
 
@@ -249,8 +249,8 @@ def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndar
 def links(classes: DataFrame, radius: int = 3) -> DataFrame:
     """(src, dst): links among distinct fingerprints with the components of all links within the radius."""
     segments = 4 if radius <= 4 else 1
-    rows = tile_rows(classes, segments)
-    return compare(rows, tile_pairs(rows, radius, segments), radius).select("src", "dst")
+    rows = tile_rows(classes.select("fp", "size"), segments)
+    return compare(rows, radius, segments, lambda x, y, same, at: tile_links(x, y, same, radius)[:2], "src long, dst long")
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,48 +275,107 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, broadcast_rows: int = 200_000) -> DataFrame:
-    """The pairs (src, dst) whose representatives' shingle sets have the similarity.
+def sets_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """(fp, shingles) of the representatives of some fingerprints (fp).
 
-    Only texts that some pair needs are read for their sets; their ids are
-    broadcast up to `broadcast_rows` and joined by shuffle beyond.
+    Only their texts are read for it; the ids are broadcast up to
+    `broadcast_rows` and joined by shuffle beyond.
     """
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    needed = cut(classes.join(ends, "fp").select("fp", F.col("low").alias("doc_id")))
+    needed = cut(classes.join(ends.distinct(), "fp").select("fp", F.col("low").alias("doc_id")))
     ids = needed.select("doc_id").distinct()
     texts = _texts(docs, id_col, text_col)
     sets = shingle_sets(texts.join(F.broadcast(ids) if needed.count() <= broadcast_rows else ids, "doc_id", "left_semi"), words)
-    sets = sets.join(needed, ["fp", "doc_id"]).groupBy("fp").agg(F.first("shingles").alias("s"))
-    sets = cut(sets)
-    both = pairs.join(sets.select(F.col("fp").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("s").alias("b")), "dst")
+    return cut(sets.join(needed, ["fp", "doc_id"]).groupBy("fp").agg(F.first("shingles").alias("shingles")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets have the similarity."""
+    both = pairs.join(sets.select(F.col("fp").alias("src"), F.col("shingles").alias("a")), "src")
+    both = both.join(sets.select(F.col("fp").alias("dst"), F.col("shingles").alias("b")), "dst")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
 
 
+def open_ends(x: dict, y: dict, same: bool, radius: int, ratio: float) -> tuple[np.ndarray]:
+    """The fingerprints with a candidate in another component (root)."""
+    r1, r2 = _numbers(x["root"]), _numbers(y["root"])
+    found = [np.zeros(len(r1), bool), np.zeros(len(r2), bool)]
+    for u, v, _ in near_steps(x, y, same, radius, ratio):
+        apart = r1[u] != r2[v]
+        found[0][u[apart]] = True
+        found[1][v[apart]] = True
+    return (np.concatenate([_numbers(x["fp"])[found[0]], _numbers(y["fp"])[found[1]]]),)
+
+
+def verified_links(x: dict, y: dict, same: bool, radius: int, similarity: float) -> tuple[list, list]:
+    """Links between components that have the similarity: the nearest candidates first, none inside what is joined."""
+    r1, r2 = _numbers(x["root"]).tolist(), _numbers(y["root"]).tolist()
+    fp1, fp2 = _numbers(x["fp"]).tolist(), _numbers(y["fp"]).tolist()
+    parent: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while parent.get(r, r) != r:
+            parent[r] = parent.get(parent[r], parent[r])
+            r = parent[r]
+        return r
+
+    @functools.lru_cache(maxsize=BLOCK)
+    def members(side: int, i: int) -> frozenset[int]:
+        return frozenset((x, y)[side]["shingles"][i].values.to_pylist())
+
+    src, dst = [], []
+    for u, v, d in near_steps(x, y, same, radius, similarity):
+        for k in np.argsort(d, kind="stable").tolist():
+            i, j = int(u[k]), int(v[k])
+            a, b = find(r1[i]), find(r2[j])
+            if a == b:
+                continue
+            p, q = members(0, i), members(0 if same else 1, j)
+            common = len(p & q)
+            if common >= similarity * (len(p) + len(q) - common):
+                parent[max(a, b)] = min(a, b)
+                src.append(fp1[i])
+                dst.append(fp2[j])
+    return src, dst
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id for every row with an id: near copies by shingle sets.
 
     Candidates are fingerprints within `radius` whose numbers of shingles allow
     the similarity; a candidate is a link when the whole texts' sets of shingles
     have it. Texts with one fingerprint are linked; a class of them is compared
-    by its smallest id's text. Where a tile pair is too dense to give all its
-    candidates, its spanning forest is verified first and then every candidate
-    that still lies between different components, so no link is lost.
+    by its smallest id's text. Tile pairs with few candidates give them all, and
+    they are verified. A dense tile pair, as a large group of near copies
+    makes, gives a spanning forest first. After that is verified, the
+    fingerprints that still have a candidate in another component are compared
+    once more with their sets at hand, and only links that join components
+    leave the task: no link is lost, and no task gives all pairs of a group.
     """
     rows = cut(fingerprints(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min_by("size", "doc_id").alias("size")))
-    tiles = tile_rows(classes, 1)
-    pairs = tile_pairs(tiles, radius, 1)
-    found = cut(compare(tiles, pairs, radius, similarity))
+    tiles = tile_rows(classes.select("fp", "size"), 1)
+    pairs = cut(tile_pairs(tiles, radius, 1))
+
+    def first(x, y, same, at):
+        u, v, whole = tile_links(x, y, same, radius, similarity)
+        return u, v, *(np.full(len(u), c, np.int32) for c in at), np.full(len(u), whole)
+
+    found = cut(compare(tiles, radius, 1, first, "src long, dst long, tile int, block int, tile2 int, block2 int, whole boolean", pairs))
     candidates = found.select("src", "dst").distinct()
-    good = cut(verified(candidates, classes, docs, words, similarity, id_col, text_col))
+    ends = candidates.select(F.explode(F.array("src", "dst")).alias("fp"))
+    good = cut(verified(candidates, sets_of(ends, classes, docs, words, id_col, text_col), similarity))
     roots = connected_components(good)
     dense = found.where("not whole").select("tile", "block", "tile2", "block2").distinct()
     if not dense.isEmpty():
-        named = roots.select(F.col("node").alias("fp"), F.col("component").alias("root"))
-        more = cut(compare(tiles, dense, radius, similarity, named)).select("src", "dst").join(candidates, ["src", "dst"], "left_anti").distinct()
-        more = verified(cut(more), classes, docs, words, similarity, id_col, text_col)
-        roots = connected_components(good.union(more))
+        named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "size", F.coalesce("component", "fp").alias("root"))
+        # The same fingerprints are tiled the same way, so the dense pairs are found again.
+        apart = compare(tile_rows(named, 1), radius, 1, lambda x, y, same, at: open_ends(x, y, same, radius, similarity), "fp long", dense)
+        apart = cut(apart.distinct())
+        sets = sets_of(apart, classes, docs, words, id_col, text_col)
+        held = tile_rows(named.join(sets, "fp"), 1, OPEN_BLOCK)
+        more = compare(held, radius, 1, lambda x, y, same, at: verified_links(x, y, same, radius, similarity), "src long, dst long")
+        roots = connected_components(good.union(cut(more)))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     named = cut(named)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
