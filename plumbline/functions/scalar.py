@@ -59,8 +59,8 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     middle = p + z2 / (2 * n)
     half = z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
     scale = 1 + z2 / n
-    bound = lambda x: F.when(n == 0, 0.0).otherwise(F.round(x / scale, 3))
-    return bound(F.greatest(middle - half, F.lit(0.0))), bound(F.least(middle + half, F.lit(1.0)))
+    bound = lambda x: F.when(n == 0, 0.0).otherwise(F.round(F.least(F.greatest(x / scale, F.lit(0.0)), F.lit(1.0)), 3))
+    return bound(middle - half), bound(middle + half)
 
 
 def ratio(top: Column, bottom: Column, empty: float = 0.0) -> Column:

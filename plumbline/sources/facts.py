@@ -29,6 +29,7 @@ FIELDS = {
     "key": "key string, n long",
     "param": "site string, used array<string>, passed_whole boolean",
     "surface": "what string, params array<struct<kind:string,name:string,has_default:boolean>>",
+    "module": "n_lines int",
     "unreadable": "error string",
 }
 
@@ -136,7 +137,8 @@ def _parameter_use(node) -> Iterator[tuple[str, dict]]:
 
 
 def file_facts(module: str, text: str | None) -> Iterator[tuple[str, str, dict]]:
-    """(kind, name, data) of one file; a file that can't be parsed gives one fact that says so."""
+    """(kind, name, data) of one file; a file that can't be parsed says so beside its module fact."""
+    yield "module", module, {"n_lines": len((text or "").splitlines())}
     try:
         if text is None:
             raise ValueError("no text")

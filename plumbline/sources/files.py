@@ -26,7 +26,10 @@ def source_files(spark: SparkSession, root: str, state: str = "head") -> DataFra
     module is the dotted path below root, `__init__` dropped. A root without
     any Python file is refused: nothing was measured.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root).select("path", "content")
+    empty = [(p, b"") for p in empty_files(spark, root) if p.endswith(".py")]
+    if empty:  # the reader gives no row for a file without bytes
+        files = files.unionByName(spark.createDataFrame(empty, "path string, content binary"))
     base = F.lit(root.rstrip("/").rsplit("://", 1)[-1])
     plain = F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?(?=/)", "")
     below = F.regexp_replace(F.substr(plain, F.length(base) + 2, F.length(plain)), r"\.py$", "")
@@ -39,6 +42,19 @@ def source_files(spark: SparkSession, root: str, state: str = "head") -> DataFra
     return out
 
 
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the files without bytes below a folder, from its listing."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    listing = path.getFileSystem(context.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            found.append(status.getPath().toString())
+    return found
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, malformed): a JSON-lines log; blank lines are skipped, other bad lines kept as text."""
     lines = spark.read.text(path).where(F.trim("value") != "")
