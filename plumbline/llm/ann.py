@@ -129,7 +129,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, eps: float = EPS, b
     count = asked.count()
     blocks = max(1, -(-count // block))
     # Blocks are cut by a hash of the id, with room to spare, and read one at a time.
-    blocks = 1 if blocks == 1 else blocks * 2
+    if blocks > 1:
+        blocks, index = blocks * 2, cut(index)  # each block reads the index again
     found = None
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
