@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import ratio
-from plumbline.operators import budget, graph, signals, similarity
+from plumbline.operators import budget, graph, history, signals, similarity
 from plumbline.session import cut
 from plumbline.sources import facts as source_facts
+from plumbline.sources.files import GitLog, GitTree
 
 #: Metrics that a budget watches, and those that are ratios.
 WATCHED = ["redundant_clusters", "redundant_functions", "duplication_ratio", "cycle_ratio", "connascence_shared"]
@@ -86,3 +87,21 @@ def check(measured: DataFrame, ceilings: DataFrame) -> DataFrame:
     good = budget.improvements(measured, ceilings).groupBy("state").agg(F.count("*").alias("n_improved"))
     out = measured.select("state").distinct().join(bad, "state", "left").join(good, "state", "left").na.fill(0)
     return out.withColumn("status", F.when(F.col("n_breaches") > 0, "crossed").otherwise("held"))
+
+
+def measure_history(spark: SparkSession, repo: str, package: str, n: int, subdir: str = "") -> DataFrame:
+    """Long (seq, committed_at, state, metric, value, numerator, denominator, error) of n commits, evenly sampled.
+
+    All sampled trees are read and measured in one plan, a task for each commit. A commit that can't be
+    read keeps one row with its error and no metric.
+    """
+    spark.dataSource.register(GitLog)
+    spark.dataSource.register(GitTree)
+    commits = history.even_sample(cut(spark.read.format("gitlog").option("repo", repo).load()), n)
+    commits = cut(commits)
+    shas = [r["sha"] for r in commits.select("sha").collect()]  # n names
+    trees = cut(spark.read.format("gittree").option("repo", repo).option("subdir", subdir).option("shas", ",".join(shas)).load())
+    long = metrics(source_facts.extract(trees.where("error is null")), package).withColumn("error", F.lit(None).cast("string"))
+    none = F.lit(None)
+    bad = trees.where("error is not null").select("state", none.cast("string").alias("metric"), none.cast("double").alias("value"), none.cast("long").alias("numerator"), none.cast("long").alias("denominator"), "error")
+    return commits.select("seq", "committed_at", F.col("sha").alias("state")).join(long.unionByName(bad), "state")

@@ -350,3 +350,23 @@ def test_git_log(spark, tmp_path):
     assert [r["seq"] for r in log.orderBy("seq").collect()] == [0, 1, 2]
     touched = spark.read.format("gitlog").option("repo", str(tmp_path)).option("files", "true").load()
     assert rows(touched.groupBy("path").count()) == [("f0.py", 2), ("f1.py", 1)]
+
+
+def test_history_of_a_repository(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True, text=True).stdout
+    git("init", "-q")
+    (tmp_path / "README").write_text("x")
+    git("add", ".")
+    git("commit", "-qm", "nothing yet")
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg/a.py").write_text("from pkg import b\n")
+    (tmp_path / "pkg/b.py").write_text("x = 1\n")
+    git("add", ".")
+    git("commit", "-qm", "two modules")
+    (tmp_path / "pkg/b.py").write_text("import pkg.a\n")
+    git("commit", "-qam", "a cycle")
+    head = git("rev-parse", "HEAD")
+    out = measure.measure_history(spark, str(tmp_path), "pkg", 3, "pkg")
+    cycles = sorted((r["seq"], r["value"], r["error"] is not None) for r in out.where("metric = 'cycle_ratio' or error is not null").collect())
+    assert cycles == [(0, None, True), (1, 0.0, False), (2, 1.0, False)]
+    assert git("rev-parse", "HEAD") == head
