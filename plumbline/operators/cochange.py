@@ -13,8 +13,9 @@ def pair_counts(touches: DataFrame) -> DataFrame:
 
     Repeats in a basket count once. The pairs of a basket grow with the square
     of its size, as the measure demands; counts are summed before any shuffle.
+    Dealt by basket once, the rows serve the distinct and both sides of the join.
     """
-    t = touches.select("basket", "item").where("basket is not null and item is not null").distinct()
+    t = touches.select("basket", "item").where("basket is not null and item is not null").repartition("basket").distinct()
     sizes = t.groupBy("item").agg(F.count("*").alias("n"))
     a, b = t.select("basket", F.col("item").alias("a")), t.select("basket", F.col("item").alias("b"))
     co = a.join(b, "basket").where("a < b").groupBy("a", "b").agg(F.count("*").alias("co"))
@@ -37,7 +38,7 @@ def merge_candidates(pairs: DataFrame, static_edges: DataFrame, least: float = 0
 
 def blast(touches: DataFrame, wide: int = 5) -> DataFrame:
     """One row: baskets, mean and largest number of items, baskets with more than `wide`."""
-    sizes = touches.select("basket", "item").distinct().groupBy("basket").agg(F.count("*").alias("n"))
+    sizes = touches.select("basket", "item").repartition("basket").distinct().groupBy("basket").agg(F.count("*").alias("n"))
     return sizes.agg(
         F.count("*").alias("baskets"),
         F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean_blast"),
@@ -64,12 +65,12 @@ def cluster_cochange(members: DataFrame, touches: DataFrame) -> DataFrame:
 
 def shared_kernel(uses: DataFrame, least_consumers: int = 2) -> DataFrame:
     """(symbol, consumers): symbols that two or more consumers (symbol, consumer) use."""
-    u = uses.select("symbol", "consumer").distinct()
+    u = uses.select("symbol", "consumer").repartition("symbol").distinct()
     return u.groupBy("symbol").agg(F.count("*").alias("consumers")).where(F.col("consumers") >= least_consumers)
 
 
 def consumer_pairs(uses: DataFrame) -> DataFrame:
     """(a, b, shared): consumers that share symbols, and how many."""
-    u = uses.select("symbol", "consumer").distinct()
+    u = uses.select("symbol", "consumer").repartition("symbol").distinct()
     pairs = u.select("symbol", F.col("consumer").alias("a")).join(u.select("symbol", F.col("consumer").alias("b")), "symbol").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
