@@ -33,15 +33,18 @@ def similar_pairs(sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Exact. Features are ordered from rare to frequent over the whole table; two
     sets with the similarity share one of their first n - ceil(least * n) + 1
     features, so only these meet in the join, and only where the sizes allow
-    the similarity. Frequent features thus stay out of the join. The survivors are
-    verified on the whole sets.
+    the similarity. Features of one set alone come first in that order and join
+    nothing, so a set that shares too few features drops out at once, and
+    frequent features stay out of the join. The survivors are verified on the
+    whole sets.
     """
     sets = cut(sets.select("id", "s", "n"))
     features = sets.select("id", "n", F.explode("s").alias("f"))
-    counts = features.groupBy("f").agg(F.count("*").alias("df"))
+    counts = features.groupBy("f").agg(F.count("*").alias("df")).where("df > 1")
     by_rarity = Window.partitionBy("id").orderBy("df", "f")
     first = F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1
-    prefix = features.join(counts, "f").where("df > 1").withColumn("at", F.row_number().over(by_rarity)).where(F.col("at") <= first)
+    shared = features.join(counts, "f").withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("id")))
+    prefix = cut(shared.where(F.col("alone") < first).withColumn("at", F.col("alone") + F.row_number().over(by_rarity)).where(F.col("at") <= first))
     a = prefix.select("f", F.col("id").alias("a"), F.col("n").alias("na"))
     b = prefix.select("f", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
