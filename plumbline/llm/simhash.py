@@ -45,7 +45,7 @@ from plumbline.session import cut
 SEED = 42
 BLOCK = 2048
 GRID = 512
-SPARSE = 4
+SPARSE = 0.25
 OPEN_BLOCK = 512
 
 
@@ -198,7 +198,8 @@ def near_steps(x: dict, y: dict, same: bool, radius: int, ratio: float) -> Itera
 def tile_links(x: dict, y: dict, same: bool, radius: int, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray, bool]:
     """(src, dst, whole): all links of two blocks if few, else a minimum spanning forest of them.
 
-    Few is up to SPARSE for each fingerprint.
+    Few is up to SPARSE for each fingerprint of the two blocks: groups of near
+    copies are spread over many tile pairs, each of which must count as dense.
     """
     first = len(x["fp"])
     base, n = (0, first) if same else (first, first + len(y["fp"]))
