@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.texts import map_rows, strings
+from plumbline.session import cut
 
 # The rules, as (verdict, host, path).
 RULES = (
@@ -113,11 +114,21 @@ class NaiveBayes:
 
 
 def unigram_counts(pages: DataFrame, size: int = VOCABULARY, html_col: str = "html") -> dict[str, int]:
-    """Words a-z of all page titles with their counts; the `size` most frequent are the vocabulary."""
+    """Words a-z of all page titles with their counts; the most frequent, at most `size`, are the vocabulary.
+
+    Words of one count are all in or all out, so the edge is found from the
+    numbers of words by count, and only the vocabulary itself reaches the driver.
+    """
     title = F.lower(F.regexp_extract(F.coalesce(F.col(html_col).cast("string"), F.lit("")), r"(?is)<title>(.*?)</title>", 1))
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[a-z]{2,%d}" % LONGEST), F.lit(0))).alias("word"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
-    return {r["word"]: r["count"] for r in top.toLocalIterator()}
+    counts = cut(words.groupBy("word").count())
+    least, held = 1, 0
+    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
+        held += r["n"]
+        if held > size:
+            least = r["count"] + 1
+            break
+    return {r["word"]: r["count"] for r in counts.where(F.col("count") >= least).toLocalIterator()}
 
 
 def judge_urls(pages: DataFrame, counts: dict[str, int], rules=RULES, block_at: float = 0.0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -102,3 +102,6 @@ def test_unigram_counts(spark):
     df = spark.createDataFrame(rows, "page_id long, html string")
     assert url_filter.unigram_counts(df) == {"the": 2, "cat": 2}
     assert url_filter.unigram_counts(df.limit(0)) == {}
+    more = spark.createDataFrame([(1, "<title>aa aa aa bb bb cc dd</title>")], "page_id long, html string")
+    assert url_filter.unigram_counts(more, size=3) == {"aa": 3, "bb": 2}
+    assert url_filter.unigram_counts(more, size=4) == {"aa": 3, "bb": 2, "cc": 1, "dd": 1}
