@@ -27,6 +27,13 @@ def document_sets(docs: DataFrame, gram: int = GRAM, least: int = LEAST_TOKENS)
     return same.agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("s").alias("s"), F.first("n").alias("n")).drop("key")
 
 
+def document_members(docs: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
+    """(doc_id, class) of every document with enough tokens: class is the id that `document_sets` gives its text."""
+    tokens = words(F.col("text"))
+    keyed = cut(docs.where(F.size(tokens) >= max(least, 1)).select("doc_id", F.md5(F.concat_ws("\x01", tokens)).alias("key")))
+    return keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("class")), "key").select("doc_id", "class")
+
+
 def similar_pairs(sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(a, b, inter, uni, jaccard) with a < b of all pairs of sets (id, s, n) at least that similar.
 
@@ -61,6 +68,30 @@ def clusters(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
+def document_clusters(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, cluster, copies) of the classes of `document_sets` in clusters of two or more documents, equal texts included."""
+    found = clusters(sets, pairs).withColumnRenamed("id", "class")
+    every = sets.select(F.col("id").alias("class"), "copies").join(found, "class", "left")
+    return every.where((F.col("copies") > 1) | F.col("cluster").isNotNull()).select("class", F.coalesce("cluster", "class").alias("cluster"), "copies")
+
+
+def class_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, n_pairs, inter, uni, jaccard): pairs of documents by class, those of equal texts as a = b."""
+    copies = sets.select("id", "copies")
+    apart = pairs.join(copies.select(F.col("id").alias("a"), F.col("copies").alias("ca")), "a").join(copies.select(F.col("id").alias("b"), F.col("copies").alias("cb")), "b")
+    apart = apart.select("a", "b", (F.col("ca") * F.col("cb")).alias("n_pairs"), "inter", "uni", "jaccard")
+    n, half = F.col("n").cast("long"), F.expr("copies * (copies - 1) div 2")
+    equal = sets.where("copies > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), half.alias("n_pairs"), n.alias("inter"), n.alias("uni"), F.lit(1.0).alias("jaccard"))
+    return apart.unionByName(equal)
+
+
+def document_snapshot(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row as `snapshot` gives it, counted in documents: every copy of a text is an item."""
+    whole = sets.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("total_items"))
+    some = document_clusters(sets, pairs).agg(F.countDistinct("cluster").alias("redundant_clusters"), F.coalesce(F.sum("copies"), F.lit(0)).alias("redundant_items"))
+    return whole.join(F.broadcast(some)).withColumn("duplication_ratio", ratio(F.col("redundant_items"), F.col("total_items")))
+
+
 def snapshot(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: items, clusters, items in clusters and their share (0 without items)."""
     found = clusters(sets, pairs).groupBy("cluster").count()

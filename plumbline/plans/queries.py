@@ -94,6 +94,54 @@ def change_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.change_collisions(sets.where("source <> 'src3'"), sets.where("source = 'src3'"))
 
 
+# The queries above compare each text once, as their SQL says; those below count every document.
+
+EVERY_SQL = f"""
+    every AS (SELECT doc_id AS id, source, {WORDS_SQL} AS t FROM documents WHERE len({WORDS_SQL}) >= 12),
+    class_of AS (SELECT id, source, t, min(id) OVER (PARTITION BY array_to_string(t, chr(1))) AS class FROM every),
+    sets AS (SELECT id, source, class, list_distinct(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: array_to_string(t[i:i+4], chr(1)))) AS s FROM class_of),
+    feat AS (SELECT id, class, source, len(s) AS n, unnest(s) AS f FROM sets),
+    co AS (SELECT x.id AS a, y.id AS b, any_value(x.class) AS ca, any_value(y.class) AS cb, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS inter FROM feat x JOIN feat y ON x.f = y.f AND x.id < y.id GROUP BY x.id, y.id),
+    pairs AS (SELECT a, b, least(ca, cb) AS ca, greatest(ca, cb) AS cb, inter, na + nb - inter AS uni, inter::DOUBLE / (na + nb - inter)::DOUBLE AS jaccard FROM co)
+"""
+
+
+@query(f"WITH {EVERY_SQL} SELECT ca AS a, cb AS b, count(*) AS n_pairs, any_value(inter) AS inter, any_value(uni) AS uni, any_value(jaccard) AS jaccard FROM pairs WHERE jaccard >= 0.45 GROUP BY ca, cb")
+def dup_document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _docs(spark, sf_dir)
+    return similarity.class_pairs(sets, similarity.similar_pairs(sets))
+
+
+@query(f"WITH RECURSIVE {EVERY_SQL}, {CLUSTERS_SQL} SELECT s.id AS doc_id, s.class, m.cluster FROM sets s LEFT JOIN members m ON s.id = m.id")
+def dup_document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _docs(spark, sf_dir)
+    found = similarity.document_clusters(sets, similarity.similar_pairs(sets)).select("class", "cluster")
+    return similarity.document_members(table(spark, sf_dir, "documents")).join(found, "class", "left").select("doc_id", "class", "cluster")
+
+
+@query(
+    f"""WITH RECURSIVE {EVERY_SQL}, {CLUSTERS_SQL}
+    SELECT t.total_items, c.redundant_clusters, c.redundant_items,
+           CASE WHEN t.total_items = 0 THEN 0.0::DOUBLE ELSE c.redundant_items::DOUBLE / t.total_items END AS duplication_ratio
+    FROM (SELECT count(*) AS total_items FROM sets) t, (SELECT count(DISTINCT cluster) AS redundant_clusters, count(*) AS redundant_items FROM members) c"""
+)
+def dup_document_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _docs(spark, sf_dir)
+    return similarity.document_snapshot(sets, similarity.similar_pairs(sets))
+
+
+@query(
+    f"""WITH {EVERY_SQL}, th AS (SELECT round(0.20 + 0.05 * i, 2)::DOUBLE AS threshold FROM range(13) r(i))
+    SELECT threshold, count(a) AS n_pairs FROM th LEFT JOIN pairs ON jaccard >= threshold GROUP BY threshold"""
+)
+def dup_document_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _docs(spark, sf_dir)
+    pairs = similarity.class_pairs(sets, similarity.similar_pairs(sets, calibrate.THRESHOLDS[0]))
+    one = pairs.agg(*(F.coalesce(F.sum(F.when(F.col("jaccard") >= t, F.col("n_pairs"))), F.lit(0)).alias(f"n{i}") for i, t in enumerate(calibrate.THRESHOLDS)))
+    rows = F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"n{i}").alias("n_pairs")) for i, t in enumerate(calibrate.THRESHOLDS)))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
 # --- dependency graph over nations ---------------------------------------------
 
 TRADE_SQL = """

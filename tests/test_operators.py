@@ -52,6 +52,19 @@ def test_short_and_empty_items(spark):
     assert tuple(one) == (0, 0, 0, 0.0)
 
 
+def test_documents_count_every_copy(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([*((i, text) for i in range(1000)), (1000, text + " x"), (1001, " ".join(f"v{i}" for i in range(12))), (1002, "short")], "doc_id long, text string")
+    sets = similarity.document_sets(df)
+    pairs = similarity.similar_pairs(sets)
+    assert tuple(similarity.document_snapshot(sets, pairs).first()) == (1002, 1, 1001, 1001 / 1002)
+    assert rows(similarity.class_pairs(sets, pairs)) == [(0, 0, 499500, 16, 16, 1.0), (0, 1000, 1000, 16, 17, 16 / 17)]
+    assert rows(similarity.document_clusters(sets, pairs)) == [(0, 0, 1000), (1000, 0, 1)]
+    assert rows(similarity.document_members(df)) == sorted([(i, 0) for i in range(1000)] + [(1000, 1000), (1001, 1001)])
+    alone = similarity.document_sets(df.where("doc_id < 1000"))
+    assert tuple(similarity.document_snapshot(alone, similarity.similar_pairs(alone)).first()) == (1000, 1, 1000, 1.0)
+
+
 def test_strong_components(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "a"), ("g", "g")]
     df = spark.createDataFrame([("s", *e) for e in edges], "state string, src string, dst string")
