@@ -142,6 +142,24 @@ def dup_document_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+@query(
+    f"""WITH tok AS (SELECT doc_id, source = 'src3' AS added, {WORDS_SQL} AS t FROM documents WHERE source IS NOT NULL),
+    sides AS (SELECT added, min(doc_id) AS id, any_value(t) AS t, count(*) AS copies FROM tok WHERE len(t) >= 12 GROUP BY added, array_to_string(t, chr(1))),
+    feat AS (SELECT added, id, copies, unnest(list_distinct(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: array_to_string(t[i:i+4], chr(1))))) AS f FROM sides),
+    size AS (SELECT id, count(*) AS n FROM feat GROUP BY id),
+    co AS (SELECT x.id AS added, y.id AS base, any_value(x.copies) AS added_copies, any_value(y.copies) AS base_copies, count(*) AS inter FROM feat x JOIN feat y ON x.f = y.f AND x.added AND NOT y.added GROUP BY x.id, y.id)
+    SELECT co.added, co.base, added_copies, base_copies, inter::DOUBLE / (p.n + q.n - inter)::DOUBLE AS jaccard
+    FROM co JOIN size p ON p.id = co.added JOIN size q ON q.id = co.base WHERE inter::DOUBLE / (p.n + q.n - inter)::DOUBLE >= 0.45"""
+)
+def change_collisions_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts are folded on each side by itself, so a text on both sides collides with itself; copies tell how many it stands for."""
+    docs = table(spark, sf_dir, "documents")
+    base, change = (cut(similarity.document_sets(docs.where(side))) for side in ("source <> 'src3'", "source = 'src3'"))
+    found = similarity.change_collisions(base, change)
+    found = found.join(change.select(F.col("id").alias("added"), F.col("copies").alias("added_copies")), "added")
+    return found.join(base.select(F.col("id").alias("base"), F.col("copies").alias("base_copies")), "base").select("added", "base", "added_copies", "base_copies", "jaccard")
+
+
 # --- dependency graph over nations ---------------------------------------------
 
 TRADE_SQL = """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalar
 from plumbline.operators import apidiff, budget, calibrate, compare, graph, history, ledger, model, similarity, stats
 from plumbline.operators.components import connected_components
-from plumbline.plans import measure
+from plumbline.plans import measure, queries
 from plumbline.sources import facts, files
 
 
@@ -65,6 +65,14 @@ def test_documents_count_every_copy(spark):
     assert tuple(similarity.document_snapshot(alone, similarity.similar_pairs(alone)).first()) == (1000, 1, 1000, 1.0)
 
 
+def test_collisions_of_a_text_on_both_sides(spark, tmp_path):
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "wv")
+    docs = [(1, one, "src3"), (2, one, "src1"), (3, one + " x", "src1"), (4, two, "src1"), (5, two, "src3"), (6, two + " x", "src1"), (7, two, "src3")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = rows(queries.change_collisions_by_side(spark, str(tmp_path)))
+    assert found == [(1, 2, 1, 1, 1.0), (1, 3, 1, 1, 16 / 17), (5, 4, 2, 1, 1.0), (5, 6, 2, 1, 16 / 17)]
+
+
 def test_strong_components(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "a"), ("g", "g")]
     df = spark.createDataFrame([("s", *e) for e in edges], "state string, src string, dst string")
