@@ -18,8 +18,8 @@ Links are emitted as minimum spanning forests, never all pairs of a group:
 components are unchanged, and n near copies give O(n) links for a tile pair.
 Components come from joins over those links.
 
-`near_components` links by the fingerprints alone. `drop_near_copies` takes
-fingerprints within a wider radius as candidates and links those whose sets of
+`near_components` links by the fingerprints alone. `drop_near_copies` has a
+class for each set of shingles, takes those with fingerprints within a wider radius as candidates and links those whose sets of
 shingles have a Jaccard similarity of `similarity` or more, computed on the
 whole texts.
 """
@@ -92,17 +92,26 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, fp long, size int")
 
 
-def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, shingles): the distinct shingle hashes of every row."""
+def set_digest(distinct: np.ndarray) -> int:
+    """Signed digest of a set of shingles, given as sorted distinct hashes."""
+    return int(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), SEED + 1)).astype(np.int64))
+
+
+def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", members: bool = True) -> DataFrame:
+    """(doc_id, key, shingles): digest and distinct shingle hashes of every row; without members fp and size in their place."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             hashed = [shingle_hashes(x.lower(), words) for x in raw(batch.column(1))]
-            return {"doc_id": batch.column(0), "fp": [majority(h) for h in hashed], "shingles": [np.unique(h).view(np.int64) for h in hashed]}
+            sets = [np.unique(h) for h in hashed]
+            out = {"doc_id": batch.column(0), "key": [set_digest(h) for h in sets]}
+            if members:
+                return out | {"shingles": [h.view(np.int64) for h in sets]}
+            return out | {"fp": [majority(h) for h in hashed], "size": [len(h) for h in sets]}
 
         return work
 
-    return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, fp long, shingles array<long>")
+    return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, key long, " + ("shingles array<long>" if members else "fp long, size int"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,7 +132,7 @@ def neighbour_offsets(radius: int, segments: int) -> list[tuple[int, ...]]:
 
 
 def tile_rows(classes: DataFrame, segments: int, block: int = BLOCK) -> DataFrame:
-    """(tile, block, xs): the classes (fp, size, ...) packed by segment counts, a block to a row."""
+    """(tile, block, xs): the classes (fp, size, perhaps key, ...) packed by segment counts, a block to a row."""
     base = 64 // segments + 1
     key = F.lit(0)
     for count in _segment_counts(segments):
@@ -132,7 +141,7 @@ def tile_rows(classes: DataFrame, segments: int, block: int = BLOCK) -> DataFram
     counts = tiled.groupBy("tile").count()  # at most base ** segments rows
     n = tiled.count()
     size = max(block, -(-n // GRID))
-    parts = tiled.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.col("count") / size)).cast("int"))
+    parts = tiled.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64(*(c for c in ("fp", "key") if c in classes.columns)), F.ceil(F.col("count") / size)).cast("int"))
     return cut(parts.groupBy("tile", "block").agg(F.array_sort(F.collect_list(F.struct(*classes.columns))).alias("xs")))
 
 
@@ -198,6 +207,7 @@ def near_steps(x: dict, y: dict, same: bool, radius: int, ratio: float) -> Itera
 def tile_links(x: dict, y: dict, same: bool, radius: int, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray, bool]:
     """(src, dst, whole): all links of two blocks if few, else a minimum spanning forest of them.
 
+    The ends are keys where the classes have them, else fingerprints.
     Few is up to SPARSE for each fingerprint of the two blocks: groups of near
     copies are spread over many tile pairs, each of which must count as dense.
     """
@@ -216,7 +226,8 @@ def tile_links(x: dict, y: dict, same: bool, radius: int, ratio: float = 0.0) ->
     u, v, d = map(np.concatenate, got)
     if not whole:
         u, v, d = forest(u, v, d, n)
-    nodes = _numbers(x["fp"]) if same else np.concatenate([_numbers(x["fp"]), _numbers(y["fp"])])
+    name = "key" if "key" in x else "fp"
+    nodes = _numbers(x[name]) if same else np.concatenate([_numbers(x[name]), _numbers(y[name])])
     return nodes[u], nodes[v], whole
 
 
@@ -277,41 +288,41 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
 
 
 def sets_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str, broadcast_rows: int = 200_000) -> DataFrame:
-    """(fp, shingles) of the representatives of some fingerprints (fp).
+    """(key, shingles) of some classes (key), from the representatives' texts.
 
     Only their texts are read for it; the ids are broadcast up to
     `broadcast_rows` and joined by shuffle beyond.
     """
-    needed = cut(classes.join(ends.distinct(), "fp").select("fp", F.col("low").alias("doc_id")))
+    needed = cut(classes.join(ends.distinct(), "key").select("key", F.col("low").alias("doc_id")))
     ids = needed.select("doc_id").distinct()
     texts = _texts(docs, id_col, text_col)
     sets = shingle_sets(texts.join(F.broadcast(ids) if needed.count() <= broadcast_rows else ids, "doc_id", "left_semi"), words)
-    return cut(sets.join(needed, ["fp", "doc_id"]).groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    return cut(sets.join(needed, ["key", "doc_id"]).groupBy("key").agg(F.first("shingles").alias("shingles")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose shingle sets have the similarity."""
-    both = pairs.join(sets.select(F.col("fp").alias("src"), F.col("shingles").alias("a")), "src")
-    both = both.join(sets.select(F.col("fp").alias("dst"), F.col("shingles").alias("b")), "dst")
+    both = pairs.join(sets.select(F.col("key").alias("src"), F.col("shingles").alias("a")), "src")
+    both = both.join(sets.select(F.col("key").alias("dst"), F.col("shingles").alias("b")), "dst")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
 
 
 def open_ends(x: dict, y: dict, same: bool, radius: int, ratio: float) -> tuple[np.ndarray]:
-    """The fingerprints with a candidate in another component (root)."""
+    """The keys of classes with a candidate in another component (root)."""
     r1, r2 = _numbers(x["root"]), _numbers(y["root"])
     found = [np.zeros(len(r1), bool), np.zeros(len(r2), bool)]
     for u, v, _ in near_steps(x, y, same, radius, ratio):
         apart = r1[u] != r2[v]
         found[0][u[apart]] = True
         found[1][v[apart]] = True
-    return (np.concatenate([_numbers(x["fp"])[found[0]], _numbers(y["fp"])[found[1]]]),)
+    return (np.concatenate([_numbers(x["key"])[found[0]], _numbers(y["key"])[found[1]]]),)
 
 
 def verified_links(x: dict, y: dict, same: bool, radius: int, similarity: float) -> tuple[list, list]:
     """Links between components that have the similarity: the nearest candidates first, none inside what is joined."""
     r1, r2 = _numbers(x["root"]).tolist(), _numbers(y["root"]).tolist()
-    fp1, fp2 = _numbers(x["fp"]).tolist(), _numbers(y["fp"]).tolist()
+    key1, key2 = _numbers(x["key"]).tolist(), _numbers(y["key"]).tolist()
     parent: dict[int, int] = {}
 
     def find(r: int) -> int:
@@ -335,27 +346,27 @@ def verified_links(x: dict, y: dict, same: bool, radius: int, similarity: float)
             common = len(p & q)
             if common >= similarity * (len(p) + len(q) - common):
                 parent[max(a, b)] = min(a, b)
-                src.append(fp1[i])
-                dst.append(fp2[j])
+                src.append(key1[i])
+                dst.append(key2[j])
     return src, dst
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id for every row with an id: near copies by shingle sets.
 
-    Candidates are fingerprints within `radius` whose numbers of shingles allow
-    the similarity; a candidate is a link when the whole texts' sets of shingles
-    have it. Texts with one fingerprint are linked; a class of them is compared
-    by its smallest id's text. Tile pairs with few candidates give them all, and
+    Texts with one set of shingles are one class. Candidates are classes with
+    fingerprints within `radius`, equal ones included, whose numbers of shingles
+    allow the similarity; a candidate is a link when the whole texts' sets of
+    shingles have it. Tile pairs with few candidates give them all, and
     they are verified. A dense tile pair, as a large group of near copies
     makes, gives a spanning forest first. After that is verified, the
-    fingerprints that still have a candidate in another component are compared
+    classes that still have a candidate in another component are compared
     once more with their sets at hand, and only links that join components
     leave the task: no link is lost, and no task gives all pairs of a group.
     """
-    rows = cut(fingerprints(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min_by("size", "doc_id").alias("size")))
-    tiles = tile_rows(classes.select("fp", "size"), 1)
+    rows = cut(shingle_sets(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col, members=False))
+    classes = cut(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low"), F.max("size").alias("size")))
+    tiles = tile_rows(classes.select("fp", "key", "size"), 1)
     pairs = cut(tile_pairs(tiles, radius, 1))
 
     def first(x, y, same, at):
@@ -364,24 +375,29 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     found = cut(compare(tiles, radius, 1, first, "src long, dst long, tile int, block int, tile2 int, block2 int, whole boolean", pairs))
     candidates = found.select("src", "dst").distinct()
-    ends = candidates.select(F.explode(F.array("src", "dst")).alias("fp"))
+    ends = candidates.select(F.explode(F.array("src", "dst")).alias("key"))
     good = cut(verified(candidates, sets_of(ends, classes, docs, words, id_col, text_col), similarity))
     roots = connected_components(good)
     dense = found.where("not whole").select("tile", "block", "tile2", "block2").distinct()
     if not dense.isEmpty():
-        named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "size", F.coalesce("component", "fp").alias("root"))
-        # The same fingerprints are tiled the same way, so the dense pairs are found again.
-        apart = compare(tile_rows(named, 1), radius, 1, lambda x, y, same, at: open_ends(x, y, same, radius, similarity), "fp long", dense)
+        named = with_roots(classes, roots)
+        # The same classes are tiled the same way, so the dense pairs are found again.
+        apart = compare(tile_rows(named.select("fp", "key", "size", "root"), 1), radius, 1, lambda x, y, same, at: open_ends(x, y, same, radius, similarity), "key long", dense)
         apart = cut(apart.distinct())
         sets = sets_of(apart, classes, docs, words, id_col, text_col)
-        held = tile_rows(named.join(sets, "fp"), 1, OPEN_BLOCK)
+        held = tile_rows(named.select("fp", "key", "size", "root").join(sets, "key"), 1, OPEN_BLOCK)
         more = compare(held, radius, 1, lambda x, y, same, at: verified_links(x, y, same, radius, similarity), "src long, dst long")
-        roots = connected_components(good.union(cut(more)))
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    named = cut(named)
+        good = cut(good.union(more))
+        roots = connected_components(good)
+    named = cut(with_roots(classes, roots).select("key", "low", "root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(lows, "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "component_id")
+    ids = named.join(lows, "root").select("key", "component_id")
+    return rows.join(ids, "key").select("doc_id", "component_id")
+
+
+def with_roots(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """classes with root: the component of the key, itself where it has no link."""
+    return classes.join(roots, classes["key"] == roots["node"], "left").select(*classes.columns, F.coalesce("component", "key").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

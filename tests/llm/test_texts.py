@@ -159,6 +159,16 @@ def test_dense_tiles_lose_no_link(spark, monkeypatch):
     assert left == {k for _, k in expected}
 
 
+def test_equal_fingerprints_are_verified(spark):
+    line = " ".join(f"l{i}" for i in range(11))
+    texts = [" ".join([line] * 100 + [f"{c}{i}" for i in range(40)]) for c in "ab"]
+    texts += [texts[1] + " tail"]  # a near copy of the second text only
+    assert len({simhash.fingerprint(t.encode(), 5) for t in texts[:2]}) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(rows_of(simhash.similar_components(df))) == [(0, 0), (1, 1), (2, 1)]
+    assert {r["doc_id"] for r in simhash.drop_near_copies(df).collect()} == {0, 1}
+
+
 def test_forest_keeps_components():
     rng = np.random.default_rng(0)
     u, v = rng.integers(0, 60, 300), rng.integers(0, 60, 300)
