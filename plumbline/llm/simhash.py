@@ -21,13 +21,15 @@ Components come from joins over those links.
 `near_components` links by the fingerprints alone. `drop_near_copies` has a
 class for each set of shingles, takes those with fingerprints within a wider radius as candidates and links those whose sets of
 shingles have a Jaccard similarity of `similarity` or more, computed on the
-whole texts.
+whole texts. Its fingerprints are of the distinct shingles, and what lies beyond
+the radius is found by an exact prefix-filter join of the sets.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -97,21 +99,80 @@ def set_digest(distinct: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), SEED + 1)).astype(np.int64))
 
 
-def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", members: bool = True) -> DataFrame:
-    """(doc_id, key, shingles): digest and distinct shingle hashes of every row; without members fp and size in their place."""
+def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, shingles): digest and distinct shingle hashes of every row."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            hashed = [shingle_hashes(x.lower(), words) for x in raw(batch.column(1))]
-            sets = [np.unique(h) for h in hashed]
-            out = {"doc_id": batch.column(0), "key": [set_digest(h) for h in sets]}
-            if members:
-                return out | {"shingles": [h.view(np.int64) for h in sets]}
-            return out | {"fp": [majority(h) for h in hashed], "size": [len(h) for h in sets]}
+            sets = [np.unique(shingle_hashes(x.lower(), words)) for x in raw(batch.column(1))]
+            return {"doc_id": batch.column(0), "key": [set_digest(h) for h in sets], "shingles": [h.view(np.int64) for h in sets]}
 
         return work
 
-    return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, key long, " + ("shingles array<long>" if members else "fp long, size int"))
+    return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, key long, shingles array<long>")
+
+
+def frequent_shingles(docs: DataFrame, words: int, id_col: str, text_col: str, rows: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, rank of each): shingles of three or more of some sampled texts, rank 1 the rarest.
+
+    They only set the order of a prefix: any sample gives the same links.
+    """
+    n = docs.count()
+    some = docs.sample(min(1.0, rows / max(1, n)), SEED)
+    counts = shingle_sets(some, words, id_col, text_col).select(F.explode("shingles").alias("f")).groupBy("f").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "f").limit(most).toArrow()
+    hashes = found["f"].to_numpy().view(np.uint64)
+    ranks = np.arange(len(hashes), 0, -1)
+    order = np.argsort(hashes)
+    return hashes[order], ranks[order]
+
+
+def prefix(distinct: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n shingles, in one order for all texts: by hash, frequent ones last."""
+    n = len(distinct)
+    rank = np.zeros(n, np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], distinct), len(frequent[0]) - 1)
+        rank = np.where(frequent[0][at] == distinct, frequent[1][at], 0)
+    return distinct[np.argsort(rank, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def set_prints(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, fp, size, prefix) of every row's distinct shingles."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words, id_col, text_col))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            sets = [np.unique(shingle_hashes(x.lower(), words)) for x in raw(batch.column(1))]
+            return {
+                "doc_id": batch.column(0), "key": [set_digest(h) for h in sets], "fp": [majority(h) for h in sets], "size": [len(h) for h in sets],
+                "prefix": [prefix(h, frequent.value, similarity).view(np.int64) for h in sets],
+            }
+
+        return work
+
+    return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, key long, fp long, size int, prefix array<long>")
+
+
+def prefix_candidates(named: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of classes (key, size, prefix, root) in different components that may have the similarity, at any distance.
+
+    Two sets with the similarity share a shingle of their prefixes, and the
+    first that they share leaves enough room behind it. Only shingles of more
+    than one component are joined, component by component, so a group that is
+    linked already gives no pairs of its own.
+    """
+    features = named.select("key", "size", "root", F.posexplode("prefix").alias("at", "f"))
+    several = features.groupBy("f").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("f")
+    shared = cut(features.join(several, "f", "left_semi"))
+    roots = shared.select("f", "root").distinct()
+    apart = roots.select("f", F.col("root").alias("r1")).join(roots.select("f", F.col("root").alias("r2")), "f").where("r1 < r2")
+    side = lambda i: shared.select("f", F.col("root").alias(f"r{i}"), F.col("key").alias(f"k{i}"), F.col("size").alias(f"n{i}"), F.col("at").alias(f"at{i}"))
+    both = apart.join(side(1), ["f", "r1"]).join(side(2), ["f", "r2"])
+    room = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))  # the shared one and those behind it
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("n1") + F.col("n2")) - 1e-6
+    sizes = F.least("n1", "n2") >= F.lit(similarity) * F.greatest("n1", "n2") - 1e-6
+    return both.where(sizes & (room >= needed)).select(F.col("k1").alias("src"), F.col("k2").alias("dst")).distinct()
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -363,9 +424,11 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     classes that still have a candidate in another component are compared
     once more with their sets at hand, and only links that join components
     leave the task: no link is lost, and no task gives all pairs of a group.
+    Classes of different components beyond the radius are joined by prefixes of
+    their sets, so every pair with the similarity is linked.
     """
-    rows = cut(shingle_sets(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col, members=False))
-    classes = cut(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low"), F.max("size").alias("size")))
+    rows = cut(set_prints(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col, text_col))
+    classes = cut(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low"), F.max("size").alias("size"), F.first("prefix").alias("prefix")))
     tiles = tile_rows(classes.select("fp", "key", "size"), 1)
     pairs = cut(tile_pairs(tiles, radius, 1))
 
@@ -389,6 +452,11 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         more = compare(held, radius, 1, lambda x, y, same, at: verified_links(x, y, same, radius, similarity), "src long, dst long")
         good = cut(good.union(more))
         roots = connected_components(good)
+    beyond = cut(prefix_candidates(with_roots(classes, roots).select("key", "size", "prefix", "root"), similarity))
+    if not beyond.isEmpty():
+        ends = beyond.select(F.explode(F.array("src", "dst")).alias("key"))
+        far = cut(verified(beyond, sets_of(ends, classes, docs, words, id_col, text_col), similarity))
+        roots = connected_components(good.union(far))
     named = cut(with_roots(classes, roots).select("key", "low", "root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(lows, "root").select("key", "component_id")

@@ -84,6 +84,25 @@ def test_near(stages):
     assert sorted(r["doc_id"] for r in after) == [r["doc_id"] for i, r in enumerate(rows) if root[i] == i]
 
 
+def test_near_by_similarity_alone(stages):
+    before, after, _ = stages[2]
+    rows = sorted(before, key=lambda r: r["doc_id"])
+    sets = [set(simhash.shingle_hashes((r["text"] or "").encode().lower(), 5).tolist()) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert sorted(r["doc_id"] for r in after) == [r["doc_id"] for i, r in enumerate(rows) if root[i] == i]
+
+
 def test_mixing(stages):
     before, after, _ = stages[3]
     n = Counter(r["source"] for r in before)

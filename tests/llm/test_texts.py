@@ -169,6 +169,26 @@ def test_equal_fingerprints_are_verified(spark):
     assert {r["doc_id"] for r in simhash.drop_near_copies(df).collect()} == {0, 1}
 
 
+def test_near_copies_beyond_the_radius(spark):
+    """Brute force on the Jaccard similarity alone."""
+    rng = random.Random(11)
+    line = " ".join(f"l{i}" for i in range(11))
+    tail = " ".join(f"z{i}" for i in range(500))
+    texts = [" ".join([line] * 100 + [tail]), f"{line} {tail}"]
+    for k in range(300):
+        own = [f"w{k}-{i}" for i in range(rng.randint(60, 120))]
+        texts.append(" ".join(own))
+        for _ in range(2):
+            cut = rng.randint(1, len(own) // 5)
+            texts.append(" ".join(own[:-cut] + [f"x{k}-{i}" for i in range(rng.randint(0, 3))]))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    prints = [simhash.majority(np.array(sorted(x), np.uint64)) & (2**64 - 1) for x in sets]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert any((prints[i] ^ prints[j]).bit_count() > 14 for i, j in pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(rows_of(simhash.similar_components(df))) == list(enumerate(closure(len(texts), pairs)))
+
+
 def test_forest_keeps_components():
     rng = np.random.default_rng(0)
     u, v = rng.integers(0, 60, 300), rng.integers(0, 60, 300)
