@@ -40,7 +40,8 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    judged = url_filter.judge_urls(pages, url_filter.unigram_counts(pages))
+    counts, total = url_filter.url_word_counts(pages)
+    judged = url_filter.judge_urls(pages, counts, total=total)
     return judged.withColumn("words", F.concat_ws(" ", "words"))
 
 

@@ -68,8 +68,8 @@ def match_rule(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
 class Segmenter:
     """Unigram Viterbi over one run of letters."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) or 1
         self.cost = {w: math.log(total) - math.log(n) for w, n in counts.items()}
         self.unknown = math.log(total) - math.log(10)
         self.kept: dict[str, list[str]] = {}
@@ -113,15 +113,45 @@ class NaiveBayes:
         return self.bias + sum(self.odds.get(w, 0.0) for w in words)
 
 
+def title_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, count) of all words a-z of all page titles."""
+    title = F.lower(F.regexp_extract(F.coalesce(F.col(html_col).cast("string"), F.lit("")), r"(?is)<title>(.*?)</title>", 1))
+    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[a-z]{2,%d}" % LONGEST), F.lit(0))).alias("word"))
+    return cut(words.groupBy("word").count())
+
+
+def parts_of(url: str) -> set[str]:
+    """All substrings that the segmentation of a URL may ask for."""
+    runs = {run for x in parse(url) for run in WORD.findall(x.lower()) if run[0].isalpha()}
+    return {run[a:b] for run in runs for a in range(len(run)) for b in range(a + 2, min(len(run), a + LONGEST) + 1)}
+
+
+def url_word_counts(pages: DataFrame, most: int = 500_000, html_col: str = "html", url_col: str = "url") -> tuple[dict[str, int] | DataFrame, int]:
+    """Counts of the title words that lie in some URL, and the sum over all title words.
+
+    No count is lost at any size: words that no URL holds can't change a split.
+    Up to `most` words the counts are a dictionary, beyond that a table (word, count).
+    """
+    counts = title_counts(pages, html_col)
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    urls = pages.select(F.col(url_col).cast("string").alias("url"))
+
+    def make():
+        return lambda batch: {"word": list(set().union(*map(parts_of, strings(batch.column(0)))))}
+
+    found = cut(counts.join(map_rows(urls, make, "word string").distinct(), "word", "left_semi"))
+    if found.limit(most + 1).count() > most:
+        return found, total
+    return {r["word"]: r["count"] for r in found.toLocalIterator()}, total
+
+
 def unigram_counts(pages: DataFrame, size: int = VOCABULARY, html_col: str = "html") -> dict[str, int]:
     """Words a-z of all page titles with their counts; the most frequent, at most `size`, are the vocabulary.
 
     Words of one count are all in or all out, so the edge is found from the
     numbers of words by count, and only the vocabulary itself reaches the driver.
     """
-    title = F.lower(F.regexp_extract(F.coalesce(F.col(html_col).cast("string"), F.lit("")), r"(?is)<title>(.*?)</title>", 1))
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[a-z]{2,%d}" % LONGEST), F.lit(0))).alias("word"))
-    counts = cut(words.groupBy("word").count())
+    counts = title_counts(pages, html_col)
     least, held = 1, 0
     for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
         held += r["n"]
@@ -131,31 +161,42 @@ def unigram_counts(pages: DataFrame, size: int = VOCABULARY, html_col: str = "ht
     return {r["word"]: r["count"] for r in counts.where(F.col("count") >= least).toLocalIterator()}
 
 
-def judge_urls(pages: DataFrame, counts: dict[str, int], rules=RULES, block_at: float = 0.0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, counts: dict[str, int] | DataFrame, rules=RULES, block_at: float = 0.0, id_col: str = "page_id", url_col: str = "url", total: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, words, score for every row.
 
     words are the segmented words of host and path, score their log-odds of
     block; the verdict is the rule's where one fits and else block for a score
     above block_at. A null url, or one without `://`, has empty host and path
     and is allowed. Repeated rows stay repeated; other columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. counts are a dictionary, or a table
+    (word, count) whose rows are joined to the URLs that hold the words; `total`
+    is the sum of all counts, those not given included.
     """
+    table = isinstance(counts, DataFrame)
+    if total is None:
+        total = (counts.agg(F.sum("count")).first()[0] or 0) if table else sum(counts.values())
     known = Counter(w for p in (*BLOCK_PHRASES, *ALLOW_PHRASES) for w in p.split())
-    heavy = max(1, sum(counts.values()) // 10_000)  # the phrases' words count as fairly frequent words
-    merged = dict(counts)
-    for w, n in known.items():
-        merged[w] = merged.get(w, 0) + n * heavy
-    shared = pages.sparkSession.sparkContext.broadcast(merged)  # at most VOCABULARY words and the phrases'
+    heavy = max(1, total // 10_000)  # the phrases' words count as fairly frequent words
+    phrases = {w: n * heavy for w, n in known.items()}
+    whole = total + sum(phrases.values())
+
+    def merged(some: dict[str, int]) -> dict[str, int]:
+        return some | {w: some.get(w, 0) + n for w, n in phrases.items()}
+
+    # At most the words of url_word_counts and the phrases'.
+    shared = pages.sparkSession.sparkContext.broadcast(merged({} if table else counts))
 
     def make():
-        segmenter, bayes = Segmenter(shared.value), NaiveBayes()
+        segmenter, bayes = Segmenter(shared.value, whole), NaiveBayes()
 
         def work(batch: pa.RecordBatch) -> dict:
+            own = batch.column(2).to_pylist() if table else None
             out = {"page_id": batch.column(0), "host": [], "path": [], "rule": [], "verdict": [], "words": [], "score": []}
-            for url in strings(batch.column(1)):
+            for k, url in enumerate(strings(batch.column(1))):
                 host, path = parse(url)
                 rule = match_rule(host, path, rules)
-                words = segmenter.words(host) + segmenter.words(path)
+                used = Segmenter(merged({x["word"]: x["count"] for x in own[k] or ()}), whole) if table else segmenter
+                words = used.words(host) + used.words(path)
                 score = bayes.score(words)
                 verdict = rule[1] if rule else "block" if score > block_at else "allow"
                 for name, value in zip(("host", "path", "rule", "verdict", "words", "score"), (host, path, rule and rule[0], verdict, words, score), strict=True):
@@ -165,5 +206,17 @@ def judge_urls(pages: DataFrame, counts: dict[str, int], rules=RULES, block_at:
         return work
 
     kept = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    if table:
+
+        def pieces():
+            def work(batch: pa.RecordBatch) -> dict:
+                got = [(u, w) for u in set(strings(batch.column(0))) for w in parts_of(u)]
+                return {"url": [u for u, _ in got], "word": [w for _, w in got]}
+
+            return work
+
+        held = map_rows(kept.select("url"), pieces, "url string, word string").distinct().join(counts.select("word", "count"), "word")
+        held = held.groupBy("url").agg(F.collect_list(F.struct("word", "count")).alias("own"))
+        kept = kept.join(held, "url", "left").select("page_id", "url", "own")
     kind = kept.schema["page_id"].dataType.simpleString()
     return map_rows(kept, make, f"page_id {kind}, host string, path string, rule string, verdict string, words array<string>, score double")

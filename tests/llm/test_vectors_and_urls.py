@@ -105,3 +105,24 @@ def test_unigram_counts(spark):
     more = spark.createDataFrame([(1, "<title>aa aa aa bb bb cc dd</title>")], "page_id long, html string")
     assert url_filter.unigram_counts(more, size=3) == {"aa": 3, "bb": 2}
     assert url_filter.unigram_counts(more, size=4) == {"aa": 3, "bb": 2, "cc": 1, "dd": 1}
+
+
+def test_rare_words_count_at_any_size(spark, tmp_path):
+    from plumbline.llm import queries
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = ["q" + "".join(letters[k // 26**i % 26] for i in range(4)) for k in range(60_000)]  # one count each
+    titles = ["es " * 50 + "sex essex sex", *(" ".join(rare[i : i + 1000]) for i in range(0, 60_000, 1000))]
+    urls = ["http://essex.org/x", *(f"http://{rare[i]}{rare[i + 1]}.net/es/Essex" for i in range(0, 60_000, 1000))]
+    rows = [(i, u, f"<title>{t}</title>") for i, (u, t) in enumerate(zip(urls, titles, strict=True))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["words"] for r in queries.op4_url_filter(spark, str(tmp_path)).collect()}
+    assert got[0] == "essex org x"
+    assert got[1] == f"{rare[0]} {rare[1]} net es essex"
+    plain = url_filter.judge_urls(df, url_filter.unigram_counts(df, size=10**9))
+    assert got == {r["page_id"]: " ".join(r["words"]) for r in plain.collect()}
+    counts, total = url_filter.url_word_counts(df, most=10)
+    assert not isinstance(counts, dict)
+    joined = url_filter.judge_urls(df, counts, total=total)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect()))
