@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -20,14 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set a folder only where it is unset."""
+    """Use the cluster's spark.checkpoint.dir; set a folder only in local mode, where it is unset.
+
+    On a cluster a folder of the driver's machine would be no use to the others.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    if not shared and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plumbline-"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder.
+
+    Like `cut`, but columnar, and nothing of the plan before it stays: what
+    checkpoint() keeps of a plan's constraints grows in a loop.
+    """
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from those files.
 
