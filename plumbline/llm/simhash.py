@@ -8,26 +8,29 @@ at Hamming distance d have segment counts that differ by at most d in sum, so
 tile pairs beyond the radius are skipped without loss; all others are compared
 in full with numpy exclusive-or and bit counts. For small radii four segments
 of 16 bits skip most pairs, for larger ones the whole count is one segment.
-Large tiles are split into blocks, and a task holds two blocks at a time; from
-GRID * BLOCK fingerprints on blocks grow with the table, so that each
-fingerprint is sent out at most about GRID times. The comparisons themselves
-grow with the square of the number of distinct fingerprints in tiles within
-reach, which is what an exact comparison costs.
+Large tiles are split into blocks, and a task holds two blocks at a time. Blocks
+grow with the table only up to MOST_BLOCK fingerprints (some MB), so a task's
+memory is bounded whatever the table. The comparisons themselves grow with the
+square of the number of distinct fingerprints in tiles within reach, which is
+what an exact comparison costs.
 
 Links are emitted as minimum spanning forests, never all pairs of a group:
 components are unchanged, and n near copies give O(n) links for a tile pair.
 Components come from joins over those links.
 
-`near_components` links by the fingerprints alone. `drop_near_copies` has a
-class for each set of shingles, takes those with fingerprints within a wider radius as candidates and links those whose sets of
-shingles have a Jaccard similarity of `similarity` or more, computed on the
-whole texts. Its fingerprints are of the distinct shingles, and what lies beyond
-the radius is found by an exact prefix-filter join of the sets.
+`near_components` links by the fingerprints alone. `similar_components` links
+texts whose sets of shingles have a Jaccard similarity of `similarity` or more,
+computed on the whole texts. Its classes are the distinct sets, its fingerprints
+are of the distinct shingles, and tiles are also cut by the size of the set,
+whose ratio bounds the similarity. The tiles are compared in two passes:
+every block with itself, then blocks with each other, where classes that are
+already joined give no link any more. The candidates are verified, and what the
+fingerprints did not bring together is found by an exact prefix-filter join of
+the sets (`prefix_candidates`), so every pair with the similarity is linked.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator
@@ -35,7 +38,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -46,9 +49,9 @@ from plumbline.session import cut
 
 SEED = 42
 BLOCK = 2048
+MOST_BLOCK = 1 << 17
 GRID = 512
-SPARSE = 0.25
-OPEN_BLOCK = 512
+SIZE_STEP, SIZE_BASE = 1.25, 128
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -112,13 +115,15 @@ def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, key long, shingles array<long>")
 
 
-def frequent_shingles(docs: DataFrame, words: int, id_col: str, text_col: str, rows: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, words: int, id_col: str, text_col: str, rows: int = 10_000, share: float = 0.1, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, rank of each): shingles of three or more of some sampled texts, rank 1 the rarest.
 
-    They only set the order of a prefix: any sample gives the same links.
+    They only set the order of a prefix: any sample gives the same links. A
+    share of the table is sampled, `rows` texts at least, and the `most` most
+    frequent shingles are taken (some MB whatever the table).
     """
     n = docs.count()
-    some = docs.sample(min(1.0, rows / max(1, n)), SEED)
+    some = docs.sample(min(1.0, max(share, rows / max(1, n))), SEED)
     counts = shingle_sets(some, words, id_col, text_col).select(F.explode("shingles").alias("f")).groupBy("f").count().where("count > 2")
     found = counts.orderBy(F.desc("count"), "f").limit(most).toArrow()
     hashes = found["f"].to_numpy().view(np.uint64)
@@ -137,42 +142,96 @@ def prefix(distinct: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], simila
     return distinct[np.argsort(rank, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
-def set_prints(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, fp, size, prefix) of every row's distinct shingles."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words, id_col, text_col))
+def set_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, fp, size) of every row's distinct shingles."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             sets = [np.unique(shingle_hashes(x.lower(), words)) for x in raw(batch.column(1))]
-            return {
-                "doc_id": batch.column(0), "key": [set_digest(h) for h in sets], "fp": [majority(h) for h in sets], "size": [len(h) for h in sets],
-                "prefix": [prefix(h, frequent.value, similarity).view(np.int64) for h in sets],
-            }
+            return {"doc_id": batch.column(0), "key": [set_digest(h) for h in sets], "fp": [majority(h) for h in sets], "size": [len(h) for h in sets]}
 
         return work
 
-    return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, key long, fp long, size int, prefix array<long>")
+    return map_rows(_texts(docs, id_col, text_col), make, "doc_id long, key long, fp long, size int")
+
+
+def shared_features(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(f, key, size, part): prefix shingles that more than one class holds; part: share of a class's prefix that is shared.
+
+    A task gives each class once, so copies don't add up. The prefixes move
+    once, by shingle; those of one class only are dropped where they arrive.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words, id_col, text_col))
+
+    def make():
+        seen: set[int] = set()
+
+        def work(batch: pa.RecordBatch) -> dict:
+            fs, keys, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for text in raw(batch.column(0)):
+                distinct = np.unique(shingle_hashes(text.lower(), words))
+                key = set_digest(distinct)
+                if key in seen or not len(distinct):
+                    continue
+                seen.add(key)
+                first = prefix(distinct, frequent.value, similarity).view(np.int64)
+                fs.append(first)
+                keys.append(np.full(len(first), key))
+                sizes.append(np.full(len(first), len(distinct), np.int32))
+            return {"f": pa.array(np.concatenate(fs)), "key": pa.array(np.concatenate(keys)), "size": pa.array(np.concatenate(sizes))}
+
+        return work
+
+    features = map_rows(docs.select(F.col(text_col).cast("string").alias("text")), make, "f long, key long, size int")
+    near = Window.partitionBy("f")
+    held = features.withColumn("low", F.min("key").over(near)).withColumn("high", F.max("key").over(near)).where("low <> high")
+    held = cut(held.select("f", "key", "size").distinct())
+    parts = held.groupBy("key").agg((F.count("*") / _prefix_length(F.first("size"), similarity)).alias("part"))
+    return cut(held.join(parts, "key").select("f", "key", "size", "part"))
+
+
+def _prefix_length(n: Column, similarity: float) -> Column:
+    return n - F.ceil(F.lit(similarity) * n - 1e-9) + 1
+
+
+def live_features(shared: DataFrame, named: DataFrame) -> DataFrame:
+    """The shared features with their root, of shingles that more than one component holds."""
+    live = shared.join(named.select("key", "root"), "key")
+    several = live.groupBy("f").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("f")
+    return cut(live.join(several, "f", "left_semi"))
 
 
-def prefix_candidates(named: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst) of classes (key, size, prefix, root) in different components that may have the similarity, at any distance.
+def star_candidates(live: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst, r1, r2): of every shingle the most shared class with all others, one pair for two components.
 
-    Two sets with the similarity share a shingle of their prefixes, and the
-    first that they share leaves enough room behind it. Only shingles of more
-    than one component are joined, component by component, so a group that is
-    linked already gives no pairs of its own.
+    The class that shares most of its prefix is the middle of its group: what
+    the others were made from. So a group of n gives n candidates.
     """
-    features = named.select("key", "size", "root", F.posexplode("prefix").alias("at", "f"))
-    several = features.groupBy("f").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("f")
-    shared = cut(features.join(several, "f", "left_semi"))
-    roots = shared.select("f", "root").distinct()
-    apart = roots.select("f", F.col("root").alias("r1")).join(roots.select("f", F.col("root").alias("r2")), "f").where("r1 < r2")
-    side = lambda i: shared.select("f", F.col("root").alias(f"r{i}"), F.col("key").alias(f"k{i}"), F.col("size").alias(f"n{i}"), F.col("at").alias(f"at{i}"))
-    both = apart.join(side(1), ["f", "r1"]).join(side(2), ["f", "r2"])
-    room = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))  # the shared one and those behind it
+    middle = live.groupBy("f").agg(F.max_by(F.struct("key", "size", "root"), F.struct("part", "key")).alias("m"))
+    pairs = live.join(middle, "f").where((F.col("root") != F.col("m.root")) & _sizes_fit(F.col("size"), F.col("m.size"), similarity))
+    counted = pairs.groupBy("key", F.col("m.key").alias("mid"), "root", F.col("m.root").alias("other")).count()
+    ends = F.struct(F.col("key").alias("src"), F.col("mid").alias("dst"))
+    best = counted.groupBy(F.least("root", "other").alias("r1"), F.greatest("root", "other").alias("r2")).agg(F.max_by(ends, F.struct("count", "key", "mid")).alias("e"))
+    return best.select("e.src", "e.dst", "r1", "r2")
+
+
+def _sizes_fit(n1: Column, n2: Column, similarity: float) -> Column:
+    return F.least(n1, n2) >= F.lit(similarity) * F.greatest(n1, n2) - 1e-6
+
+
+def prefix_candidates(live: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst, r1, r2) of all classes in different components that may have the similarity, at any distance.
+
+    Shared shingles before the nearer end of the two prefixes lie in both
+    prefixes, the others behind one prefix. So the shared ones of the prefixes
+    and the longer rest bound the whole number of shared shingles.
+    """
+    side = lambda i: live.select("f", F.col("root").alias(f"r{i}"), F.col("key").alias(f"k{i}"), F.col("size").alias(f"n{i}"))
+    both = side(1).join(side(2), "f").where((F.col("r1") < F.col("r2")) & _sizes_fit(F.col("n1"), F.col("n2"), similarity))
+    pairs = both.groupBy("k1", "k2", "n1", "n2", "r1", "r2").count()
+    rest = F.greatest(*(F.col(n) - _prefix_length(F.col(n), similarity) for n in ("n1", "n2")))
     needed = F.lit(similarity / (1 + similarity)) * (F.col("n1") + F.col("n2")) - 1e-6
-    sizes = F.least("n1", "n2") >= F.lit(similarity) * F.greatest("n1", "n2") - 1e-6
-    return both.where(sizes & (room >= needed)).select(F.col("k1").alias("src"), F.col("k2").alias("dst")).distinct()
+    return pairs.where(F.col("count") + rest >= needed).select(F.col("k1").alias("src"), F.col("k2").alias("dst"), "r1", "r2")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -185,42 +244,54 @@ def _segment_counts(segments: int) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(F.col("fp"), bits * i).bitwiseAND(mask)).cast("int") for i in range(segments)]
 
 
-def neighbour_offsets(radius: int, segments: int) -> list[tuple[int, ...]]:
-    """Differences of segment counts within the radius, one of each opposite pair."""
+def neighbour_offsets(radius: int, segments: int, by_size: bool = False) -> list[tuple[int, ...]]:
+    """Differences of segment counts within the radius, and of size steps, one of each opposite pair."""
     most = min(radius, 64 // segments)
-    zero = (0,) * segments
-    return [d for d in itertools.product(range(-most, most + 1), repeat=segments) if sum(map(abs, d)) <= radius and d >= zero]
+    counts = [d for d in itertools.product(range(-most, most + 1), repeat=segments) if sum(map(abs, d)) <= radius]
+    every = [(*d, *s) for d in counts for s in (((-1,), (0,), (1,)) if by_size else ((),))]
+    return [d for d in every if d >= (0,) * len(d)]
+
+
+def _bases(segments: int, by_size: bool) -> list[int]:
+    return [64 // segments + 1] * segments + [SIZE_BASE] * by_size
 
 
-def tile_rows(classes: DataFrame, segments: int, block: int = BLOCK) -> DataFrame:
-    """(tile, block, xs): the classes (fp, size, perhaps key, ...) packed by segment counts, a block to a row."""
-    base = 64 // segments + 1
+def tile_rows(classes: DataFrame, segments: int, block: int = BLOCK, by_size: bool = False) -> DataFrame:
+    """(tile, block, xs): the classes (fp, size, perhaps key, ...) packed by segment counts, a block to a row.
+
+    by_size also cuts by the size in steps of SIZE_STEP.
+    """
+    digits = _segment_counts(segments)
+    if by_size:
+        digits.append(F.least(F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(SIZE_STEP) + 1e-9), F.lit(SIZE_BASE - 1)).cast("int"))
     key = F.lit(0)
-    for count in _segment_counts(segments):
-        key = key * base + count
+    for base, digit in zip(_bases(segments, by_size), digits, strict=True):
+        key = key * base + digit
     tiled = cut(classes.withColumn("tile", key.cast("int")))
-    counts = tiled.groupBy("tile").count()  # at most base ** segments rows
-    n = tiled.count()
-    size = max(block, -(-n // GRID))
-    parts = tiled.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64(*(c for c in ("fp", "key") if c in classes.columns)), F.ceil(F.col("count") / size)).cast("int"))
-    return cut(parts.groupBy("tile", "block").agg(F.array_sort(F.collect_list(F.struct(*classes.columns))).alias("xs")))
+    counts = tiled.groupBy("tile").count()  # at most the product of the bases, 83,521 rows
+    size = min(MOST_BLOCK, max(block, -(-tiled.count() // GRID)))
+    parts = tiled.join(F.broadcast(counts), "tile").withColumn("block", F.pmod(F.xxhash64(*(c for c in ("fp", "key") if c in classes.columns)), F.ceil(F.col("count") / size)).cast("int"))
+    return cut(parts.repartition("tile", "block").groupBy("tile", "block").agg(F.array_sort(F.collect_list(F.struct(*classes.columns))).alias("xs")))
 
 
-def tile_pairs(rows: DataFrame, radius: int, segments: int) -> DataFrame:
+def tile_pairs(rows: DataFrame, radius: int, segments: int, by_size: bool = False) -> DataFrame:
     """(tile, block, tile2, block2): pairs of rows within reach, each once, a row with itself included."""
-    base = 64 // segments + 1
+    bases = _bases(segments, by_size)
     keys = rows.select("tile", "block")
-    digits = F.array(*(F.pmod(F.floor(F.col("tile") / base ** (segments - 1 - i)), F.lit(base)).cast("int") for i in range(segments)))
-    offsets = F.array(*(F.array(*map(F.lit, d)) for d in neighbour_offsets(radius, segments)))
+    digits = F.array(*(F.pmod(F.floor(F.col("tile") / math.prod(bases[i + 1 :])), F.lit(base)).cast("int") for i, base in enumerate(bases)))
+    offsets = F.array(*(F.array(*map(F.lit, d)) for d in neighbour_offsets(radius, segments, by_size)))
     near = keys.withColumn("digits", digits).withColumn("d", F.explode(offsets)).withColumn("to", F.zip_with("digits", "d", lambda a, b: a + b))
-    near = near.where(~F.exists("to", lambda x: (x < 0) | (x >= base)))
-    other = F.aggregate("to", F.lit(0), lambda a, x: a * base + x)
+    tops = F.array(*map(F.lit, bases))
+    near = near.where(~F.exists(F.zip_with("to", tops, lambda x, top: (x < 0) | (x >= top)), lambda x: x))
+    other = F.lit(0)
+    for i, base in enumerate(bases):
+        other = other * base + F.col("to")[i]
     pairs = near.select("tile", "block", other.alias("tile2")).join(keys.select(F.col("tile").alias("tile2"), F.col("block").alias("block2")), "tile2")
     return pairs.where((F.col("tile") != F.col("tile2")) | (F.col("block") <= F.col("block2"))).select("tile", "block", "tile2", "block2")
 
 
 def compare(rows: DataFrame, radius: int, segments: int, work: Callable, schema: str, pairs: DataFrame | None = None) -> DataFrame:
-    """work(x, y, same, at) over tile pairs: x and y are the two rows' columns by name, at the pair's tiles and blocks."""
+    """work(x, y, same) over tile pairs: x and y are the two rows' columns by name, same: they are one row."""
     pairs = tile_pairs(rows, radius, segments) if pairs is None else pairs
     left = pairs.join(rows.withColumnRenamed("xs", "xs1"), ["tile", "block"])
     right = rows.select(F.col("tile").alias("tile2"), F.col("block").alias("block2"), F.col("xs").alias("xs2"))
@@ -234,7 +305,7 @@ def compare(rows: DataFrame, radius: int, segments: int, work: Callable, schema:
         for batch in batches:
             for i in range(batch.num_rows):
                 at = [batch.column(c)[i].as_py() for c in range(4)]
-                out = work(columns(batch.column(4)[i]), columns(batch.column(5)[i]), at[:2] == at[2:], at)
+                out = work(columns(batch.column(4)[i]), columns(batch.column(5)[i]), at[:2] == at[2:])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
     return map_arrow(both, run, schema)
@@ -265,36 +336,39 @@ def near_steps(x: dict, y: dict, same: bool, radius: int, ratio: float) -> Itera
         yield u[use], v[use], d[use]
 
 
-def tile_links(x: dict, y: dict, same: bool, radius: int, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(src, dst, whole): all links of two blocks if few, else a minimum spanning forest of them.
+def tile_links(x: dict, y: dict, same: bool, radius: int, ratio: float = 0.0) -> tuple[np.ndarray, ...]:
+    """(src, dst) of a minimum spanning forest of two blocks' links; with roots (src, dst, r1, r2), none inside a root.
 
     The ends are keys where the classes have them, else fingerprints.
-    Few is up to SPARSE for each fingerprint of the two blocks: groups of near
-    copies are spread over many tile pairs, each of which must count as dense.
     """
     first = len(x["fp"])
     base, n = (0, first) if same else (first, first + len(y["fp"]))
+    both = lambda name: _numbers(x[name]) if same else np.concatenate([_numbers(x[name]), _numbers(y[name])])
+    label = np.unique(both("root"), return_inverse=True)[1] if "root" in x else np.arange(n)
     got = [[np.empty(0, np.int64)] for _ in range(3)]
-    whole, held = True, 0
+    held = 0
     for u, v, d in near_steps(x, y, same, radius, ratio):
-        for kept, new in zip(got, (u, v + base, d), strict=True):
+        apart = label[u] != label[v + base]
+        for kept, new in zip(got, (u[apart], v[apart] + base, d[apart]), strict=True):
             kept.append(new)
-        held += len(u)
-        whole &= held <= SPARSE * n
-        if not whole and held > 1 << 20:
-            got = [[z] for z in forest(*map(np.concatenate, got), n)]
+        held += int(apart.sum())
+        if held > 1 << 20:
+            got = [[z] for z in forest(*map(np.concatenate, got), label)]
             held = len(got[0][0])
-    u, v, d = map(np.concatenate, got)
-    if not whole:
-        u, v, d = forest(u, v, d, n)
-    name = "key" if "key" in x else "fp"
-    nodes = _numbers(x[name]) if same else np.concatenate([_numbers(x[name]), _numbers(y[name])])
-    return nodes[u], nodes[v], whole
+    u, v, _ = forest(*map(np.concatenate, got), label)
+    nodes = both("key" if "key" in x else "fp")
+    if "root" not in x:
+        return nodes[u], nodes[v]
+    roots = both("root")
+    return nodes[u], nodes[v], roots[u], roots[v]
 
 
-def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the links: every component takes its nearest link out, again and again."""
-    label, taken = np.arange(n), []
+def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the links: every component takes its nearest link out, again and again.
+
+    label: for each node a number below their count; nodes with one label are one from the start.
+    """
+    label, taken = label.copy(), []
     live = np.arange(len(u))
     while True:
         live = live[label[u[live]] != label[v[live]]]
@@ -308,10 +382,10 @@ def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndar
         taken.append(chosen)
         while True:
             low = np.minimum(label[u[chosen]], label[v[chosen]])
-            after = label.copy()
-            for x in (label[u[chosen]], label[v[chosen]]):  # whole components move, never single nodes
-                np.minimum.at(after, x, low)
-            after = after[after]
+            to = np.arange(len(label))  # of labels: whole components move, never single nodes
+            for x in (label[u[chosen]], label[v[chosen]]):
+                np.minimum.at(to, x, low)
+            after = to[to][label]
             if (after == label).all():
                 break
             label = after
@@ -323,7 +397,7 @@ def links(classes: DataFrame, radius: int = 3) -> DataFrame:
     """(src, dst): links among distinct fingerprints with the components of all links within the radius."""
     segments = 4 if radius <= 4 else 1
     rows = tile_rows(classes.select("fp", "size"), segments)
-    return compare(rows, radius, segments, lambda x, y, same, at: tile_links(x, y, same, radius)[:2], "src long, dst long")
+    return compare(rows, radius, segments, lambda x, y, same: tile_links(x, y, same, radius), "src long, dst long")
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,119 +436,66 @@ def sets_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose shingle sets have the similarity."""
+    """The pairs (src, dst, ...) whose shingle sets have the similarity."""
     both = pairs.join(sets.select(F.col("key").alias("src"), F.col("shingles").alias("a")), "src")
     both = both.join(sets.select(F.col("key").alias("dst"), F.col("shingles").alias("b")), "dst")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
-
-
-def open_ends(x: dict, y: dict, same: bool, radius: int, ratio: float) -> tuple[np.ndarray]:
-    """The keys of classes with a candidate in another component (root)."""
-    r1, r2 = _numbers(x["root"]), _numbers(y["root"])
-    found = [np.zeros(len(r1), bool), np.zeros(len(r2), bool)]
-    for u, v, _ in near_steps(x, y, same, radius, ratio):
-        apart = r1[u] != r2[v]
-        found[0][u[apart]] = True
-        found[1][v[apart]] = True
-    return (np.concatenate([_numbers(x["key"])[found[0]], _numbers(y["key"])[found[1]]]),)
-
-
-def verified_links(x: dict, y: dict, same: bool, radius: int, similarity: float) -> tuple[list, list]:
-    """Links between components that have the similarity: the nearest candidates first, none inside what is joined."""
-    r1, r2 = _numbers(x["root"]).tolist(), _numbers(y["root"]).tolist()
-    key1, key2 = _numbers(x["key"]).tolist(), _numbers(y["key"]).tolist()
-    parent: dict[int, int] = {}
-
-    def find(r: int) -> int:
-        while parent.get(r, r) != r:
-            parent[r] = parent.get(parent[r], parent[r])
-            r = parent[r]
-        return r
-
-    @functools.lru_cache(maxsize=BLOCK)
-    def members(side: int, i: int) -> frozenset[int]:
-        return frozenset((x, y)[side]["shingles"][i].values.to_pylist())
-
-    src, dst = [], []
-    for u, v, d in near_steps(x, y, same, radius, similarity):
-        for k in np.argsort(d, kind="stable").tolist():
-            i, j = int(u[k]), int(v[k])
-            a, b = find(r1[i]), find(r2[j])
-            if a == b:
-                continue
-            p, q = members(0, i), members(0 if same else 1, j)
-            common = len(p & q)
-            if common >= similarity * (len(p) + len(q) - common):
-                parent[max(a, b)] = min(a, b)
-                src.append(key1[i])
-                dst.append(key2[j])
-    return src, dst
-
-
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select(*pairs.columns)
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id for every row with an id: near copies by shingle sets.
 
     Texts with one set of shingles are one class. Candidates are classes with
     fingerprints within `radius`, equal ones included, whose numbers of shingles
     allow the similarity; a candidate is a link when the whole texts' sets of
-    shingles have it. Tile pairs with few candidates give them all, and
-    they are verified. A dense tile pair, as a large group of near copies
-    makes, gives a spanning forest first. After that is verified, the
-    classes that still have a candidate in another component are compared
-    once more with their sets at hand, and only links that join components
-    leave the task: no link is lost, and no task gives all pairs of a group.
-    Classes of different components beyond the radius are joined by prefixes of
-    their sets, so every pair with the similarity is linked.
+    shingles have it. Every block of classes is compared with itself, and one
+    candidate of two components that share a shingle of their prefixes brings
+    large groups together. Then blocks are compared with each other, and in the
+    end all classes of different components that may still have the similarity
+    are joined by their prefixes. Every pair with the similarity is linked, at
+    any radius. Null and empty texts are one class.
     """
-    rows = cut(set_prints(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col, text_col))
-    classes = cut(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low"), F.max("size").alias("size"), F.first("prefix").alias("prefix")))
-    tiles = tile_rows(classes.select("fp", "key", "size"), 1)
-    pairs = cut(tile_pairs(tiles, radius, 1))
-
-    def first(x, y, same, at):
-        u, v, whole = tile_links(x, y, same, radius, similarity)
-        return u, v, *(np.full(len(u), c, np.int32) for c in at), np.full(len(u), whole)
-
-    found = cut(compare(tiles, radius, 1, first, "src long, dst long, tile int, block int, tile2 int, block2 int, whole boolean", pairs))
-    candidates = found.select("src", "dst").distinct()
-    ends = candidates.select(F.explode(F.array("src", "dst")).alias("key"))
-    good = cut(verified(candidates, sets_of(ends, classes, docs, words, id_col, text_col), similarity))
-    roots = connected_components(good)
-    dense = found.where("not whole").select("tile", "block", "tile2", "block2").distinct()
-    if not dense.isEmpty():
-        named = with_roots(classes, roots)
-        # The same classes are tiled the same way, so the dense pairs are found again.
-        apart = compare(tile_rows(named.select("fp", "key", "size", "root"), 1), radius, 1, lambda x, y, same, at: open_ends(x, y, same, radius, similarity), "key long", dense)
-        apart = cut(apart.distinct())
-        sets = sets_of(apart, classes, docs, words, id_col, text_col)
-        held = tile_rows(named.select("fp", "key", "size", "root").join(sets, "key"), 1, OPEN_BLOCK)
-        more = compare(held, radius, 1, lambda x, y, same, at: verified_links(x, y, same, radius, similarity), "src long, dst long")
-        good = cut(good.union(more))
-        roots = connected_components(good)
-    beyond = cut(prefix_candidates(with_roots(classes, roots).select("key", "size", "prefix", "root"), similarity))
-    if not beyond.isEmpty():
-        ends = beyond.select(F.explode(F.array("src", "dst")).alias("key"))
-        far = cut(verified(beyond, sets_of(ends, classes, docs, words, id_col, text_col), similarity))
-        roots = connected_components(good.union(far))
-    named = cut(with_roots(classes, roots).select("key", "low", "root"))
+    named_docs = docs.where(F.col(id_col).isNotNull())
+    rows = cut(set_prints(named_docs, words, id_col, text_col))
+    classes = cut(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low"), F.max("size").alias("size")))
+    named = classes.withColumn("root", F.col("key"))
+
+    def joined(named: DataFrame, candidates: DataFrame) -> DataFrame:
+        """named with the components that the verified candidates join."""
+        candidates = cut(candidates)
+        if candidates.isEmpty():
+            return named
+        ends = candidates.select(F.explode(F.array("src", "dst")).alias("key"))
+        good = verified(candidates, sets_of(ends, classes, named_docs, words, id_col, text_col), similarity)
+        moved = connected_components(good, "r1", "r2")
+        found = named.join(moved, named["root"] == moved["node"], "left")
+        return cut(found.select("key", "fp", "low", "size", F.coalesce("component", "root").alias("root")))
+
+    shared = shared_features(named_docs, words, similarity, id_col, text_col)
+    for own in (True, False):
+        tiles = tile_rows(named.select("fp", "key", "size", "root"), 1, by_size=True)
+        pairs = tile_pairs(tiles, radius, 1, True)
+        pairs = pairs.where((F.col("tile") == F.col("tile2")) & (F.col("block") == F.col("block2")) if own else (F.col("tile") != F.col("tile2")) | (F.col("block") != F.col("block2")))
+        links = compare(tiles, radius, 1, lambda x, y, same: tile_links(x, y, same, radius, similarity), "src long, dst long, r1 long, r2 long", pairs)
+        one = F.min(F.struct("src", "dst")).alias("e")
+        links = links.groupBy(F.least("r1", "r2").alias("r1"), F.greatest("r1", "r2").alias("r2")).agg(one).select("e.src", "e.dst", "r1", "r2")
+        named = joined(named, links)
+        live = live_features(shared, named)
+        if not live.isEmpty():
+            named = joined(named, star_candidates(live, similarity) if own else prefix_candidates(live, similarity))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(lows, "root").select("key", "component_id")
     return rows.join(ids, "key").select("doc_id", "component_id")
 
 
-def with_roots(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """classes with root: the component of the key, itself where it has no link."""
-    return classes.join(roots, classes["key"] == roots["node"], "left").select(*classes.columns, F.coalesce("component", "key").alias("root"))
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest id.
 
     Rows without an id are not compared and stay. Of rows that repeat the id
     that stays, one of each text is left.
     """
-    found = cut(similar_components(docs, words, similarity, radius, id_col, text_col))
+    found = cut(similar_components(docs, words, similarity, radius, id_col=id_col, text_col=text_col))
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     out = docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -62,28 +62,6 @@ def test_exact(stages):
     assert sorted(r["doc_id"] for r in after) == sorted(keep.values())
 
 
-def test_near(stages):
-    before, after, _ = stages[2]
-    rows = sorted(before, key=lambda r: r["doc_id"])
-    low = [(r["text"] or "").encode().lower() for r in rows]
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in low]
-    prints = [simhash.fingerprint(t, 5) & (2**64 - 1) for t in low]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for j in range(len(rows)):
-        for i in range(j):
-            near = (prints[i] ^ prints[j]).bit_count() <= 14 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-            if near or prints[i] == prints[j]:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    assert sorted(r["doc_id"] for r in after) == [r["doc_id"] for i, r in enumerate(rows) if root[i] == i]
-
-
 def test_near_by_similarity_alone(stages):
     before, after, _ = stages[2]
     rows = sorted(before, key=lambda r: r["doc_id"])

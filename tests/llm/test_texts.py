@@ -140,25 +140,47 @@ def test_near_components(spark):
     assert any(k != i for i, k in enumerate(roots))
 
 
-def test_dense_tiles_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SPARSE", 0)  # every tile pair takes the forest first
-    df = near_docs(spark)
-    rows = sorted(df.collect())
-    sets = [set(simhash.shingle_hashes((r["text"] or "").encode().lower(), 5).tolist()) for r in rows]
-    prints = [plain_fingerprint(r["text"] or "", 5) for r in rows]
+def jaccard_components(texts: list[str], similarity: float = 0.8) -> list[int]:
+    """Brute force over all pairs, on the sets of five-word shingles alone."""
+    sets = [set(simhash.shingle_hashes(t.encode().lower(), 5).tolist()) for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return closure(len(sets), pairs)
 
-    def linked(i, j):
-        common = len(sets[i] & sets[j])
-        near = (prints[i] ^ prints[j]).bit_count() <= 14 and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)
-        return prints[i] == prints[j] or near
 
-    roots = closure(len(rows), [(i, j) for j in range(len(rows)) for i in range(j) if linked(i, j)])
+def test_similar_components_lose_no_link(spark):
+    df = near_docs(spark)
+    rows = sorted(df.collect())
+    roots = jaccard_components([r["text"] or "" for r in rows])
     expected = [(r["doc_id"], rows[k]["doc_id"]) for r, k in zip(rows, roots, strict=True)]
     assert sorted(rows_of(simhash.similar_components(df))) == sorted(expected)
     left = {r["doc_id"] for r in simhash.drop_near_copies(df).collect()}
     assert left == {k for _, k in expected}
 
 
+def test_large_group_gives_few_candidates(spark, monkeypatch):
+    """1,200 near copies of one text over many tiles and blocks: candidates stay linear and no link is lost."""
+    rng = random.Random(3)
+    seed = [f"w{i}" for i in range(150)]
+    texts = [" ".join(seed)]
+    for k in range(1200):
+        own = list(seed)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(150)] = f"x{rng.randint(0, 10**9)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"v{k}-{i}" for i in range(rng.randint(100, 180))) for k in range(300)]
+    counted, verify = [], simhash.verified
+
+    def verified(pairs, sets, similarity):
+        counted.append(pairs.count())
+        return verify(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "verified", verified)
+    monkeypatch.setattr(simhash.tile_rows, "__defaults__", (64, False))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(rows_of(simhash.similar_components(df))) == [(i, 0 if i <= 1200 else i) for i in range(len(texts))]
+    assert sum(counted) <= 2 * len(texts), counted
+
+
 def test_equal_fingerprints_are_verified(spark):
     line = " ".join(f"l{i}" for i in range(11))
     texts = [" ".join([line] * 100 + [f"{c}{i}" for i in range(40)]) for c in "ab"]
@@ -184,6 +206,8 @@ def test_near_copies_beyond_the_radius(spark):
     sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
     prints = [simhash.majority(np.array(sorted(x), np.uint64)) & (2**64 - 1) for x in sets]
     pairs = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = sum((prints[i] ^ prints[j]).bit_count() <= 10 for i, j in pairs)
+    assert 0.2 * len(pairs) < found < len(pairs)  # the fingerprints find a part, the prefixes the rest
     assert any((prints[i] ^ prints[j]).bit_count() > 14 for i, j in pairs)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(rows_of(simhash.similar_components(df))) == list(enumerate(closure(len(texts), pairs)))
@@ -193,7 +217,7 @@ def test_forest_keeps_components():
     rng = np.random.default_rng(0)
     u, v = rng.integers(0, 60, 300), rng.integers(0, 60, 300)
     d = rng.integers(0, 9, 300)
-    a, b, c = simhash.forest(u, v, d, 60)
+    a, b, c = simhash.forest(u, v, d, np.arange(60))
     assert closure(60, zip(u, v, strict=True)) == closure(60, zip(a, b, strict=True))
     assert len(a) == 60 - len(set(closure(60, zip(u, v, strict=True))))
     kruskal = 0
