@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from plumbline.functions.scalar import ratio, wilson
 
 # Lower ends of the bands, their weights, and the thresholds of the curve.
-BANDS = (0.0, 0.2, 0.3, 0.4, 0.5, 0.65)
+BANDS = (0.0, 0.20, 0.35, 0.45, 0.60, 0.80)
 WEIGHTS = (1, 2, 4, 4, 2, 1)
 THRESHOLDS = tuple(round(0.20 + 0.05 * i, 2) for i in range(13))
 LEAST_LABELS, LEAST_POSITIVES = 100, 20
@@ -37,7 +37,7 @@ def band_sample(pairs: DataFrame, n: int, seed: int = 0) -> DataFrame:
     scored = pairs.withColumn("band", band(F.col("score")))
     there = [r["band"] for r in scored.select("band").distinct().collect()]  # six bands at most
     whole = sum(WEIGHTS[b] for b in there) or 1
-    quota = {b: max(1, int(n * WEIGHTS[b] / whole + 0.5)) for b in there}
+    quota = {b: max(1, round(n * WEIGHTS[b] / whole)) for b in there}  # halves to even
     limit = F.lit(0)
     for b, q in quota.items():
         limit = F.when(F.col("band") == b, q).otherwise(limit)

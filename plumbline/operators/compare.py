@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 # Inputs tried for a parameter of each type.
 SEEDS = {
-    "int": (0, 1, -1, 2, 10, 100),
-    "float": (0.0, 0.5, 1.5, 2.5, -0.5, 0.125),
-    "str": ("", "a", "A", " ", "0"),
+    "float": (0.0, 0.5, 0.05, 0.005, -0.5, 1.5, 2.5, 12.5, 0.125, 0.135, 1.005, 2.675, 99.995),
+    "int": (0, 1, 2, 3, 4, 5, -1, 10, 100),
+    "str": ("", "a", "abc", "  ", "café", "x" * 40),
     "bool": (True, False),
+    "list": ([], [1], [1, 2, 3]),
+    "dict": ({}, {"k": "v"}),
 }
+COLUMN_TYPES = {"int": "long", "float": "double", "str": "string", "bool": "boolean", "list": "array<long>", "dict": "map<string,string>"}
 MOST_CASES = 500
 
 
@@ -22,7 +25,7 @@ def seed_cases(spark, types: dict[str, str], most: int = MOST_CASES) -> DataFram
     if any(t not in SEEDS for t in types.values()):
         return None
     rows = itertools.islice(itertools.product(*(SEEDS[t] for t in types.values())), most)
-    ddl = ", ".join(f"{n} {({'int': 'long', 'float': 'double', 'str': 'string', 'bool': 'boolean'})[t]}" for n, t in types.items())
+    ddl = ", ".join(f"{n} {COLUMN_TYPES[t]}" for n, t in types.items())
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"case long, {ddl}")
 
 

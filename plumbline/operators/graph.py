@@ -142,9 +142,26 @@ def graph_snapshot(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         row.join(F.broadcast(cycles))
         .withColumn("coupling_density", ratio(F.col("n_edges"), F.col("n_modules")))
         .withColumn("cycle_ratio", ratio(F.col("cyclic_modules"), F.col("n_modules")))
+        .withColumn("max_fan_in_ratio", ratio(F.col("max_fan_in"), F.col("n_modules")))
     )
 
 
+def main_sequence(deg: DataFrame, abstractness: DataFrame) -> DataFrame:
+    """One row of means over modules (id, instability) and (id, abstractness).
+
+    mean_instability over modules with an edge, mean_abstractness over modules
+    with a class, mean_distance abs(a + i - 1) and zone_of_pain (both below 0.3)
+    over modules with both; a mean of nothing is 0.
+    """
+    a, i = F.col("abstractness"), F.col("instability")
+    both = deg.select("id", "instability").join(abstractness.select("id", "abstractness"), "id", "full_outer")
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return both.agg(
+        mean(i).alias("mean_instability"), mean(a).alias("mean_abstractness"), mean(F.abs(a + i - 1)).alias("mean_distance"),
+        F.count(a + i).alias("distance_modules"), F.count_if((a < 0.3) & (i < 0.3)).alias("zone_of_pain"),
+    )
+
+
 def layer_violations(edges: DataFrame, layer_of: DataFrame, ranks: DataFrame) -> DataFrame:
     """(src, dst, src_layer, dst_layer): edges into a layer that comes before the source's own.
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers that say nothing when shared.
-TRIVIAL = (0, 1, 2, -1, 10, 100)
-STOP = "the a an of to is in for how what which where do does we our i it and or with".split()
+# Numbers that say nothing when shared, words that are no subject of a question, and the cues of its kind in their order.
+TRIVIAL = (0, 1, 2, -1, 10, 100, 1000, 0.0, 1.0, 0.5)
+STOP = """which what where does do is the a an of for to in on sites site compute computes canonical shape exist exists already
+helper helpers reuse layer layers depend depends dependency module modules convention conventions constant value values govern governs
+entity shapes and diverge diverges how there any it its has have are with this that use used uses shared constants or across""".split()
+CUES = (
+    ("convention", r"\bconvention|\bconstant|\bvalue"),
+    ("entity", r"\bentity|\bshape|\bcanonical"),
+    ("module", r"\blayer|\bdepend|\bimport|\brole"),
+    ("helper", r"\bhelper|\breuse|\bexist|\balready"),
+)
 
 
 def significant(kind: Column, text: Column) -> Column:
@@ -56,20 +66,22 @@ def incompatible_shapes(shapes: DataFrame) -> DataFrame:
 
 def route(question: Column) -> Column:
     """Kind of a question by its first fitting cue: convention, entity, module, helper, else concept."""
-    q = F.lower(question)
-    return (
-        F.when(q.rlike(r"\b(convention|pattern|style|rule)s?\b"), "convention")
-        .when(q.rlike(r"\b(entity|entities|shape|fields?|schema)\b"), "entity")
-        .when(q.rlike(r"\b(module|package|depends?|imports?)\b"), "module")
-        .when(q.rlike(r"\b(helper|reuse|function|utility)\b"), "helper")
-        .otherwise("concept")
-    )
+    kind = F.lit("concept")
+    for name, cue in reversed(CUES):
+        kind = F.when(F.lower(question).rlike(cue), name).otherwise(kind)
+    return kind
+
+
+def subject_words(question: str) -> list[str]:
+    """Words of a question that are no stop words, letters and digits apart; repeats stay."""
+    asked = [w for w in re.split(r"[^a-z0-9]+", question.lower()) if w and w not in STOP]
+    return [part for w in asked for part in re.findall(r"[a-z]+|[0-9]+", w)]
 
 
 def keyword_hits(facts: DataFrame, question: str) -> DataFrame:
     """(name, score) of facts (name, tokens, doc) by question words: one for each token that is a word
     and one for each word inside the lower-case doc; words that repeat count again; zero scores go."""
-    asked = [w for w in "".join(c if c.isalnum() else " " for c in question.lower()).split() if w not in STOP]
+    asked = subject_words(question)
     if not asked:
         return facts.select("name", F.lit(0).alias("score")).limit(0)
     doc = F.lower(F.coalesce("doc", F.lit("")))

@@ -67,15 +67,33 @@ def rank_auc(scores: DataFrame) -> DataFrame:
     return out.withColumn("auc", F.when(pairs > 0, F.col("wins2") / (2 * pairs)))
 
 
-def modularity_score(cycle: Column, distance: Column, spread: Column) -> Column:
-    """0 to 10 from three shares between 0 (good) and 1: cycles 45 %, distance 30 %, spread 25 %."""
+def modularity_score(density: Column, fan_in_ratio: Column, cycle_ratio: Column, largest_ratio: Column, variation: Column) -> dict[str, Column]:
+    """mod, hier, cons and mmi (0 to 10) of a graph.
+
+    mod: few edges for each module and no module that all others use. hier: few
+    modules on cycles and no large one. cons: modules of like instability.
+    """
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return 10 * (0.45 * (1 - clamp(cycle)) + 0.30 * (1 - clamp(distance)) + 0.25 * (1 - clamp(spread)))
+    # The weights of the parts.
+    mod = clamp(1 - density / 5.0) * 0.6 + clamp(1 - fan_in_ratio) * 0.4
+    hier = clamp(1 - cycle_ratio) * 0.7 + clamp(1 - largest_ratio) * 0.3
+    cons = clamp(1 - variation)
+    return {"mod": mod, "hier": hier, "cons": cons, "mmi": 10 * (0.45 * mod + 0.30 * hier + 0.25 * cons)}
 
 
 def modularity_tier(score: Column) -> Column:
-    """poor below 4, fair below 6, good below 7.5, else strong."""
-    return F.when(score < 4, "poor").when(score < 6, "fair").when(score < 7.5, "good").otherwise("strong")
+    """critical below 4, high below 6, moderate below 7.5, else low: the tier of the risk."""
+    return F.when(score < 4, "critical").when(score < 6, "high").when(score < 7.5, "moderate").otherwise("low")
+
+
+def modularity(snapshot: DataFrame, degrees: DataFrame) -> DataFrame:
+    """One row (mmi, tier, mod, hier, cons) from a graph's snapshot and degrees; isolated vertices don't vary."""
+    n = F.greatest("n_modules", F.lit(1)).cast("double")
+    spread = degrees.where("instability is not null").agg(F.count("*").alias("k"), F.stddev_pop("instability").alias("sd"), F.avg("instability").alias("m"))
+    cv = F.when(F.col("k") > 1, F.col("sd") / (F.col("m") + 1e-9)).otherwise(0.0)
+    parts = modularity_score(F.col("coupling_density"), F.col("max_fan_in_ratio"), F.col("cycle_ratio"), F.col("largest_cycle") / n, cv)
+    both = snapshot.join(F.broadcast(spread))
+    return both.select(F.round(parts["mmi"], 2).alias("mmi"), modularity_tier(parts["mmi"]).alias("tier"), *(F.round(parts[k], 3).alias(k) for k in ("mod", "hier", "cons")))
 
 
 def variation(values: DataFrame, value: str, by: list[str]) -> DataFrame:

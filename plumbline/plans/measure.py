@@ -40,7 +40,7 @@ def duplication(facts: DataFrame, least: float = similarity.SIMILARITY) -> tuple
 
 
 def architecture(facts: DataFrame, package: str) -> DataFrame:
-    """A row for each state: modules, edges, density, cycles, fan-in, unreadable files."""
+    """A row for each state: modules, edges, density, cycles, fan-in, unreadable files, and the means of `graph.main_sequence`."""
     edges = cut(source_facts.import_edges(facts, package))
     modules = facts.groupBy("state").agg(F.count_distinct("module").alias("n_modules"), F.count_if(F.col("kind") == "unreadable").alias("unreadable"))
     scc = graph.strong_components_by(edges, "state").groupBy("state", "scc").count().where("count > 1")
@@ -48,7 +48,23 @@ def architecture(facts: DataFrame, package: str) -> DataFrame:
     fan = edges.groupBy("state", "dst").count().groupBy("state").agg(F.max("count").alias("max_fan_in"))
     n = edges.groupBy("state").agg(F.count("*").alias("n_edges"))
     row = modules.join(n, "state", "left").join(cycles, "state", "left").join(fan, "state", "left").na.fill(0)
-    return row.withColumn("coupling_density", ratio(F.col("n_edges"), F.col("n_modules"))).withColumn("cycle_ratio", ratio(F.col("cyclic_modules"), F.col("n_modules")))
+    for name, top in (("coupling_density", "n_edges"), ("cycle_ratio", "cyclic_modules"), ("max_fan_in_ratio", "max_fan_in")):
+        row = row.withColumn(name, ratio(F.col(top), F.col("n_modules")))
+    return row.join(module_means(facts, edges, package), "state", "left").na.fill(0)
+
+
+def module_means(facts: DataFrame, edges: DataFrame, package: str) -> DataFrame:
+    """(state, mean_instability, mean_abstractness, mean_distance, distance_modules, zone_of_pain), as `graph.main_sequence` has them."""
+    name = F.concat_ws(".", F.lit(package), F.when(F.col("module") != "", F.col("module")))
+    classes = source_facts.view(facts, "class").groupBy("state", name.alias("id")).agg((F.count_if("is_abstract") / F.count("*")).alias("a"))
+    ends = edges.select("state", F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))).alias("e"))
+    unstable = ends.groupBy("state", F.col("e.id").alias("id")).agg((F.sum("e.out") / F.count("*")).alias("i"))
+    both = unstable.join(classes, ["state", "id"], "full_outer")
+    a, i = F.col("a"), F.col("i")
+    return both.groupBy("state").agg(
+        F.avg(i).alias("mean_instability"), F.avg(a).alias("mean_abstractness"), F.avg(F.abs(a + i - 1)).alias("mean_distance"),
+        F.count(a + i).alias("distance_modules"), F.count_if((a < 0.3) & (i < 0.3)).alias("zone_of_pain"),
+    )
 
 
 def shared_literals(facts: DataFrame) -> DataFrame:

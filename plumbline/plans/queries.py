@@ -14,6 +14,7 @@ from plumbline.operators import apidiff, budget, calibrate, cochange, compare, g
 from plumbline.plans import measure
 from plumbline.session import cut, table
 from plumbline.sources import facts as source_facts
+from plumbline.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -229,7 +230,7 @@ def graph_strong_components_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {TRADE_SQL}, {SCC_SQL}, c AS (SELECT count(*) AS k FROM scc GROUP BY scc HAVING count(*) > 1)
-    SELECT d.*, c.*, CASE WHEN d.n_modules = 0 THEN 0.0::DOUBLE ELSE d.n_edges::DOUBLE / d.n_modules END AS coupling_density, CASE WHEN d.n_modules = 0 THEN 0.0::DOUBLE ELSE c.cyclic_modules::DOUBLE / d.n_modules END AS cycle_ratio
+    SELECT d.*, c.*, CASE WHEN d.n_modules = 0 THEN 0.0::DOUBLE ELSE d.n_edges::DOUBLE / d.n_modules END AS coupling_density, CASE WHEN d.n_modules = 0 THEN 0.0::DOUBLE ELSE c.cyclic_modules::DOUBLE / d.n_modules END AS cycle_ratio, CASE WHEN d.n_modules = 0 THEN 0.0::DOUBLE ELSE d.max_fan_in::DOUBLE / d.n_modules END AS max_fan_in_ratio
     FROM (SELECT count(*) AS n_modules, coalesce(sum(fan_out), 0)::BIGINT AS n_edges, max(fan_in) AS max_fan_in, max(fan_out) AS max_fan_out FROM deg) d,
          (SELECT count(*) AS n_cycles, coalesce(sum(k), 0)::BIGINT AS cyclic_modules, coalesce(max(k), 0) AS largest_cycle FROM c) c"""
 )
@@ -314,12 +315,12 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TOUCH_SQL} SELECT s.s_nationkey AS cluster, count(*) AS n_pairs, max(coalesce(p.jaccard, 0)) AS max_jaccard
+    f"""WITH {TOUCH_SQL} SELECT s.s_nationkey AS cluster, count(*) AS n_pairs, max(coalesce(p.jaccard, 0)) AS max_jaccard, round(avg(coalesce(p.jaccard, 0)), 9) AS mean_jaccard
     FROM linked l JOIN supplier s ON l.a = s.s_suppkey LEFT JOIN pairs p ON p.a = l.a AND p.b = l.b GROUP BY s.s_nationkey"""
 )
 def cluster_cochange(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("cluster"), F.col("s_suppkey").alias("item"))
-    return cochange.cluster_cochange(members, _touches(spark, sf_dir)).drop("mean_jaccard")
+    return cochange.cluster_cochange(members, _touches(spark, sf_dir)).withColumn("mean_jaccard", F.round("mean_jaccard", 9))
 
 
 USES_SQL = "u AS (SELECT DISTINCT l_partkey AS symbol, c_nationkey AS consumer FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
@@ -399,7 +400,7 @@ def incompatible_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUESTION = "Which small steel or brass parts do we have in burnished steel?"
-ASKED = [w for w in QUESTION.lower().rstrip("?").split() if w not in signals.STOP]
+ASKED = "small steel brass parts we burnished steel".split()
 
 
 @query(
@@ -648,15 +649,36 @@ def pearson_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.pearson(table(spark, sf_dir, "lineitem").withColumn("flag", F.col("l_returnflag")), "l_quantity", "l_discount", ["flag"]).select("flag", "n", "r")
 
 
+SNAPSHOT_SQL = """c AS (SELECT count(*) AS k FROM scc GROUP BY scc HAVING count(*) > 1),
+    d AS (SELECT count(*)::DOUBLE AS n, sum(fan_out)::DOUBLE AS e, max(fan_in)::DOUBLE AS f FROM deg), y AS (SELECT coalesce(sum(k), 0)::DOUBLE AS cyclic, coalesce(max(k), 0)::DOUBLE AS largest FROM c),
+    i AS (SELECT id, fan_out::DOUBLE / (fan_in + fan_out)::DOUBLE AS i FROM deg WHERE fan_in + fan_out > 0)"""
+
+
 @query(
-    f"""WITH {TRADE_SQL}, s AS (SELECT id, CASE WHEN fan_in + fan_out = 0 THEN 0.0 ELSE fan_out::DOUBLE / (fan_in + fan_out) END AS c, fan_in::DOUBLE / 24 AS d, fan_out::DOUBLE / 24 AS e FROM deg),
-    m AS (SELECT id, 10 * (0.45::DOUBLE * (1 - least(1.0::DOUBLE, c)) + 0.30::DOUBLE * (1 - least(1.0::DOUBLE, d)) + 0.25::DOUBLE * (1 - least(1.0::DOUBLE, e))) AS score FROM s)
-    SELECT id, round(score, 6) AS score, CASE WHEN score < 4 THEN 'poor' WHEN score < 6 THEN 'fair' WHEN score < 7.5 THEN 'good' ELSE 'strong' END AS tier FROM m"""
+    f"""WITH RECURSIVE {TRADE_SQL}, {SCC_SQL}, {SNAPSHOT_SQL},
+    v AS (SELECT CASE WHEN count(*) > 1 THEN stddev_pop(i) / (avg(i) + 1e-9::DOUBLE) ELSE 0.0::DOUBLE END AS cv FROM i),
+    p AS (SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - e / n / 5)) * 0.6::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - f / n)) * 0.4::DOUBLE AS mod,
+      greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - cyclic / n)) * 0.7::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - largest / n)) * 0.3::DOUBLE AS hier, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - cv)) AS cons FROM d, y, v),
+    m AS (SELECT *, 10 * (0.45::DOUBLE * mod + 0.30::DOUBLE * hier + 0.25::DOUBLE * cons) AS mmi FROM p)
+    SELECT round(mmi, 2) AS mmi, CASE WHEN mmi < 4 THEN 'critical' WHEN mmi < 6 THEN 'high' WHEN mmi < 7.5 THEN 'moderate' ELSE 'low' END AS tier, round(mod, 3) AS mod, round(hier, 3) AS hier, round(cons, 3) AS cons FROM m"""
 )
 def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deg = graph.degrees(_nations(spark, sf_dir), _edges(spark, sf_dir))
-    score = stats.modularity_score(F.coalesce("instability", F.lit(0.0)), F.col("fan_in").cast("double") / 24, F.col("fan_out").cast("double") / 24)
-    return deg.withColumn("raw", score).select("id", F.round("raw", 6).alias("score"), stats.modularity_tier(F.col("raw")).alias("tier"))
+    nations, edges = _nations(spark, sf_dir), _edges(spark, sf_dir)
+    return stats.modularity(graph.graph_snapshot(nations, edges), graph.degrees(nations, edges))
+
+
+@query(
+    f"""WITH {TRADE_SQL}, i AS (SELECT id, fan_out::DOUBLE / (fan_in + fan_out)::DOUBLE AS i FROM deg WHERE fan_in + fan_out > 0),
+    a AS (SELECT n_name AS id, count(*) FILTER (WHERE s_acctbal < 0)::DOUBLE / count(*)::DOUBLE AS a FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name),
+    b AS (SELECT a, i FROM a FULL JOIN i USING (id))
+    SELECT round(coalesce(avg(i), 0), 9) AS mean_instability, round(coalesce(avg(a), 0), 9) AS mean_abstractness, round(coalesce(avg(abs(a + i - 1)), 0), 9) AS mean_distance, count(a + i) AS distance_modules, count(*) FILTER (WHERE a < 0.3 AND i < 0.3) AS zone_of_pain FROM b"""
+)
+def graph_main_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers stand for classes, those in debt for abstract ones."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("id"))
+    share = table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("k")).groupBy("id").agg((F.count_if(F.col("s_acctbal") < 0) / F.count("*")).alias("abstractness"))
+    row = graph.main_sequence(graph.degrees(_nations(spark, sf_dir), _edges(spark, sf_dir)), share)
+    return row.select(*(F.round(c, 9).alias(c) for c in ("mean_instability", "mean_abstractness", "mean_distance")), "distance_modules", "zone_of_pain")
 
 
 # --- calibration ---------------------------------------------------------------------------------------------
@@ -674,15 +696,17 @@ def _labelled(spark, sf_dir):
     f"""WITH {LABELLED_SQL}, th AS (SELECT round(0.20 + 0.05 * i, 2)::DOUBLE AS threshold FROM range(13) r(i)),
     c AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND label = 'same') AS tp, count(*) FILTER (WHERE score >= threshold AND label <> 'same') AS fp, count(*) FILTER (WHERE score < threshold AND label = 'same') AS fn FROM th, s GROUP BY threshold),
     p AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp)::DOUBLE END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn)::DOUBLE END AS recall FROM c)
-    SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM p"""
+    SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
+      CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, (precision + 3.8416::DOUBLE / (2 * (tp + fp)) - 1.96::DOUBLE * sqrt(precision * (1 - precision) / (tp + fp) + 3.8416::DOUBLE / (4 * (tp + fp) * (tp + fp)))) / (1 + 3.8416::DOUBLE / (tp + fp))), 3) END AS precision_low,
+      CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, (precision + 3.8416::DOUBLE / (2 * (tp + fp)) + 1.96::DOUBLE * sqrt(precision * (1 - precision) / (tp + fp) + 3.8416::DOUBLE / (4 * (tp + fp) * (tp + fp)))) / (1 + 3.8416::DOUBLE / (tp + fp))), 3) END AS precision_high FROM p"""
 )
 def calibration_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.curve(_labelled(spark, sf_dir), strict=False).drop("precision_low", "precision_high")
+    return calibrate.curve(_labelled(spark, sf_dir), strict=False)
 
 
 @query(
-    f"""WITH {LABELLED_SQL}, b AS (SELECT doc_id AS a, doc_id + 1 AS b, score, CASE WHEN score >= 0.65 THEN 5 WHEN score >= 0.5 THEN 4 WHEN score >= 0.4 THEN 3 WHEN score >= 0.3 THEN 2 WHEN score >= 0.2 THEN 1 ELSE 0 END AS band FROM s),
-    q AS (SELECT band, [1,2,4,4,2,1][band + 1] AS w FROM (SELECT DISTINCT band FROM b)), l AS (SELECT band, greatest(1, floor(60.0 * w / (SELECT sum(w) FROM q) + 0.5)) AS quota FROM q),
+    f"""WITH {LABELLED_SQL}, b AS (SELECT doc_id AS a, doc_id + 1 AS b, score, CASE WHEN score >= 0.80 THEN 5 WHEN score >= 0.60 THEN 4 WHEN score >= 0.45 THEN 3 WHEN score >= 0.35 THEN 2 WHEN score >= 0.20 THEN 1 ELSE 0 END AS band FROM s),
+    q AS (SELECT band, [1,2,4,4,2,1][band + 1] AS w FROM (SELECT DISTINCT band FROM b)), l AS (SELECT band, greatest(1, round_even(60.0::DOUBLE * w / (SELECT sum(w) FROM q), 0)) AS quota FROM q),
     r AS (SELECT b.*, quota, row_number() OVER (PARTITION BY band ORDER BY md5(a || '/' || b.b || '/0'), a, b.b) AS k FROM b JOIN l USING (band)) SELECT a, b, score, band FROM r WHERE k <= quota"""
 )
 def band_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -752,12 +776,12 @@ def model_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey, array_to_string(t, ' ') AS words FROM h"""
 )
 def identifier_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", scalar.identifier_words(F.lower("p_name"))).alias("words"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", scalar.identifier_words(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")))).alias("words"))
 
 
-@query("SELECT event_type AS signal, count(*) AS raw FROM events GROUP BY event_type")
+@query("SELECT event_type AS signal, count(*) AS raw, count(DISTINCT (user_id, event_id % 7)) AS n_sites FROM events GROUP BY event_type")
 def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("signal")).agg(F.count("*").alias("raw"))
+    return files.count_findings(table(spark, sf_dir, "events").select(F.col("event_type").alias("signal"), F.col("user_id").cast("string").alias("file"), (F.col("event_id") % 7).alias("start_line")))
 
 
 # --- source text -----------------------------------------------------------------------------------------------------

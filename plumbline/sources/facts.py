@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from plumbline.session import cut, ship
 
 LEAST_TOKENS = 12
+# The words of an identifier, and the labels in body_tokens.
 WORD = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 FIELDS = {
     "function": "lineno int, tokens array<string>, args array<string>, calls array<string>, doc string, name_tokens array<string>",
@@ -60,9 +61,8 @@ def body_tokens(node: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
             out.append(f"CONST_{type(at.value).__name__}")
         else:
             label = {ast.Attribute: lambda: f"ATTR_{at.attr}", ast.Name: lambda: "NAME", ast.arg: lambda: "ARG"}.get(type(at), lambda: type(at).__name__)()
-            children = [] if isinstance(at, ast.Name | ast.arg) else [at.value] if isinstance(at, ast.Attribute) else list(ast.iter_child_nodes(at))
             out.append(label)
-            todo += reversed(children)
+            todo += reversed(list(ast.iter_child_nodes(at)))  # contexts and annotations included
     return out
 
 

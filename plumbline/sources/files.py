@@ -88,12 +88,13 @@ def fenced_blocks(text) -> F.Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))
 
 
-VERDICTS = ("same", "different", "unsure")
+# The verdicts.
+VERDICTS = ("CONSOLIDATE", "SANCTIONED", "UNSURE")
 
 
 def verdict(text, known: tuple[str, ...] = VERDICTS) -> F.Column:
-    """The verdict in the first JSON object of a text; anything else is UNPARSEABLE, never dropped."""
-    found = F.lower(F.get_json_object(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\{.*?\})", 1), "$.verdict"))
+    """The verdict in a text's JSON, from its first brace to its last; anything else is UNPARSEABLE, never dropped."""
+    found = F.upper(F.trim(F.get_json_object(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\{.*\})", 1), "$.verdict")))
     return F.when(found.isin(*known), found).otherwise("UNPARSEABLE")
 
 
@@ -113,8 +114,17 @@ def import_counts(spark: SparkSession, path: str, versions: tuple[int, ...] = (1
     if head["finding_count"] != head["n"]:
         raise Refused(f"{head['finding_count']} findings are stated, {head['n']} are there")
     each = row.select(F.explode("findings").alias("f")).select("f.*")
-    site = F.concat_ws(":", "file", F.col("start_line").cast("string"))
-    return each.groupBy("signal").agg(F.count("*").alias("raw"), F.array_sort(F.collect_set(site)).alias("sites"))
+    sites = each.groupBy("signal").agg(F.array_sort(F.collect_set(_site())).alias("sites"))  # of one file
+    return count_findings(each).join(sites, "signal").select("signal", "raw", "sites")
+
+
+def _site() -> F.Column:
+    return F.concat_ws(":", "file", F.col("start_line").cast("string"))
+
+
+def count_findings(findings: DataFrame) -> DataFrame:
+    """(signal, raw, n_sites) of findings (signal, file, start_line): all of them, and their distinct places."""
+    return findings.groupBy("signal").agg(F.count("*").alias("raw"), F.count_distinct(_site()).alias("n_sites"))
 
 
 def dated(rows: DataFrame, column: str) -> DataFrame:

@@ -182,7 +182,7 @@ def test_calibration(spark):
 
 def test_comparison(spark):
     cases = compare.seed_cases(spark, {"x": "int", "y": "bool"})
-    assert cases.count() == 12
+    assert cases.count() == 18
     assert compare.compare(cases, F.col("x") * 2, F.col("x") + F.col("x"))["verdict"] == "NO_DIVERGENCE_FOUND"
     bad = compare.compare(cases, F.col("x"), F.abs("x"))
     assert bad["verdict"] == "REFUTED"
@@ -355,8 +355,8 @@ def test_logs_and_counts(spark, tmp_path):
 def test_diff_and_verdicts(spark):
     lines = spark.createDataFrame([("+++ b/a/b.py",), ("+++ c.py",), ("+++ b/x.txt",), ("+x",)], "value string")
     assert rows(files.added_paths(lines)) == [("a/b.py",), ("c.py",)]
-    said = spark.createDataFrame([('so {"verdict": "Same"} ok',), ('{"verdict": "maybe"}',), ("none",), (None,)], "t string")
-    assert [r[0] for r in said.select(files.verdict(F.col("t"))).collect()] == ["same", "UNPARSEABLE", "UNPARSEABLE", "UNPARSEABLE"]
+    said = spark.createDataFrame([('so {"verdict": " Sanctioned", "why": {"a": 1}} ok',), ('{"verdict": "maybe"}',), ("none",), (None,)], "t string")
+    assert [r[0] for r in said.select(files.verdict(F.col("t"))).collect()] == ["SANCTIONED", "UNPARSEABLE", "UNPARSEABLE", "UNPARSEABLE"]
 
 
 def test_git_log(spark, tmp_path):
@@ -391,3 +391,36 @@ def test_history_of_a_repository(spark, tmp_path):
     cycles = sorted((r["seq"], r["value"], r["error"] is not None) for r in out.where("metric = 'cycle_ratio' or error is not null").collect())
     assert cycles == [(0, None, True), (1, 0.0, False), (2, 1.0, False)]
     assert git("rev-parse", "HEAD") == head
+
+
+def test_fixed_values(spark):
+    """Typed once more here, so that an altered constant shows."""
+    from plumbline.operators import calibrate, signals, stats
+
+    one = spark.range(1)
+    scores = [0.0, 0.19, 0.2, 0.34, 0.35, 0.44, 0.45, 0.59, 0.6, 0.79, 0.8, 1.0]
+    got = spark.createDataFrame([(x,) for x in scores], "s double").select("s", calibrate.band(F.col("s"))).collect()
+    assert [r[1] for r in got] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert calibrate.WEIGHTS == (1, 2, 4, 4, 2, 1) and calibrate.THRESHOLDS[0] == 0.2 and calibrate.THRESHOLDS[-1] == 0.8
+    kinds = {"which constants are shared": "convention", "what shape has an order": "entity", "which layer imports this": "module", "does a helper exist": "helper", "rounding of money": "concept"}
+    for text, kind in kinds.items():
+        assert one.select(signals.route(F.lit(text))).first()[0] == kind
+    assert signals.subject_words("Which helper rounds money2cents, and which money?") == ["rounds", "money", "2", "cents", "money"]
+    numbers = [("1000", False), ("2", False), ("0.5", False), ("-3", True), ("3", True), ("999", True)]
+    got = spark.createDataFrame(numbers, "t string, e boolean").select("e", signals.significant(F.lit("int"), F.col("t"))).collect()
+    assert all(r[0] == r[1] for r in got)
+    cases = compare.seed_cases(spark, {"x": "float"})
+    assert [r["x"] for r in cases.orderBy("case").collect()] == [0.0, 0.5, 0.05, 0.005, -0.5, 1.5, 2.5, 12.5, 0.125, 0.135, 1.005, 2.675, 99.995]
+    assert compare.seed_cases(spark, {"x": "int", "y": "list", "z": "dict", "s": "str"}).count() == 9 * 3 * 2 * 6
+    assert [one.select(stats.modularity_tier(F.lit(x))).first()[0] for x in (3.9, 4.0, 6.0, 7.5)] == ["critical", "high", "moderate", "low"]
+
+
+def test_body_tokens():
+    import ast
+
+    text = "def f(a):\n    def g(b: int): return b.c\n    x = h(a, k=1)\n    return m.n(x)(2)\n"
+    assert facts.body_tokens(ast.parse(text).body[0]) == (
+        "FunctionDef arguments ARG NAME Load Return ATTR_c NAME Load Load "
+        "Assign NAME Store CALL CALLEE_h NAME Load keyword CONST_int "
+        "Return CALL Call CALL CALLEE_n NAME Load NAME Load CONST_int"
+    ).split()
