@@ -1,13 +1,13 @@
 """Secret scan: fixed patterns plus a linear-chain conditional random field.
 
-The field tags tokens as begin, inside or outside of a secret. Its features
-are a token's shape, length and first characters, the neighbouring words, and
-features of the file (does the text hold assignments or code). Words that
-cannot carry a secret alone (no digit and fewer than LONG characters, or fewer
-than SHORT with a digit) are fixed to outside, as an evidence constraint of the
-field; Viterbi therefore decodes each run of other tokens exactly, given the
-outside word before it. Nothing is skipped: every token of every text either is
-fixed or is decoded.
+The field tags tokens as begin, inside or outside of a secret: runs of word
+characters and single marks, so that `Ab1!cdEf$9` is a chain of five. Its
+features are a token's shape, length, first characters and whether it touches
+the one before, the four words before and the one after, and features of the
+file (does the text hold assignments or code). Lines are decoded whole by
+Viterbi. All tokens may be part of a secret; a line is passed over only where an
+exact bound shows that its best tags are all outside. A secret doesn't go over
+a line break.
 
 The weights are trained here by maximum likelihood on generated lines whose
 secrets are known (`training_lines`); no data is needed and the fit is the same
@@ -20,7 +20,6 @@ import functools
 import math
 import random
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,178 +60,321 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- the field ---------------------------------------------------------------
 
 OUTSIDE, BEGIN, INSIDE = range(3)
-SHORT, LONG = 8, 20
-TOKEN = re.compile(r"\w+(?:[+/.\-]+\w+)*(?:={1,2}(?![\w=]))?|[^\w\s]")
-DIGIT = re.compile(r"\d")
-BUCKETS = 1 << 14
-
-
-def may_be_secret(token: str) -> bool:
-    return len(token) >= LONG or (len(token) >= SHORT and any(map(str.isdigit, token)))
+#: A line break, or a run of word characters or a single mark, with one blank before it if there is one.
+TOKEN = re.compile(r"\n|[^\S\n]?(?:\w+|[^\w\s])")
+BEFORE = 4
+CACHE = 400_000
+FILES = 4
+CLASSES = tuple((name, re.compile(test)) for name, test in (("d", "[0-9]"), ("h", "[a-f]"), ("l", "[g-z]"), ("u", "[A-Z]"), ("_", "_"), ("o", r"[^\x00-\x7f]")))
 
 
 @functools.lru_cache(maxsize=100_000)
-def shape(token: str) -> str:
-    """Character classes, in one word."""
-    if not token[:1].isalnum() and len(token) == 1:
-        return "mark" + token
-    kinds = "".join(
-        name
-        for name, test in (
-            ("d", r"[0-9]"),
-            ("h", r"[a-f]"),
-            ("l", r"[g-z]"),
-            ("u", r"[A-Z]"),
-            ("s", r"[+/=_]"),
-            ("p", r"[.]"),
-            ("m", r"-"),
-            ("o", r"[^\x00-\x7f]"),
-        )
-        if re.search(test, token)
-    )
-    return kinds
+def shape(word: str) -> str:
+    """Character classes, in one word; a mark is itself."""
+    if not word[:1].isalnum() and len(word) == 1 and word != "_":
+        return "mark" + word
+    return "".join(name for name, test in CLASSES if test.search(word))
 
 
 def bucket(n: int) -> int:
     return min(9, int(math.log2(n) * 2) - 2) if n > 2 else 0
 
 
-def near_word(token: str | None) -> str:
-    if token is None:
-        return "#edge"
-    return token.lower() if len(token) <= 16 and not any(map(str.isdigit, token)) else "#" + shape(token)
+def turns(word: str) -> int:
+    """How often the class of characters changes, up to 6: random strings turn often."""
+    kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" for c in word[:64]]
+    return min(6, sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)))
+
+
+def near_word(word: str) -> str:
+    return word.lower() if len(word) <= 16 and not any(map(str.isdigit, word)) else "#" + shape(word)
+
+
+def look(token: str) -> tuple[str, str, int, bool]:
+    """(word, shape, length, whether it touches the token before)."""
+    word = token.strip() or token
+    return word, shape(word), bucket(len(word)), word == token
+
+
+def form_features(s: str, n: int, touches: bool, file: int) -> list[str]:
+    return ["bias", f"s={s}", f"s={s}|n={n}", f"g={touches}|s={s}", f"g={touches}|s={s}|n={n}", f"f={file}", f"f={file}|s={s}|n={n}"]
 
 
-def features(token: str, before: str | None, before2: str | None, after: str | None, file: str) -> list[int]:
-    """Hashed features of one token."""
-    s, n = shape(token), bucket(len(token))
-    digits = sum(map(str.isdigit, token)) * 4 // len(token)
-    names = (
-        "bias", f"s={s}", f"s={s}|n={n}", f"n={n}", f"d={digits}|s={s}", f"p={token[:3]}", f"p={token[:4]}|n={n}",
-        f"b={near_word(before)}", f"bb={near_word(before2)}", f"a={near_word(after)}",
-        f"b={near_word(before)}|s={s}", f"dots={token.count('.')}|{token.replace('.', '').isdigit()}",
-        f"f={file}", f"f={file}|s={s}|n={n}",
-    )
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+def word_features(word: str, n: int, touches: bool) -> list[str]:
+    """Of first characters, turns between classes, share of digits and the word itself."""
+    if not word[:1].isalnum():
+        return []
+    digits, t = sum(map(str.isdigit, word)) * 4 // len(word), turns(word)
+    return [f"t={t}|n={n}", f"t={t}|d={digits}|g={touches}", f"p={word[:3]}", f"p={word[:4]}|n={n}", f"w={near_word(word)}"]
 
 
-def file_features(text: str) -> str:
+def near_features(token: str, place: int) -> list[str]:
+    """Of a neighbour: -BEFORE to -1 before, 1 after."""
+    word, s, n, touches = look(token)
+    return [f"{place}|{near_word(word)}", f"{place}|g={touches}|{s}|{n}"]
+
+
+PLACES = (*range(-BEFORE, 0), 1)
+
+
+def file_features(text: str) -> int:
     """Whether the text holds assignments, and whether it looks like code."""
-    return f"{'=' in text:d}{'{' in text or ';' in text:d}"
+    return 2 * ("=" in text) + ("{" in text or ";" in text)
+
+
+class Scores:
+    """Emission scores of tokens: sums of a token's own part and its neighbours', each kept by token.
+
+    Features that training never saw weigh nothing.
+    """
+
+    def __init__(self, weights: dict[str, tuple[float, float, float]]):
+        self.weights = weights
+        self.forms: dict[tuple, np.ndarray] = {}
+        self.near_forms: dict[tuple, np.ndarray] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.index: dict[str, int] = {}
+        self.own = np.zeros((FILES, 1024, 3), np.float32)
+        self.near = np.zeros((len(PLACES), 1024, 3), np.float32)
+
+    def sum_of(self, names: list[str]) -> np.ndarray:
+        found = [self.weights[x] for x in names if x in self.weights]
+        return np.array(found, float).sum(axis=0) if found else np.zeros(3)
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        if len(self.index) > CACHE:
+            self.reset()
+        index = self.index
+        for token in set(tokens).difference(index):
+            k = index[token] = len(index)
+            if k >= self.own.shape[1]:
+                self.own, self.near = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (self.own, self.near))
+            word, s, n, touches = look(token)
+            form = (s, n, touches)
+            if form not in self.forms:
+                self.forms[form] = np.stack([self.sum_of(form_features(s, n, touches, file)) for file in range(FILES)])
+                self.near_forms[form] = np.stack([self.sum_of([f"{place}|g={touches}|{s}|{n}"]) for place in PLACES])
+            self.own[:, k] = self.forms[form] + self.sum_of(word_features(word, n, touches))
+            self.near[:, k] = self.near_forms[form]
+            known = near_word(word)
+            for i, place in enumerate(PLACES):
+                if (more := self.weights.get(f"{place}|{known}")) is not None:
+                    self.near[i, k] += more
+        return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+
+    def emissions(self, tokens: list[str], file: int) -> np.ndarray:
+        """A row of three scores for each token; beyond the ends there are line breaks."""
+        ids = self.ids(["\n", *tokens])
+        edge, ids = ids[0], ids[1:]
+        out = self.own[file][ids].astype(float)
+        for i, place in enumerate(PLACES):
+            out += self.near[i][_shifted(ids, place, edge)]
+        return out
+
+
+def _shifted(ids: np.ndarray, place: int, edge: int) -> np.ndarray:
+    out = np.full(len(ids), edge)
+    if place > 0:
+        out[:-place] = ids[place:]
+    else:
+        out[-place:] = ids[:place]
+    return out
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray) -> list[int]:
-    """Best tags of a run (rows of `emit`) that follows an outside token."""
+    """Best tags of a line's tokens (rows of `emit`) between outside ends."""
     score, back = move[OUTSIDE] + emit[0], []
     for row in emit[1:]:
         table = score[:, None] + move
         back.append(table.argmax(axis=0))
         score = table.max(axis=0) + row
-    score = score + move[:, OUTSIDE]  # what follows a run is outside
+    score = score + move[:, OUTSIDE]
     tags = [int(score.argmax())]
     for best in reversed(back):
         tags.append(int(best[tags[-1]]))
     return tags[::-1]
 
 
-def training_lines(n: int = 700, seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+def gain_bounds(emit: np.ndarray, move: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+    """For each token: the most that a secret ending there can score above being outside, or more.
+
+    Where it is not above zero for a whole line, the best tags of the line are
+    all outside: nothing needs decoding, and nothing is lost.
+    """
+    on = move[BEGIN:, BEGIN:].max() - move[OUTSIDE, OUTSIDE]
+    ends = (move[OUTSIDE, BEGIN:].max() - move[OUTSIDE, OUTSIDE]) + (move[BEGIN:, OUTSIDE].max() - move[OUTSIDE, OUTSIDE]) - on
+    gain = emit[:, BEGIN:].max(axis=1) - emit[:, OUTSIDE] + on
+    gain[breaks] = -1e5  # no secret goes over a line break
+    sums = np.cumsum(gain)
+    least = np.minimum.accumulate(np.concatenate([[0.0], sums[:-1]]))
+    return sums - least + ends + 1e-6
+
+
+def field_spans(text: str, model: tuple[Scores, np.ndarray]) -> list[tuple[int, int]]:
+    """(start, end) of the secrets that the field finds in a text, line by line."""
+    tokens = TOKEN.findall(text)
+    if not tokens:
+        return []
+    scores, move = model
+    emit = scores.emissions(tokens, file_features(text))
+    breaks = np.fromiter(("\n" == t for t in tokens), bool, len(tokens))
+    open_at = np.nonzero(gain_bounds(emit, move, breaks) > 0)[0]
+    if not len(open_at):
+        return []
+    edges = np.concatenate([[-1], np.nonzero(breaks)[0], [len(tokens)]])
+    lines = np.unique(np.searchsorted(edges, open_at, side="left"))
+    tags = np.zeros(len(tokens), np.int8)
+    for k in lines:
+        first, last = edges[k - 1] + 1, edges[k]
+        tags[first:last] = viterbi(emit[first:last], move)
+    found, inside = [], False
+    if not tags.any():
+        return found
+    for tag, m in zip(tags.tolist(), TOKEN.finditer(text), strict=True):
+        if tag == OUTSIDE:
+            inside = False
+        elif tag == BEGIN or not inside:
+            found.append((m.end() - len(m[0].strip()), m.end()))
+            inside = True
+        else:
+            found[-1] = (found[-1][0], m.end())
+    return found
+
+
+def training_lines(n: int = 1200, seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Generated lines with the spans of their secrets."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    word = lambda: "".join(rng.choice(("the", "on", "er", "tion", "ka", "lo", "mi", "an", "sh", "ei", "ou")) for _ in range(rng.randint(1, 4)))
-    prose = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    lower, upper, digits, marks = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!$#@%&^*+~?"
+    short = "is is is y ç o ö nd ed st in to is a an on at be by of it or no up us we he ein zu im er es le la de du et un si ya su en el que der die das und qui une los las mit von auf ist est pas ne pour the and for was her that with this from".split()
+    word = lambda: rng.choice(short) if rng.random() < 0.25 else "".join(rng.choice(("the", "on", "er", "tion", "ka", "lo", "mi", "an", "sh", "ei", "ou", "ré", "ción", "lich")) for _ in range(rng.randint(1, 4)))
+    long_word = lambda: pick(lower, rng.randint(4, 8))
+    ends = ("",) * 8 + (",", ".", ".", ":", ";", "!", "?")
+    prose = lambda a, b: " ".join((w.capitalize() if rng.random() < 0.15 else w) + rng.choice(ends) for w in (word() for _ in range(rng.randint(a, b))))
 
     def mixed(k: int, chars: str) -> str:
         return rng.choice(digits) + pick(chars, k - 2) + rng.choice(upper + digits)
 
-    secrets = (
+    def marked(a: int, b: int) -> str:
+        parts = [rng.choice((pick(lower + digits, rng.randint(2, 6)), pick(lower + upper + digits, rng.randint(1, 5)), word() + pick(digits, rng.randint(0, 3)))) for _ in range(rng.randint(a, b))]
+        return "".join(x + rng.choice(marks) for x in parts[:-1]) + parts[-1] + pick(digits, rng.randint(0, 2))
+
+    alone = (  # known by themselves
         lambda: "AKIA" + pick(upper + digits, 16),
         lambda: "ghp_" + mixed(36, lower + upper + digits),
         lambda: "sk-" + mixed(rng.randint(24, 48), lower + upper + digits),
         lambda: "xoxb-" + pick(digits, 11) + "-" + mixed(24, lower + upper + digits),
-        lambda: mixed(rng.randint(20, 44), lower + upper + digits),
-        lambda: mixed(rng.randint(20, 40), lower + upper + digits + "+/") + rng.choice(("", "=", "==")),
-        lambda: pick("0123456789abcdef", rng.choice((16, 18, 20, 32, 40, 64))),
-        lambda: mixed(rng.randint(9, 16), lower + upper + digits),
+        lambda: mixed(rng.randint(24, 44), lower + upper + digits),
+        lambda: "/".join(mixed(rng.randint(10, 24), lower + upper + digits) for _ in range(rng.randint(1, 2))) + "+" + mixed(rng.randint(8, 20), lower + upper + digits) + rng.choice(("", "=", "==")),
+        lambda: "eyJ" + mixed(rng.randint(16, 30), lower + upper + digits) + ".eyJ" + mixed(rng.randint(16, 40), lower + upper + digits) + "." + mixed(30, lower + upper + digits),
+        lambda: pick("0123456789abcdef", rng.choice((32, 40, 64))),
+    )
+    cued = (  # known by the words before
+        lambda: mixed(rng.randint(8, 20), lower + upper + digits),
+        lambda: marked(2, 5),
+        lambda: marked(2, 5),
+        lambda: marked(3, 5),
+        lambda: "".join(long_word().capitalize() for _ in range(rng.randint(2, 4))) + pick(digits, rng.choice((0, 0, 2))),
+        lambda: "".join(long_word().capitalize() for _ in range(3)),
+        lambda: marked(2, 4) + rng.choice(marks) + pick(digits, 1),
+        lambda: word() + pick(digits, rng.randint(1, 4)) + rng.choice(marks) + pick(upper + lower, 3),
+        lambda: "-".join(pick(upper + digits, 4) for _ in range(rng.randint(3, 5))),
+        lambda: pick("0123456789abcdef", rng.choice((12, 16, 18, 20))),
     )
     plain = (
         lambda: pick("456789", 1) + pick(digits, 15),
+        lambda: " ".join(pick(digits, 4) for _ in range(4)),
         lambda: f"({pick('23456789', 3)}) 555-{pick(digits, 4)}",
-        lambda: "555-" + pick(digits, 4),
+        lambda: f"+{rng.randint(1, 49)} {pick(digits, 3)} {pick(digits, 4)}",
         lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)),
         lambda: f"{word()}.{pick(digits, 2)}@mail{rng.randint(1, 9)}.example.com",
-        lambda: f"https://www.{word()}.example.org/en/{rng.randint(1, 999)}",
-        lambda: f"20{pick(digits, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}",
+        lambda: f"https://www.{word()}.example.org/en/{rng.randint(1, 999)}?q={word()}&id={pick(digits, 3)}",
+        lambda: f"20{pick(digits, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}:{pick(digits, 2)}:00Z",
         lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}",
         lambda: f"{rng.randint(10_000_000, 999_999_999)}",
-        lambda: f"{word()}-{word()}-{word()}{word()}",
-        lambda: word() + word() + word() + word() + word() + word(),
+        lambda: "-".join(word() for _ in range(3)),
+        lambda: word() + word() + word() + word() + word(),
         lambda: f"{word()}/{word()}/{word()}_{rng.randint(1, 99)}.txt",
-        lambda: f"chapter{pick(digits, 3)}",
-        lambda: "".join(rng.choice(("ción", "mente", "été", "lich", "ungß", "eau", "ñez", "keit")) for _ in range(rng.randint(4, 7))),
-        lambda: (word() + word() + word() + word() + word() + word()).capitalize(),
+        lambda: rng.choice(("chapter", "IMG", "page", "DSC", "item", "fig")) + pick(digits, rng.randint(2, 14)),
+        lambda: word().capitalize() + word().capitalize() + rng.choice(("", "Factory", "Error")),
+        lambda: " ".join(x + rng.choice("*$%&#!?") * 3 for x in prose(2, 6).split()),
+        lambda: f"{word()}({word()}, {rng.randint(0, 99)}); {word()} = {word()}[{rng.randint(0, 9)}] + 0x{pick('0123456789abcdef', 4)}",
+        lambda: f"{rng.choice(('price', 'total', 'count'))}: ${rng.randint(1, 99)}.{pick(digits, 2)} ({rng.randint(1, 99)}%)",
+        lambda: f"the {rng.choice(('password', 'token', 'secret', 'key'))} {rng.choice(('was', 'policy', 'of', 'that', 'must be', 'is'))} {prose(1, 4)}",
+        lambda: " ".join([word()] * rng.randint(4, 12)),
+        lambda: f"{rng.choice(('commit', 'rev', 'see', 'section', 'page', 'room', 'no'))} {pick('0123456789abcdef', rng.randint(3, 7))}",
+        lambda: f"{word()} is {word()} {word()}",
+        lambda: f"SPDX-License-Identifier: {rng.choice(('MIT', 'Apache-2.0', 'BSD-3-Clause'))}",
+        lambda: f"Copyright (c) 20{pick(digits, 2)} {word().capitalize()} {word().capitalize()}. All rights reserved.",
     )
-    cues = ("password", "token", "secret", "key", "Bearer", "credentials", "passphrase", "pwd", "auth")
-    joins = (" ", ": ", "=", " = ", ' = "', " is ", " '", " := ")
+    cues = ("password", "token", "secret", "key", "Bearer", "credentials", "passphrase", "pwd", "auth", "DB_PASS", "api_key", "passwd", "SECRET_KEY", "access token")
+    joins = (" ", ": ", "=", " = ", '="', " is ", " '", " := ", ": '", " = '", ' = "', "='")
     for _ in range(n):
-        line, spans = rng.choice(("", "", "export x = 1; ", "{ ")) + prose(2, 7) + " ", []
+        line, spans = rng.choice(("", "", "", "export x = 1; ", "{ ")) + prose(1, 6) + " ", []
+        if rng.random() < 0.35:  # lines without a secret
+            yield prose(5, 30) + " " + rng.choice(plain)() + rng.choice((" ", ".\n")) + prose(3, 20) + rng.choice(("", ".\n" + prose(2, 9))), []
+            continue
         for _ in range(rng.randint(1, 3)):
-            if rng.random() < 0.5:
-                weak = rng.randrange(len(secrets))
-                if weak >= 6 or rng.random() < 0.6:  # short or all-hex secrets only show by their cue
-                    line += rng.choice(cues) + rng.choice(joins)
-                value = secrets[weak]()
-                spans.append((len(line), len(line) + len(value)))
+            kind = rng.random()
+            if kind < 0.2:
+                value = rng.choice(alone)()
+                line += rng.choice(("", "", "key: ", "token ", '"'))
+            elif kind < 0.5:
+                value, cue, join = rng.choice(cued)(), rng.choice(cues), rng.choice(joins)
+                line += rng.choice((cue, cue, cue.upper(), f"{word()}_{cue}", f"--{cue}")) + join
+            elif kind < 0.55:
+                value = rng.choice((marked(2, 4), mixed(rng.randint(8, 14), lower + upper + digits)))
+                line += f"{rng.choice(('postgres', 'https', 'mysql', 'amqp'))}://{word()}:"
             else:
-                value = rng.choice(plain)()
-            line += value + rng.choice((" ", ". ", ", ", '" ', "\n")) + prose(1, 5) + " "
+                line += rng.choice(plain)() + rng.choice((" ", ". ", ", ", "\n"))
+                continue
+            spans.append((len(line), len(line) + len(value)))
+            line += value + (f"@{word()}.example.org/{word()} " if 0.5 <= kind < 0.55 else rng.choice((" ", ". ", ", ", '" ', "' ", "\n", "; "))) + prose(0, 4) + " "
         yield line, spans
 
 
-def runs(text: str) -> Iterator[tuple[list[tuple[int, int, str]], str | None, str | None, str | None]]:
-    """Runs of tokens that may be secret: (tokens, second before, before, after). Memory: one run."""
-    before2 = before = None
-    run: list[tuple[int, int, str]] = []
-    for m in TOKEN.finditer(text):
-        token = m[0]
-        if may_be_secret(token):
-            run.append((m.start(), m.end(), token))
+def sequences(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """(features of the tokens, tags) of every line."""
+    file, found = file_features(text), list(TOKEN.finditer(text))
+    tokens = [m[0] for m in found]
+    line: tuple[list[list[str]], list[int]] = ([], [])
+    held = None
+    for i, m in enumerate(found):
+        if tokens[i] == "\n":
+            if line[0]:
+                yield line
+            line, held = ([], []), None
             continue
-        if run:
-            yield run, before2, before, token
-            before2, before = (run[-2][2] if len(run) > 1 else before), run[-1][2]
-            run = []
-        before2, before = before, token
-    if run:
-        yield run, before2, before, None
-
-
-def run_features(run, before2, before, after, file: str) -> list[list[int]]:
-    words = [before2, before, *[t for _, _, t in run], after]
-    return [features(words[i], words[i - 1], words[i - 2], words[i + 1], file) for i in range(2, len(words) - 1)]
+        at = lambda k, i=i: tokens[i + k] if 0 <= i + k < len(tokens) else "\n"
+        word, form, n, touches = look(tokens[i])
+        line[0].append(form_features(form, n, touches, file) + word_features(word, n, touches) + [x for p in PLACES for x in near_features(at(p), p)])
+        start = m.end() - len(m[0].strip())
+        span = next((s for s in spans if s[0] < m.end() and start < s[1]), None)
+        line[1].append(OUTSIDE if span is None else INSIDE if span == held else BEGIN)
+        held = span
+    if line[0]:
+        yield line
 
 
 @functools.lru_cache(maxsize=1)
-def fitted(n: int = 700, epochs: int = 6, rate: float = 0.25, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(feature weights, transition weights) by AdaGrad on the log-likelihood."""
-    w, move = np.zeros((BUCKETS, 3)), np.zeros((3, 3))
-    gw, gm = np.full_like(w, 1e-6), np.full_like(move, 1e-6)
+def fitted(n: int = 1200, epochs: int = 4, rate: float = 0.2, l2: float = 1e-4) -> tuple[dict[str, tuple[float, float, float]], np.ndarray]:
+    """(feature weights, transition weights) by AdaGrad on the log-likelihood of whole lines."""
+    names: dict[str, int] = {}
     data = []
     for text, spans in training_lines(n):
-        file = file_features(text)
-        for run, before2, before, after in runs(text):
-            tags = []
-            for a, b, _ in run:
-                inside = next((s for s in spans if s[0] < b and a < s[1]), None)
-                tags.append(OUTSIDE if inside is None else INSIDE if tags and tags[-1] and inside[0] < a else BEGIN)
-            data.append((np.array(run_features(run, before2, before, after, file)), tags))
+        for x, tags in sequences(text, spans):
+            ids = np.array([names.setdefault(i, len(names)) for f in x for i in f])
+            data.append((ids, np.repeat(np.arange(len(x)), [len(f) for f in x]), np.array(tags)))
+    w, move = np.zeros((len(names), 3)), np.zeros((3, 3))
+    gw, gm = np.full_like(w, 1e-6), np.full_like(move, 1e-6)
     order = random.Random(1)
     for _ in range(epochs):
         order.shuffle(data)
-        for x, tags in data:
-            emit = w[x].sum(axis=1)
+        for ids, rows, tags in data:
             k = len(tags)
+            emit = np.stack([np.bincount(rows, w[ids, y], k) for y in range(3)], axis=1)
             alpha, beta = np.zeros((k, 3)), np.zeros((k, 3))
             alpha[0] = move[OUTSIDE] + emit[0]
             for t in range(1, k):
@@ -242,50 +384,35 @@ def fitted(n: int = 700, epochs: int = 6, rate: float = 0.25, l2: float = 1e-4)
                 beta[t] = np.logaddexp.reduce(move + emit[t + 1] + beta[t + 1], axis=1)
             z = np.logaddexp.reduce(alpha[-1] + beta[-1])
             p = np.exp(alpha + beta - z)
+            pairs = np.exp(alpha[:-1, :, None] + move + (emit[1:] + beta[1:])[:, None, :] - z).sum(axis=0)
+            pairs[OUTSIDE] += p[0]
+            pairs[:, OUTSIDE] += p[-1]
             p[np.arange(k), tags] -= 1
-            dm = np.zeros((3, 3))
-            dm[OUTSIDE] += np.exp(alpha[0] + beta[0] - z)
-            dm[OUTSIDE, tags[0]] -= 1
-            for t in range(1, k):
-                dm += np.exp(alpha[t - 1][:, None] + move + emit[t] + beta[t] - z)
-                dm[tags[t - 1], tags[t]] -= 1
-            last = np.exp(alpha[-1] + beta[-1] - z)
-            dm[:, OUTSIDE] += last
-            dm[tags[-1], OUTSIDE] -= 1
-            for t in range(k):
-                g = p[t] + l2 * w[x[t]]
-                gw[x[t]] += g * g
-                w[x[t]] -= rate * g / np.sqrt(gw[x[t]])
-            gm += dm * dm
-            move -= rate * dm / np.sqrt(gm)
-    return w, move
-
-
-def field_spans(text: str, weights: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """(start, end) of the secrets that the field finds in a text."""
-    if DIGIT.search(text) is None and max(map(len, text.split()), default=0) < LONG:
-        return []  # every token is fixed to outside
-    w, move = weights
-    file, found = file_features(text), []
-    for run, before2, before, after in runs(text):
-        x = np.array(run_features(run, before2, before, after, file))
-        tags = viterbi(w[x].sum(axis=1), move)
-        open_at = None
-        for (a, b, _), tag in zip(run, tags, strict=True):
-            if tag == OUTSIDE:
-                open_at = None
-            elif tag == BEGIN or open_at is None:
-                open_at = len(found)
-                found.append((a, b))
-            else:
-                found[open_at] = (found[open_at][0], b)
-    return found
+            np.add.at(pairs, (np.r_[OUTSIDE, tags], np.r_[tags, OUTSIDE]), -1)
+            some, inverse = np.unique(ids, return_inverse=True)
+            g = np.stack([np.bincount(inverse, p[rows, y], len(some)) for y in range(3)], axis=1) + l2 * w[some]
+            gw[some] += g * g
+            w[some] -= rate * g / np.sqrt(gw[some])
+            gm += pairs * pairs
+            move -= rate * pairs / np.sqrt(gm)
+    return {name: tuple(w[i].tolist()) for name, i in names.items()}, move
+
+
+def model_of(weights: tuple[dict, np.ndarray]) -> tuple[Scores, np.ndarray]:
+    return Scores(weights[0]), weights[1]
 
 
-def all_spans(text: str, weights: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, str]]:
+def all_spans(text: str, model: tuple[Scores, np.ndarray]) -> list[tuple[int, int, str]]:
     """Base spans and those the field adds where no base span overlaps, in order."""
-    base = base_spans(text)
-    added = [(a, b, "crf") for a, b in field_spans(text, weights) if not any(x < b and a < y for x, y, _ in base)]
+    base, added = base_spans(text), []
+    ends = sorted((a, b) for a, b, _ in base)
+    k, reach = 0, 0  # one sweep: the spans of the field are in order
+    for a, b in field_spans(text, model):
+        while k < len(ends) and ends[k][0] < b:
+            reach = max(reach, ends[k][1])
+            k += 1
+        if reach <= a:
+            added.append((a, b, "crf"))
     return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -294,14 +421,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans are in code points, end exclusive, by start and then kind. kind is
     assign, access or hex for the fixed patterns and crf for what the field
-    adds outside them. Null and empty texts have no spans; repeated rows stay
-    repeated; other columns are ignored; an empty table gives an empty result.
+    adds outside them. Null and empty texts have no spans; very long texts are scanned
+    whole, in memory linear in the text; repeated rows stay repeated; other columns are ignored; an empty table gives an empty result.
     """
-    w, move = fitted()
-    shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), move))  # 16,384 x 3 floats, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast(fitted())  # some MB of features of the training lines, whatever the data
 
     def make():
-        weights = shared.value
+        weights = model_of(shared.value)
 
         def work(batch: pa.RecordBatch) -> dict:
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in all_spans(t, weights)] for t in strings(batch.column(1))]
