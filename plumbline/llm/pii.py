@@ -7,7 +7,8 @@ of its own type, made from a keyed SHA-512 of its canonical form, so equal
 entities get equal surrogates everywhere (coreference):
 
   e-mail  letters for letters and digits for digits of the local part and the
-          first domain label, of the same script, under `.example`
+          first domain label, of the same script, under `.example`; one domain
+          stays one domain
   IPv4    four other octets
   card    same length, first digit and spacing, a valid check digit
   phone   same punctuation and country code, other digits
@@ -15,7 +16,10 @@ entities get equal surrogates everywhere (coreference):
   name    word by word, so that a family name alone is still the same person:
           given names with an ending for the gender of the form of address,
           family names from the same syllables; for other scripts than Latin
-          letters of that script, the last one kept, which carries the gender
+          other letters of that script, a last а or я standing for each other
+
+No letter or digit of a replaced part stands where it stood. A person is one
+person after any form of address.
 
 Distinctness is checked, not assumed: the distinct entities of the whole table
 are grouped by surrogate, and where two share one, or a surrogate is itself an
@@ -42,13 +46,14 @@ NEUTRAL = ("Dr", "Prof", "Mx")
 ADDRESS = "(?=[MHSDPFг])(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True)) + ")"
 NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
-    "email": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{M}0-9._%+\-])[\p{L}\p{M}0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
     r"|(?<![0-9+])\+[0-9]{1,3}[ .\-][0-9]{2,4}[ .\-][0-9]{3,4}(?:[ .\-][0-9]{2,4})?(?![0-9])"
-    r"|(?<![0-9+.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9.\-])",
+    r"|(?<![0-9+.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9.\-])"
+    r"|(?<![0-9+.\-])0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![0-9])",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{3}(?:[ \-]?[0-9]){10,16})(?![0-9])",
     "name": rf"(?<!\p{{L}}){ADDRESS}\.? {NAME}(?: {NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -65,6 +70,11 @@ SCRIPTS = (
     ("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "абвгдежзиклмнопрстуфхцчшэюя"),
     ("αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ", "αβγδεζηθικλμνξοπρστυφχψω"),
 )
+#: First and last letter of other scripts' runs of letters; a letter of none of them becomes a Latin one.
+RANGES = (
+    ("Ա", "Ֆ"), ("ա", "ֆ"), ("א", "ת"), ("ب", "غ"), ("ف", "ي"), ("अ", "ह"), ("ক", "ন"), ("ก", "ฮ"), ("ა", "ჰ"),
+    ("あ", "ん"), ("ア", "ン"), ("一", "龥"), ("가", "힣"), ("ሀ", "ቆ"),
+)
 SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
 
 
@@ -127,13 +137,27 @@ def _pick(pool: str, n: Column) -> Column:
 
 
 def _scramble(text: Column, digest: Column, offset: int = 0) -> Column:
-    """Each letter or digit by another of its script and case; other characters stay."""
+    """Each letter or digit by another one of its script and case, never itself; other characters stay."""
+
+    scripts = F.array(*(F.struct(F.lit(m).alias("members"), F.lit(p).alias("pool")) for m, p in SCRIPTS))
+    ranges = F.array(*(F.struct(F.lit(ord(a)).alias("first"), F.lit(ord(b) - ord(a) + 1).alias("n")) for a, b in RANGES))
 
     def one(c: Column, i: Column) -> Column:
-        out = c
-        for members, pool in SCRIPTS:
-            out = F.when(F.lit(members).contains(c), _pick(pool, _number(digest, i + offset))).otherwise(out)
-        return out
+        code = F.ascii(c)
+        script = F.get(F.filter(scripts, lambda x: F.contains(x["members"], c)), F.lit(0))
+        place = F.get(F.filter(ranges, lambda x: (code >= x["first"]) & (code < x["first"] + x["n"])), F.lit(0))
+        # Bound once each: an expression that is used twice is computed twice.
+        return F.transform(F.array(F.struct(_number(digest, i + offset).alias("n"), script.alias("s"), place.alias("r"), F.position(c, script["pool"]).alias("at"))), lambda v: made(c, v))[0]
+
+    def made(c: Column, v: Column) -> Column:
+        n, size = v["n"], F.length(v["s"]["pool"])
+        step = F.when(v["at"] > 0, v["at"] + F.pmod(n, size - 1)).otherwise(F.pmod(n, size))  # past the letter itself
+        known = F.substr(v["s"]["pool"], F.pmod(step, size) + 1, F.lit(1))
+        first, many = v["r"]["first"], v["r"]["n"]
+        moved = first + F.pmod(F.ascii(c) - first + 1 + F.pmod(n, many - 1), many)
+        foreign = F.decode(F.unhex(F.lpad(F.hex(moved.cast("int")), 4, "0")), "UTF-16BE")
+        latin = F.when(c.rlike(r"\p{Lu}"), _pick(LOWER.upper(), n)).when(c.rlike(r"\p{L}"), _pick(LOWER, n)).otherwise(c)
+        return F.when(c == "", c).when(v["s"].isNotNull(), known).when(v["r"].isNotNull(), foreign).otherwise(latin)
 
     return F.concat_ws("", F.transform(F.split(text, ""), one))
 
@@ -145,13 +169,16 @@ def _syllables(digest: Column, n: Column) -> Column:
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """Canonical form of the replacement; later attempts have room for more."""
-    once = F.array(F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 512))
+    person = F.when(kind.startswith("given"), "given").otherwise(kind)  # the gender only picks the ending
+    once = F.array(F.sha2(F.concat_ws("|", F.lit(key), person, canon, attempt.cast("string")), 512))
 
     def build(digest: Column) -> Column:
         random = F.concat_ws("", F.transform(F.split(canon, ""), lambda c, i: F.pmod(_number(digest, i), F.lit(10)).cast("string")))
         more = F.greatest(attempt - 2, F.lit(0))
-        local, label = F.regexp_extract(canon, "^([^@]*)@", 1), F.regexp_extract(canon, "@([^.]*)", 1)
-        email = F.concat(_scramble(F.concat(local, F.repeat(F.lit("x"), more)), digest), F.lit("@"), _scramble(label, digest, 13), F.lit(".example"))
+        local, domain = F.regexp_extract(canon, "^([^@]*)@", 1), F.regexp_extract(canon, "@(.*)$", 1)
+        label = F.regexp_extract(domain, "^([^.]*)", 1)
+        place = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 512)  # one domain stays one domain
+        email = F.concat(_scramble(F.concat(local, F.repeat(F.lit("x"), more)), digest), F.lit("@"), _scramble(label, place), F.lit(".example"))
         body = F.concat(F.substring(canon, 1, 1), F.substr(random, F.lit(2), F.length(canon) - 2))
         card = F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
         lead = lambda i: (F.pmod(_number(digest, F.lit(i)), F.lit(8)) + 2).cast("string")
@@ -160,7 +187,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         word = _syllables(digest, attempt + 3)
         ending = F.when(kind == "given_m", _pick("nrsk", _number(digest, F.lit(31)))).when(kind == "given_f", F.lit("la")).otherwise(F.lit(""))
         last = F.substring(canon, -1, 1)
-        foreign = F.concat(_scramble(F.concat(F.substr(canon, F.lit(1), F.length(canon) - 1), F.repeat(last, more)), digest), last)
+        ending_of = F.when(last == "а", "я").when(last == "я", "а").otherwise(_scramble(last, digest, 29))  # а and я carry the gender
+        foreign = F.concat(_scramble(F.concat(F.substr(canon, F.lit(1), F.length(canon) - 1), F.repeat(last, more)), digest), ending_of)
         name = F.when(canon.rlike(r"^[\p{IsLatin}\-]+$"), F.concat(word, ending)).otherwise(foreign)
         return (
             F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
@@ -193,20 +221,30 @@ def matches(text: Column) -> Column:
 
 
 def clashes(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first surrogate would not do."""
+    """(kind, canon, use, attempt) of the entities whose first surrogate, as their mention has it, would not do.
+
+    A given name after different forms of address is one person: `use` is the
+    kind that all mentions take, a gendered one if there is any. Surrogates of
+    all names are checked together, those of other kinds by kind.
+    """
     found = docs.select(F.explode(F.array_distinct(matches(F.col(text_col).cast("string")))).alias("m"))
-    parts = found.distinct().select(F.explode(parts_of(F.col("m"))).alias("p")).select("p.kind", "p.canon").distinct()
-    state = cut(parts.withColumn("attempt", F.lit(0)))
+    parts = cut(found.distinct().select(F.explode(parts_of(F.col("m"))).alias("p")).select("p.kind", "p.canon").distinct())
+    person = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
+    name = F.col("person").isin("given", "family")
+    state = parts.groupBy(person.alias("person"), "canon").agg(F.min("kind").alias("use"))
+    state = cut(state.select(F.when(name, "name").otherwise(F.col("person")).alias("pool"), "person", "canon", "use", F.lit(0).alias("attempt")))
     while True:
-        made = state.withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        made = state.withColumn("made", surrogate(F.col("use"), F.col("canon"), F.col("attempt"), key))
         # Of those that share a surrogate the smallest (earliest attempt first) keeps it.
-        best = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("best"), F.count("*").alias("n")).where("n > 1")
-        shared = made.join(best, ["kind", "made"]).where(F.struct("attempt", "canon") != F.col("best")).select("kind", "canon")
-        own = made.join(state.select("kind", F.col("canon").alias("made")), ["kind", "made"], "left_semi").select("kind", "canon")
+        order = F.struct("attempt", "canon", "person")
+        best = made.groupBy("pool", "made").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+        shared = made.join(best, ["pool", "made"]).where(order != F.col("best")).select("person", "canon")
+        own = made.join(state.select("pool", F.col("canon").alias("made")), ["pool", "made"], "left_semi").select("person", "canon")
         again = cut(shared.union(own).distinct().withColumn("again", F.lit(1)))
         if again.isEmpty():
-            return state.where("attempt > 0")
-        state = cut(state.join(again, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
+            mentions = parts.withColumn("person", person).join(state.select("person", "canon", "use", "attempt"), ["person", "canon"])
+            return mentions.where((F.col("attempt") > 0) | (F.col("use") != F.col("kind"))).select("kind", "canon", "use", "attempt")
+        state = cut(state.join(again, ["person", "canon"], "left").select("pool", "person", "canon", "use", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
 
 
 def is_type(name: str) -> Callable[[Column], Column]:
@@ -219,7 +257,7 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", broadcas
     Texts without entities are unchanged; null stays null. Equal entities get
     equal surrogates in all rows, different ones different surrogates. Rows
     that repeat an id are treated each by itself, and an empty table gives an
-    empty result. Columns of docs with the new names give way to them. `key` is secret: who has
+    empty result. Columns of docs with the new names give way to them. Very long texts are rewritten whole, in memory linear in the text. `key` is secret: who has
     it can test guesses. Texts are rewritten where they are read; entities that
     need a later attempt are broadcast if they are at most `broadcast_rows`,
     else joined to the ids of the texts that hold them.
@@ -231,21 +269,24 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", broadcas
     # The row travels as one column, so that none of its names can clash with those made here.
     rows = docs.select(F.struct(*(docs[c] for c in own)).alias("row"), docs[text_col].cast("string").alias("text"))
     rows = rows.withColumn("m", matches(F.col("text"))).withColumn("p", F.transform("m", parts_of))
-    lookup = F.lit(None).cast("map<string,int>")
+    lookup = F.lit(None).cast("map<string,string>")
+    rare = rare.select("kind", "canon", F.concat_ws("|", F.col("attempt").cast("string"), "use").alias("made_with"))
     if n_rare and n_rare <= broadcast_rows:
-        known = {f"{r['kind']}:{r['canon']}": r["attempt"] for r in rare.toLocalIterator()}
-        lookup = F.from_json(F.lit(json.dumps(known)), "map<string,int>")
+        known = {f"{r['kind']}:{r['canon']}": r["made_with"] for r in rare.toLocalIterator()}
+        lookup = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
     elif n_rare:
         # By the text's digest, so that equal texts share one row and ids may repeat or be null.
         rows = rows.withColumn("sha", F.sha2("text", 256))
         held = rows.where(F.size("m") > 0).select("sha", F.explode(F.flatten("p")).alias("e")).select("sha", "e.kind", "e.canon").distinct()
-        entries = F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "canon"), "attempt")))
+        entries = F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "canon"), "made_with")))
         rows = rows.join(held.join(rare, ["kind", "canon"]).groupBy("sha").agg(entries.alias("known")), "sha", "left")
         lookup = F.col("known")
 
     def one(p: Column) -> Column:
-        attempt = F.coalesce(F.element_at(lookup, F.concat(p["kind"], F.lit(":"), p["canon"])), F.lit(0))
-        return formatted(p["kind"], p["raw"], surrogate(p["kind"], p["canon"], attempt, key))
+        found = F.element_at(lookup, F.concat(p["kind"], F.lit(":"), p["canon"]))
+        attempt = F.coalesce(F.substring_index(found, "|", 1).cast("int"), F.lit(0))
+        kind = F.coalesce(F.substring_index(found, "|", -1), p["kind"])
+        return formatted(kind, p["raw"], surrogate(kind, p["canon"], attempt, key))
 
     def whole(m: Column, parts: Column) -> Column:
         made = F.transform(parts, one)

@@ -419,6 +419,40 @@ def test_surrogates(spark):
     assert out[3]["n_ip"] == 2
 
 
+NAMES = {
+    "hy": "Արմեն Սարգսյան", "ru": "Анна Иванова", "el": "Γιώργος Παπαδόπουλος", "pl": "Łukasz Żółw", "tr": "Çağrı Şimşek", "vi": "Nguyễn Trường", "cs": "Řehoř Dvořák", "de": "Jürgen Groß", "uk": "Ґалина Їжак",
+}
+LOCALS = ["张三丰", "łukasz.żółw", "משהו", "علي", "अमित", "สมชาย", "たろう", "タロウ", "김철수", "არჩილ", "ሀለሐ", "γιώργος", "ñandú", "bob7"]
+
+
+def test_no_letter_of_any_script_survives(spark):
+    rows = [f"Mr {x}." for x in NAMES.values()] + [f"{x}@firma.pl" for x in LOCALS]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.replace_entities(df, "k").collect()}
+    for i, text in enumerate(rows):
+        assert out[i]["n_entities"] == 1, text
+        old = text[3:-1] if text.startswith("Mr ") else text.split("@")[0]
+        new = out[i]["text"][3:-1] if text.startswith("Mr ") else out[i]["text"].split("@")[0]
+        for one, other in zip(old.split(), new.split(), strict=True):
+            if not one.isascii() and not all("LATIN" in __import__("unicodedata").name(c, "") for c in one):
+                assert not any(a == b and a.isalnum() for a, b in zip(one, other, strict=False)), (text, new)
+            assert one != other
+    assert len({r["text"].split("@")[1] for i, r in out.items() if "@" in r["text"]}) == 1  # one domain stays one
+
+
+def test_people_are_one_under_any_form_of_address(spark):
+    rows = ["Dr Jane Roe met Ms Jane Roe.", "Mr John Roe and Prof John Poe.", "Card 4111 1111 1111 1111 123 or 7 4111 1111 1111 1111, tel 020 7946 0958."]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for bound in (10_000, 0):
+        out = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, "k", broadcast_rows=bound).collect()}
+        jane = re.fullmatch(r"Dr (\w+) (\w+) met Ms (\w+) (\w+)\.", out[0])
+        john = re.fullmatch(r"Mr (\w+) (\w+) and Prof (\w+) (\w+)\.", out[1])
+        assert jane[1] == jane[3] and jane[2] == jane[4] == john[2] and jane[1].endswith("la")
+        assert john[1] == john[3] and john[1][-1] in "nrsk"
+        assert len({jane[1], jane[2], john[1], john[4]}) == 4
+        assert "4111 1111" not in out[2] and "7946" not in out[2]
+
+
 def test_surrogates_stay_distinct_when_they_clash(spark, monkeypatch):
     real = pii.surrogate
     from pyspark.sql import functions as F
