@@ -65,6 +65,7 @@ TOKEN = re.compile(r"\n|[^\S\n]?(?:\w+|[^\w\s])")
 BEFORE = 4
 CACHE = 400_000
 FILES = 4
+LOW, HIGH = re.compile("[a-f]"), re.compile("[g-z]")
 CLASSES = tuple((name, re.compile(test)) for name, test in (("d", "[0-9]"), ("h", "[a-f]"), ("l", "[g-z]"), ("u", "[A-Z]"), ("_", "_"), ("o", r"[^\x00-\x7f]")))
 
 
@@ -130,8 +131,12 @@ class Scores:
 
     def __init__(self, weights: dict[str, tuple[float, float, float]]):
         self.weights = weights
-        self.forms: dict[tuple, np.ndarray] = {}
-        self.near_forms: dict[tuple, np.ndarray] = {}
+        self.forms: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        near = {x.split("|", 1)[1] for x in weights if x[0] in "-1" and not x.split("|", 1)[1].startswith("g=")}
+        self.near_words = {x: np.stack([self.sum_of([f"{place}|{x}"]) for place in PLACES]) for x in near}
+        split = lambda head: {x[len(head):]: np.array(v) for x, v in weights.items() if x.startswith(head)}
+        self.three = self.four = split("p=")
+        self.word = split("w=")
         self.reset()
 
     def reset(self) -> None:
@@ -143,26 +148,47 @@ class Scores:
         found = [self.weights[x] for x in names if x in self.weights]
         return np.array(found, float).sum(axis=0) if found else np.zeros(3)
 
+    def form(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(own part by file, part as a neighbour by place) of all tokens of one form."""
+        s, n, touches, t, digits = key
+        both = [f"t={t}|n={n}", f"t={t}|d={digits}|g={touches}"] if t is not None else []
+        own = np.stack([self.sum_of(form_features(s, n, touches, file) + both) for file in range(FILES)])
+        return own, np.stack([self.sum_of([f"{place}|g={touches}|{s}|{n}"]) for place in PLACES])
+
+    def parts(self, token: str) -> tuple[np.ndarray, np.ndarray]:
+        word = token.strip() or token
+        n, touches = bucket(len(word)), word == token
+        if word.isalpha() and word.islower():  # most words: no digits, no turns
+            s = ("h" if LOW.search(word) else "") + ("l" if HIGH.search(word) else "") + ("" if word.isascii() else "o")
+            key, known = (s, n, touches, 0, 0), word if len(word) <= 16 else "#" + s
+        else:
+            s = shape(word)
+            more = (turns(word), sum(map(str.isdigit, word)) * 4 // len(word)) if word[:1].isalnum() else (None, None)
+            key, known = (s, n, touches, *more), near_word(word)
+        if key not in self.forms:
+            self.forms[key] = self.form(key)
+        own, near = self.forms[key]
+        if key[3] is not None:
+            for found in (self.three.get(word[:3]), self.four.get(f"{word[:4]}|n={n}"), self.word.get(known)):
+                if found is not None:
+                    own = own + found
+        beside = self.near_words.get(known)
+        return own, near if beside is None else near + beside
+
     def ids(self, tokens: list[str]) -> np.ndarray:
         if len(self.index) > CACHE:
             self.reset()
         index = self.index
-        for token in set(tokens).difference(index):
-            k = index[token] = len(index)
-            if k >= self.own.shape[1]:
+        fresh = list(set(tokens).difference(index))
+        if fresh:
+            first = len(index)
+            while first + len(fresh) > self.own.shape[1]:
                 self.own, self.near = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (self.own, self.near))
-            word, s, n, touches = look(token)
-            form = (s, n, touches)
-            if form not in self.forms:
-                self.forms[form] = np.stack([self.sum_of(form_features(s, n, touches, file)) for file in range(FILES)])
-                self.near_forms[form] = np.stack([self.sum_of([f"{place}|g={touches}|{s}|{n}"]) for place in PLACES])
-            self.own[:, k] = self.forms[form] + self.sum_of(word_features(word, n, touches))
-            self.near[:, k] = self.near_forms[form]
-            known = near_word(word)
-            for i, place in enumerate(PLACES):
-                if (more := self.weights.get(f"{place}|{known}")) is not None:
-                    self.near[i, k] += more
-        return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+            own, near = zip(*map(self.parts, fresh), strict=True)
+            self.own[:, first : first + len(fresh)] = np.stack(own, axis=1)
+            self.near[:, first : first + len(fresh)] = np.stack(near, axis=1)
+            index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        return np.array([index[t] for t in tokens], np.int64)
 
     def emissions(self, tokens: list[str], file: int) -> np.ndarray:
         """A row of three scores for each token; beyond the ends there are line breaks."""
@@ -184,16 +210,24 @@ def _shifted(ids: np.ndarray, place: int, edge: int) -> np.ndarray:
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray) -> list[int]:
-    """Best tags of a line's tokens (rows of `emit`) between outside ends."""
-    score, back = move[OUTSIDE] + emit[0], []
-    for row in emit[1:]:
-        table = score[:, None] + move
-        back.append(table.argmax(axis=0))
-        score = table.max(axis=0) + row
-    score = score + move[:, OUTSIDE]
-    tags = [int(score.argmax())]
+    """Best tags of a line's tokens (rows of `emit`) between outside ends; of equal paths the smaller tags."""
+    rows, m = emit.tolist(), move.tolist()
+    (m00, m01, m02), (m10, m11, m12), (m20, m21, m22) = m
+    s0, s1, s2 = (m[OUTSIDE][y] + rows[0][y] for y in range(3))
+    back = []
+    for e0, e1, e2 in rows[1:]:
+        a, b, c = s0 + m00, s1 + m10, s2 + m20
+        p0, t0 = (0, a) if a >= b and a >= c else (1, b) if b >= c else (2, c)
+        a, b, c = s0 + m01, s1 + m11, s2 + m21
+        p1, t1 = (0, a) if a >= b and a >= c else (1, b) if b >= c else (2, c)
+        a, b, c = s0 + m02, s1 + m12, s2 + m22
+        p2, t2 = (0, a) if a >= b and a >= c else (1, b) if b >= c else (2, c)
+        back.append((p0, p1, p2))
+        s0, s1, s2 = t0 + e0, t1 + e1, t2 + e2
+    last = [s0 + m00, s1 + m10, s2 + m20]
+    tags = [last.index(max(last))]
     for best in reversed(back):
-        tags.append(int(best[tags[-1]]))
+        tags.append(best[tags[-1]])
     return tags[::-1]
 
 
