@@ -29,7 +29,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-    if not shared and not context.master.startswith("local["):
+    if not shared and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plumbline-"))
 
