@@ -36,6 +36,53 @@ def diff_surfaces(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.select("symbol", "status", (F.size("reasons") > 0).alias("breaking"), "reasons")
 
 
+def diff_with_methods(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of `diff_surfaces` with the methods (kind method, symbol Class.name) of classes folded into their class.
+
+    A class on both sides changes with its methods: a method gone or changed
+    against its callers is breaking, a new one is not. Methods of removed or
+    added classes say nothing of their own.
+    """
+    is_method = F.col("kind") == "method"
+    owner = F.substring_index("symbol", ".", -1)
+    cut_owner = F.col("symbol").substr(F.lit(1), F.length("symbol") - F.length(owner) - 1)
+    both = before.where("kind = 'class'").select("symbol").intersect(after.where("kind = 'class'").select("symbol")).withColumnRenamed("symbol", "owner")
+    m = diff_surfaces(before.where(is_method), after.where(is_method)).withColumn("owner", cut_owner).withColumn("name", owner).join(both, "owner", "left_semi")
+    said = (
+        F.when(F.col("status") == "removed", F.array(F.concat(F.lit("method removed: "), "name")))
+        .when(F.col("status") == "added", F.array(F.concat(F.lit("method added: "), "name")))
+        .otherwise(F.transform("reasons", lambda r: F.concat("name", F.lit(": "), r)))
+    )
+    inside = m.groupBy(F.col("owner").alias("symbol")).agg(F.max("breaking").alias("b2"), F.array_sort(F.flatten(F.collect_list(said))).alias("r2"))
+    outer = diff_surfaces(before.where(~is_method), after.where(~is_method)).join(inside, "symbol", "full_outer")
+    none = F.array().cast("array<string>")
+    return outer.select(
+        "symbol",
+        F.coalesce("status", F.lit("changed")).alias("status"),
+        (F.coalesce("breaking", F.lit(False)) | F.coalesce("b2", F.lit(False))).alias("breaking"),
+        F.array_sort(F.concat(F.coalesce("reasons", none), F.coalesce("r2", none))).alias("reasons"),
+    )
+
+
+def verdict(findings: DataFrame) -> tuple[str, int]:
+    """BREAKING and 1 if any finding is breaking, else COMPATIBLE and 0, the exit status."""
+    return ("COMPATIBLE", 0) if findings.where("breaking").isEmpty() else ("BREAKING", 1)
+
+
+def signature(params: Column, defaults: Column) -> Column:
+    """Parameters as they are written: `(a, /, b, *, c=1, **rest)`; defaults is an array of texts beside them."""
+
+    def one(p: Column, i: Column) -> Column:
+        star = F.when(p["kind"] == "varargs", "*").when(p["kind"] == "varkw", "**").otherwise("")
+        text = F.concat(star, p["name"], F.coalesce(F.concat(F.lit("="), F.get(defaults, i)), F.lit("")))
+        last = (p["kind"] == "posonly") & ~F.coalesce(F.get(params, i + 1)["kind"] == "posonly", F.lit(False))
+        before = F.get(params, i - 1)["kind"]
+        bare = (p["kind"] == "kwonly") & ~F.coalesce(before.isin("kwonly", "varargs"), F.lit(False))
+        return F.when(last, F.concat(text, F.lit(", /"))).when(bare, F.concat(F.lit("*, "), text)).otherwise(text)
+
+    return F.concat(F.lit("("), F.concat_ws(", ", F.transform(params, one)), F.lit(")"))
+
+
 def parameter_reasons(old: Column, new: Column) -> Column:
     """Why calls of the old parameters may fail with the new ones."""
     named = lambda p: p["kind"].isin("normal", "kwonly")

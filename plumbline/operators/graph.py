@@ -181,6 +181,19 @@ def resolve_prefix(targets: DataFrame, modules: DataFrame) -> DataFrame:
     return prefixes.join(modules.select("module").distinct(), "module").groupBy("target").agg(F.max_by("module", "n").alias("module"))
 
 
+def suffix_match(paths: DataFrame, modules: DataFrame) -> DataFrame:
+    """(path, module): the module whose (suffix, module) is the path or ends it after a slash.
+
+    The longest suffix wins, then the smaller module. Every path is cut at its
+    slashes and joined by equality; unmatched paths are left out.
+    """
+    parts = F.split("path", "/")
+    ends = paths.select("path").where("path is not null").distinct().withColumn("p", parts).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("p"))))
+    each = ends.select("path", "n", F.concat_ws("/", F.slice("p", -F.col("n"), F.col("n"))).alias("suffix"))
+    found = each.join(modules.select("suffix", "module").distinct(), "suffix")
+    return found.groupBy("path").agg(F.min(F.struct((-F.col("n")).alias("n"), "module"))["module"].alias("module"))
+
+
 def edge_friction(edges: DataFrame, volatility: DataFrame) -> DataFrame:
     """(src, friction): strength times tree distance (1 at least) times the source's volatility, summed."""
     from plumbline.functions.scalar import tree_distance

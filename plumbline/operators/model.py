@@ -85,3 +85,39 @@ def rank_helpers(helpers: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("concept").orderBy(F.desc("score"), F.size("tokens"), "qualname")
     return with_concept.withColumn("score", score).withColumn("rank", F.row_number().over(order)).select("concept", "qualname", "score", "rank")
+
+
+def cluster_helpers(members: DataFrame) -> DataFrame:
+    """(cluster, concept, site, n_sites) over members (cluster, qualname, tokens): the member to reuse.
+
+    The concept is the name token of most members, ties to the smaller one. A
+    member scores 4 if its name is the concept, 3 if the last part of its module
+    is, 2 if it is the only token; then fewer tokens, then the smaller name win.
+    """
+    tokens = members.select("cluster", F.explode("tokens").alias("token")).groupBy("cluster", "token").agg(F.count("*").alias("n"))
+    concept = tokens.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "token"))["token"].alias("concept"))
+    both = members.join(concept, "cluster", "left").withColumn("concept", F.coalesce("concept", F.lit("")))
+    parts = F.split("qualname", r"\.")
+    score = (
+        F.when(F.element_at(parts, -1) == F.col("concept"), 4).otherwise(0)
+        + F.when(F.try_element_at(parts, F.lit(-2)) == F.col("concept"), 3).otherwise(0)
+        + F.when((F.size("tokens") == 1) & F.array_contains("tokens", F.col("concept")), 2).otherwise(0)
+    )
+    first = F.min(F.struct((-score).alias("score"), F.size("tokens").alias("size"), "qualname"))["qualname"]
+    return both.groupBy("cluster").agg(F.min("concept").alias("concept"), first.alias("site"), F.count("*").alias("n_sites"))
+
+
+def derive(helpers: DataFrame, keys: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, kind, confidence, name, suggestion, n_sites): what a person may ratify.
+
+    helpers is what `cluster_helpers` gives, keys `signals.every_site_keys`,
+    values `signals.shared_values`. A helper is of medium confidence, a shape
+    too if a key is read at every site, else low; values are low. Members, keys
+    and modules of a candidate stay in the tables that they come from.
+    """
+    h = helpers.select(F.lit("reuse_helper").alias("kind"), F.lit("medium").alias("confidence"), F.col("concept").alias("name"), F.col("site").alias("suggestion"), "n_sites")
+    k = keys.groupBy("name").agg(F.max("everywhere").alias("common"), F.max(F.when(F.col("everywhere"), F.col("n_sites"))).alias("all"), F.max("n_sites").alias("some"), F.min(F.when(F.col("everywhere"), F.col("key"))).alias("first"))
+    k = k.select(F.lit("entity_shape").alias("kind"), F.when(F.col("common"), "medium").otherwise("low").alias("confidence"), "name", F.coalesce("first", F.lit("")).alias("suggestion"), F.coalesce("all", "some").alias("n_sites"))
+    v = values.select(F.lit("shared_value").alias("kind"), F.lit("low").alias("confidence"), F.col("lit_type").alias("name"), F.col("lit_repr").alias("suggestion"), F.col("n_modules").alias("n_sites"))
+    out = h.unionByName(k).unionByName(v)
+    return out.select(candidate_id(F.col("kind"), F.col("name"), F.col("suggestion"), F.col("n_sites").cast("string")).alias("id"), *out.columns)

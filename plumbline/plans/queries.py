@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar
-from plumbline.operators import apidiff, budget, calibrate, cochange, compare, graph, history, ledger, model, signals, similarity, stats
+from plumbline.operators import apidiff, budget, calibrate, cochange, compare, graph, history, ledger, lookup, model, priority, signals, similarity, stats
 from plumbline.plans import measure
 from plumbline.session import cut, table
 from plumbline.sources import facts as source_facts
@@ -784,6 +784,183 @@ def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.count_findings(table(spark, sf_dir, "events").select(F.col("event_type").alias("signal"), F.col("user_id").cast("string").alias("file"), (F.col("event_id") % 7).alias("start_line")))
 
 
+# --- lookups, rankings, tallies ------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages), e AS (SELECT regexp_extract(path, '([^/]+)$', 1) AS suffix FROM p UNION SELECT regexp_extract(path, '([^/]+/[^/]+)$', 1) FROM p WHERE path LIKE '%/es/%'),
+    m AS (SELECT suffix, 'm:' || suffix AS module FROM e WHERE suffix <> '') SELECT path, arg_min(module, {'n': -length(suffix), 'm': module}) AS module FROM p JOIN m ON path = suffix OR ends_with(path, '/' || suffix) GROUP BY path"""
+)
+def suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path")).distinct()
+    one = paths.select(F.regexp_extract("path", "([^/]+)$", 1).alias("suffix"))
+    two = paths.where("path like '%/es/%'").select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("suffix"))
+    suffixes = one.union(two).where("suffix <> ''").distinct()
+    return graph.suffix_match(paths, suffixes.select("suffix", F.concat(F.lit("m:"), "suffix").alias("module")))
+
+
+SCORES_SQL = """s AS (SELECT s_nationkey % 7 AS cluster, n_regionkey || '.' || n_name AS module, n_regionkey AS package FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    d AS (SELECT cluster, count(*) AS degree, CASE WHEN count(DISTINCT module) = 1 THEN 1 WHEN count(DISTINCT package) = 1 THEN 2 ELSE 3 END AS locality FROM s GROUP BY cluster HAVING count(*) >= 2),
+    scores AS (SELECT *, locality * degree AS score FROM d)"""
+
+
+def _scores(spark, sf_dir):
+    both = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return priority.cluster_scores(both.select((F.col("s_nationkey") % 7).alias("cluster"), F.concat_ws(".", F.col("n_regionkey").cast("string"), "n_name").alias("module")))
+
+
+@query(f"WITH {SCORES_SQL} SELECT * FROM scores")
+def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
+@query(
+    f"""WITH {TOUCH_SQL}, {SCORES_SQL}, x AS (SELECT a.s_nationkey % 7 AS cluster, max(jaccard) AS j FROM pairs JOIN supplier a ON a = a.s_suppkey JOIN supplier b ON b = b.s_suppkey WHERE a.s_nationkey % 7 = b.s_nationkey % 7 GROUP BY 1)
+    SELECT cluster, degree, locality, score, round(coalesce(j, 0), 3) AS cochange, round(score * coalesce(j, 0), 2) AS combined FROM scores LEFT JOIN x USING (cluster)"""
+)
+def combined_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 7).alias("cluster"), F.col("s_suppkey").alias("item"))
+    return priority.combined_priority(_scores(spark, sf_dir), cochange.cluster_cochange(members, _touches(spark, sf_dir)))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 100) AS high, count(*) FILTER (WHERE user_id > 10) AS late FROM events GROUP BY event_type")
+def condition_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("value") > 100).alias("high"), (F.col("user_id") > 10).alias("late"))
+    return priority.tallies(rows, "event_type", ["high", "late"])
+
+
+@query(
+    """WITH o AS (SELECT DISTINCT lower(str_split(p_name, ' ')[1]) AS name, p_brand AS module, p_type AS field FROM part), g AS (SELECT CASE WHEN length(name) > 3 AND ends_with(name, 's') AND NOT ends_with(name, 'es') THEN name[:-2] ELSE name END AS term, module, list_sort(list(DISTINCT field)) AS f FROM o GROUP BY 1, 2),
+    bad AS (SELECT DISTINCT a.term FROM g a JOIN g b ON a.term = b.term AND a.module < b.module WHERE NOT list_has_all(a.f, b.f) AND NOT list_has_all(b.f, a.f)), seam AS (SELECT DISTINCT p_brand AS module FROM part WHERE p_size >= 49)
+    SELECT term, string_agg(g.module, ',' ORDER BY g.module) AS modules, bool_or(seam.module IS NOT NULL) AS translated FROM g JOIN bad USING (term) LEFT JOIN seam ON g.module = seam.module GROUP BY term"""
+)
+def term_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names' first words are terms, brands modules, types the fields."""
+    part = table(spark, sf_dir, "part")
+    shapes = part.select(F.split("p_name", " ")[0].alias("name"), F.col("p_brand").alias("module"), F.array("p_type").alias("fields"))
+    return priority.term_violations(shapes, part.where("p_size >= 49").select(F.col("p_brand").alias("module"))).withColumn("modules", F.concat_ws(",", "modules"))
+
+
+@query(
+    """WITH r AS (SELECT p_retailprice AS first, p_partkey AS id, lower(p_name) AS text, lower(p_brand) AS scope, CASE WHEN p_size > 25 THEN 1 END AS sup FROM part), q AS (SELECT * FROM (VALUES ('widget', 'brand#1'), ('economy', NULL), ('nothing', NULL)) v(concept, wanted)),
+    d AS (SELECT concept, arg_min(id, {'a': r.first, 'b': id::VARCHAR})::VARCHAR AS decided FROM q JOIN r ON contains(text, concept) AND (wanted IS NULL OR contains(scope, wanted)) WHERE sup IS NULL GROUP BY concept),
+    c AS (SELECT concept, min(p_partkey)::VARCHAR AS proposed FROM q JOIN part ON contains(lower(p_type), concept) GROUP BY concept)
+    SELECT concept, CASE WHEN decided IS NOT NULL THEN 'RATIFIED' WHEN proposed IS NOT NULL THEN 'CANDIDATE' ELSE 'NONE' END AS status, decided IS NOT NULL AS binding, coalesce(decided, proposed) AS id FROM q LEFT JOIN d USING (concept) LEFT JOIN c USING (concept)"""
+)
+def concept_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    gone = F.when(F.col("p_size") > 25, F.col("p_partkey"))
+    ratified = part.select(F.col("p_retailprice").alias("at"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_brand").alias("scope"), gone.alias("superseded_by"))
+    candidates = part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("text"))
+    one, two, three = (lookup.standing(ratified, candidates, c, s) for c, s in (("widget", "Brand#1"), ("economy", None), ("nothing", None)))
+    return one.unionByName(two).unionByName(three)
+
+
+@query("SELECT page_id, h AS region FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages) WHERE contains(lower(coalesce(h, '')), 'example.org') OR contains('example.org', lower(coalesce(h, '')))")
+def debts_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("region"))
+    return lookup.debts_near(entries, "Example.org")
+
+
+@query(
+    """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS state, * FROM orders), r AS (SELECT state, count(*) AS n, count(DISTINCT o_custkey) AS k FROM o GROUP BY state), m AS (SELECT state, count(*) AS n, count(DISTINCT o_custkey) AS k FROM o WHERE o_orderpriority NOT LIKE '1%' AND state NOT LIKE '%-03' GROUP BY state),
+    b AS (SELECT r.state, r.n AS rn, m.n AS mn, r.k AS rk, m.k AS mk, m.state IS NULL AS absent, r.state LIKE '%-02' AS failed FROM r LEFT JOIN m USING (state))
+    SELECT state, 'present' AS field, 'true' AS recorded, 'false' AS measured FROM b WHERE absent UNION ALL SELECT state, 'error', NULL, 'unreadable' FROM b WHERE NOT absent AND failed
+    UNION ALL SELECT state, 'n', rn::VARCHAR, mn::VARCHAR FROM b WHERE NOT absent AND NOT failed AND rn <> mn UNION ALL SELECT state, 'k', rk::VARCHAR, mk::VARCHAR FROM b WHERE NOT absent AND NOT failed AND rk <> mk"""
+)
+def recorded_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months as recorded against months without urgent orders, without March, February unreadable."""
+    o = table(spark, sf_dir, "orders").withColumn("state", F.date_format("o_orderdate", "yyyy-MM"))
+    points = lambda rows: rows.groupBy("state").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("k"))
+    measured = points(o.where("o_orderpriority not like '1%' and state not like '%-03'")).withColumn("error", F.when(F.col("state").like("%-02"), "unreadable"))
+    return lookup.differences(points(o).withColumn("error", F.lit(None).cast("string")), measured, ["state"], ["n", "k"])
+
+
+@query(
+    """WITH a AS (SELECT user_id, list(DISTINCT event_type) AS x FROM events WHERE value < 100 GROUP BY 1), b AS (SELECT user_id, list(DISTINCT event_type) AS y FROM events WHERE value >= 100 GROUP BY 1),
+    f AS (SELECT user_id AS site, coalesce(x, []) AS x, coalesce(y, []) AS y FROM a FULL JOIN b USING (user_id)),
+    d AS (SELECT site, list_sort(list_filter(x, lambda v: NOT list_contains(y, v))) AS missing, list_sort(list_filter(y, lambda v: NOT list_contains(x, v))) AS extra FROM f) SELECT site, array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra FROM d WHERE len(missing) + len(extra) > 0"""
+)
+def undeclared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), "event_type", "value")
+    names = lambda rows: rows.groupBy("site").agg(F.collect_set("event_type").alias("names"))
+    found = lookup.undeclared(names(e.where("value < 100")), names(e.where("value >= 100")))
+    return found.select("site", *(F.concat_ws(",", c).alias(c) for c in ("missing", "extra")))
+
+
+@query("SELECT p_partkey FROM part WHERE list_has_any(str_split(lower(p_name), ' '), ['cold', 'widget']) OR lower(p_name) IN ('cold', 'widget')")
+def entity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), scalar.identifier_words(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("tokens"))
+    return lookup.entity_matches(part, "Which shape has the cold widget?").select("p_partkey")
+
+
+@query("SELECT DISTINCT p_brand AS module FROM part WHERE contains(p_brand, '12') OR contains(p_brand, '3')")
+def module_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("module"), scalar.identifier_words(F.col("p_brand")).alias("tokens")).distinct()
+    return lookup.module_matches(brands, "Which layer depends on 12 and 3?").select("module")
+
+
+@query("SELECT p_type AS value, count(DISTINCT p_brand) AS n FROM part GROUP BY p_type HAVING contains(lower(p_type), 'economy') OR bool_or(p_brand = 'Brand#25')")
+def convention_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("value")).agg(F.collect_set("p_brand").alias("modules"))
+    joined = types.withColumn("modules", F.transform("modules", lambda m: F.replace(m, F.lit("#"), F.lit(""))))
+    hits = lookup.convention_matches(joined.withColumn("modules", F.transform("modules", lambda m: F.concat(m, F.lit(";")))), "which constants of economy")
+    more = lookup.convention_matches(joined.where(F.array_contains("modules", "Brand25")), "which constants")
+    return hits.unionByName(more).select("value", F.size("modules").cast("long").alias("n")).distinct()
+
+
+@query("SELECT 'helper' AS what, p_brand AS name FROM part WHERE str_split(p_name, ' ')[1] = 'cold' UNION ALL SELECT 'function', p_name FROM part WHERE list_contains(str_split(p_name, ' '), 'cold')")
+def helper_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, words = table(spark, sf_dir, "part"), F.split("p_name", " ")
+    helpers = part.select(words[0].alias("concept"), F.slice(words, 1, 1).alias("tokens"), F.col("p_brand").alias("site"))
+    return lookup.helper_matches(helpers, part.select(F.col("p_name").alias("qualname"), words.alias("tokens")), "which helper is cold")
+
+
+@query("SELECT c_custkey AS item, CASE WHEN c_mktsegment < 'G' THEN c_mktsegment ELSE 'NONE' END AS match FROM customer")
+def catalogue_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.col("c_mktsegment").alias("answer"))
+    return lookup.covered_votes(answers, answers.where("answer < 'G'").select(F.col("answer").alias("name")))
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 9)::DOUBLE AS mean, median(l_quantity)::DOUBLE AS median FROM lineitem GROUP BY l_returnflag")
+def mean_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priority.mean_median(table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("q")), "q", ["l_returnflag"]).withColumn("mean", F.round("mean", 9))
+
+
+@query(
+    f"""WITH {MONTHS_SQL}, p AS (SELECT 'urgent' AS key, row_number() OVER (ORDER BY state) AS seq, r, lag(r) OVER (ORDER BY state) AS b FROM m)
+    SELECT key, seq, CASE WHEN r > b + 1e-9 THEN 'flag' WHEN r < b - 1e-9 THEN 'consolidation' ELSE 'hold' END AS change FROM p WHERE b IS NOT NULL"""
+)
+def replay_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priority.intervals(_points(spark, sf_dir).select("key", "seq", "ratio"))
+
+
+@query(f"WITH {MONTHS_SQL} SELECT 'urgent' AS key, arg_min(r, state) AS first_ratio, arg_max(r, state) AS last_ratio FROM m")
+def first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priority.first_last(_points(spark, sf_dir).select("key", "seq", "ratio"))
+
+
+@query(f"SELECT * FROM ({ORACLE['shared_values']}) ORDER BY n_modules DESC, occurrences DESC, lit_type, lit_repr LIMIT 10")
+def shared_values_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows of a report."""
+    return priority.most_spread(shared_values(spark, sf_dir))
+
+
+@query(
+    f"""WITH x AS (SELECT p_size AS cluster, str_split(p_name, ' ') AS t, p_brand FROM part), n AS (SELECT cluster, w, count(*) AS n FROM (SELECT cluster, unnest(t) AS w FROM x) GROUP BY ALL), con AS (SELECT cluster, arg_min(w, {{'n': -n, 'w': w}}) AS concept FROM n GROUP BY cluster),
+    h AS (SELECT 'reuse_helper' AS kind, 'medium' AS confidence, concept AS name, arg_min(q, {{'s': -(CASE WHEN t[1] = concept THEN 4 ELSE 0 END), 'l': len(t), 'q': q}}) AS suggestion, count(*) AS n_sites FROM (SELECT *, p_brand || '.' || t[1] AS q FROM x JOIN con USING (cluster)) GROUP BY cluster, concept),
+    k AS (SELECT DISTINCT o_orderstatus AS name, o_orderpriority AS key, strftime(o_orderdate, '%Y-%m') AS module FROM orders), s AS (SELECT name, count(DISTINCT module) AS sites, count(*) AS pairs FROM k GROUP BY name), c AS (SELECT name, key, count(*) AS n FROM k GROUP BY ALL),
+    e AS (SELECT 'entity_shape', CASE WHEN bool_or(n = sites) THEN 'medium' ELSE 'low' END, name, coalesce(min(CASE WHEN n = sites THEN key END), ''), coalesce(max(CASE WHEN n = sites THEN n END), max(n)) FROM c JOIN s USING (name) WHERE sites >= 2 OR pairs >= 2 GROUP BY name),
+    v AS (SELECT 'shared_value', 'low', lit_type, lit_repr, n_modules FROM ({ORACLE['shared_values']})), u AS (SELECT * FROM h UNION ALL SELECT * FROM e UNION ALL SELECT * FROM v)
+    SELECT kind || ':' || substr(sha256(concat_ws(chr(1), kind, name, suggestion, n_sites::VARCHAR)), 1, 16) AS id, * FROM u"""
+)
+def derive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    members = table(spark, sf_dir, "part").select(F.col("p_size").alias("cluster"), F.concat_ws(".", "p_brand", words[0]).alias("qualname"), words.alias("tokens"))
+    access = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("key"), F.date_format("o_orderdate", "yyyy-MM").alias("module"))
+    return model.derive(model.cluster_helpers(members), signals.every_site_keys(access), shared_values(spark, sf_dir))
+
+
 # --- source text -----------------------------------------------------------------------------------------------------
 
 

@@ -26,10 +26,11 @@ FIELDS = {
     "function": "lineno int, tokens array<string>, args array<string>, calls array<string>, doc string, name_tokens array<string>",
     "import": "target string, level int, symbol string, runtime boolean",
     "literal": "lit_type string, lit_repr string",
-    "class": "is_abstract boolean, shape string, fields array<string>",
+    "class": "is_abstract boolean, shape string, fields array<string>, top_level boolean",
     "key": "key string, n long",
     "param": "site string, used array<string>, passed_whole boolean",
-    "surface": "what string, params array<struct<kind:string,name:string,has_default:boolean>>",
+    "surface": "what string, params array<struct<kind:string,name:string,has_default:boolean>>, defaults array<string>",
+    "segment": "lineno int, text string",
     "module": "n_lines int",
     "unreadable": "error string",
 }
@@ -101,6 +102,14 @@ def parameters(args: ast.arguments) -> list[dict]:
     return spec
 
 
+def default_texts(args: ast.arguments) -> list[str | None]:
+    """The source of each parameter's default in the order of `parameters`, null without one."""
+    plain = [*args.posonlyargs, *args.args]
+    each: list[ast.AST | None] = [None] * (len(plain) - len(args.defaults)) + list(args.defaults)
+    each += [None] * (args.vararg is not None) + list(args.kw_defaults) + [None] * (args.kwarg is not None)
+    return [ast.unparse(d) if d is not None else None for d in each]
+
+
 def _decorators(node) -> set[str]:
     return {_name(d.func if isinstance(d, ast.Call) else d).split(".")[-1] for d in node.decorator_list}
 
@@ -136,8 +145,38 @@ def _parameter_use(node) -> Iterator[tuple[str, dict]]:
         yield p, {"site": node.name, "used": sorted(used), "passed_whole": whole}
 
 
-def file_facts(module: str, text: str | None) -> Iterator[tuple[str, str, dict]]:
-    """(kind, name, data) of one file; a file that can't be parsed says so beside its module fact."""
+def _segment(lines: list[bytes], node: ast.AST) -> str:
+    """The source of a node, from the file's lines."""
+    own = lines[node.lineno - 1 : node.end_lineno]
+    own[-1] = own[-1][: node.end_col_offset]
+    own[0] = own[0][node.col_offset :]
+    return b"".join(own).decode()
+
+
+def _surface_of(node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) -> Iterator[tuple[str, dict]]:
+    """(name below the module, data) of a public function, or of a class, its constructor and its public methods."""
+    if not isinstance(node, ast.ClassDef):
+        yield node.name, {"what": "function", "params": parameters(node.args), "defaults": default_texts(node.args)}
+        return
+    methods = {f.name: f for f in node.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef)}
+    made = methods.pop("__init__", None)
+    yield node.name, {"what": "class"} | (_bound(made) if made else {"params": [], "defaults": []})
+    for name, f in methods.items():
+        if not name.startswith("_"):
+            yield f"{node.name}.{name}", {"what": "method"} | _bound(f)
+
+
+def _bound(f: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
+    both = list(zip(parameters(f.args), default_texts(f.args), strict=True))
+    both = both[1:] if both and both[0][0]["name"] in ("self", "cls") else both
+    return {"params": [p for p, _ in both], "defaults": [d for _, d in both]}
+
+
+def file_facts(module: str, text: str | None, segments: bool = False) -> Iterator[tuple[str, str, dict]]:
+    """(kind, name, data) of one file; a file that can't be parsed says so beside its module fact.
+
+    segments: also the source of every function.
+    """
     yield "module", module, {"n_lines": len((text or "").splitlines())}
     try:
         if text is None:
@@ -147,13 +186,17 @@ def file_facts(module: str, text: str | None) -> Iterator[tuple[str, str, dict]]
         yield "unreadable", module, {"error": f"{type(e).__name__}: {e}"[:200]}
         return
     keys: dict[tuple[str, str], int] = {}
+    outer = {id(node) for node in tree.body}
+    lines = [line.encode() for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)] if segments else []
     for node, runs in _walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             yield "function", node.name, _function_facts(node)
+            if segments:
+                yield "segment", node.name, {"lineno": node.lineno, "text": _segment(lines, node)}
             for p, data in _parameter_use(node):
                 yield "param", p, data
         elif isinstance(node, ast.ClassDef):
-            yield "class", node.name, _class_facts(node)
+            yield "class", node.name, _class_facts(node) | {"top_level": id(node) in outer}
         elif isinstance(node, ast.Import):
             for a in node.names:
                 yield "import", a.name.split(".")[0], {"target": a.name, "level": 0, "symbol": None, "runtime": runs}
@@ -173,13 +216,11 @@ def file_facts(module: str, text: str | None) -> Iterator[tuple[str, str, dict]]
         return
     for s in tree.body:
         if isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) and (s.name in shown if shown is not None else not s.name.startswith("_")):
-            made = s if not isinstance(s, ast.ClassDef) else next((f for f in s.body if isinstance(f, ast.FunctionDef) and f.name == "__init__"), None)
-            what = "class" if isinstance(s, ast.ClassDef) else "function"
-            params = [p for p in (parameters(made.args) if made else []) if not (what == "class" and p["name"] == "self")]
-            yield "surface", f"{module}.{s.name}", {"what": what, "params": params}
+            for name, data in _surface_of(s):
+                yield "surface", f"{module}.{name}", data
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, segments: bool = False) -> DataFrame:
     """All facts of (state, path, module, text), written once; see `view` for typed tables."""
     ship(files.sparkSession)
 
@@ -187,7 +228,7 @@ def extract(files: DataFrame) -> DataFrame:
         sys.setrecursionlimit(10_000)
         for pdf in batches:
             for state, path, module, text in pdf.itertuples(index=False):
-                rows = [(state, path, module, kind, name, json.dumps(data)) for kind, name, data in file_facts(module, text)]
+                rows = [(state, path, module, kind, name, json.dumps(data)) for kind, name, data in file_facts(module, text, segments)]
                 yield pd.DataFrame(rows, columns=["state", "path", "module", "kind", "name", "data"])
 
     schema = "state string, path string, module string, kind string, name string, data string"
@@ -205,21 +246,98 @@ def functions(facts: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
     return f.withColumn("qualname", F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), "name"))
 
 
-def import_edges(facts: DataFrame, package: str) -> DataFrame:
-    """(state, src, dst) among a tree's modules, with the package's name before them.
+def _full(package: str):
+    return lambda m: F.concat_ws(".", F.lit(package), F.when(m != "", m))
 
-    Absolute targets go to their longest prefix that is a module; relative ones
-    climb from the importing module; an imported name is also tried as a module.
-    """
-    full = lambda m: F.concat_ws(".", F.lit(package), F.when(m != "", m))
-    i = view(facts, "import").select("state", full(F.col("module")).alias("src"), "target", "level", "symbol")
+
+def _targets(facts: DataFrame, package: str) -> tuple[DataFrame, F.Column]:
+    """Imports (state, src, target, symbol, ...), and their absolute target."""
+    i = view(facts, "import").select("state", _full(package)(F.col("module")).alias("src"), "target", "level", "symbol")
     parts = F.split("src", r"\.")
     base = F.concat_ws(".", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.col("level"), F.lit(0))))
-    target = F.when(F.col("level") > 0, F.concat_ws(".", F.when(base != "", base), F.when(F.col("target") != "", F.col("target")))).otherwise(F.col("target"))
-    tried = F.array_compact(F.array(target, F.when(F.col("symbol").isNotNull(), F.concat_ws(".", target, "symbol"))))
-    each = i.select("state", "src", F.explode(tried).alias("t")).distinct()
-    steps = each.withColumn("p", F.split("t", r"\.")).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("p"))))
+    return i, F.when(F.col("level") > 0, F.concat_ws(".", F.when(base != "", base), F.when(F.col("target") != "", F.col("target")))).otherwise(F.col("target"))
+
+
+def _resolved(each: DataFrame, facts: DataFrame, package: str) -> DataFrame:
+    """(state, src, t, dst): the longest prefix of t that is a module of the tree; others are left out."""
+    named = each.select("state", "src", "t").distinct()
+    steps = named.withColumn("p", F.split("t", r"\.")).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("p"))))
     prefixes = steps.select("state", "src", "t", "n", F.concat_ws(".", F.slice("p", F.lit(1), F.col("n"))).alias("dst"))
-    modules = facts.select("state", full(F.col("module")).alias("dst")).distinct()
-    found = prefixes.join(modules, ["state", "dst"]).groupBy("state", "src", "t").agg(F.max_by("dst", "n").alias("dst"))
-    return found.where("src != dst").select("state", "src", "dst").distinct()
+    modules = facts.select("state", _full(package)(F.col("module")).alias("dst")).distinct()
+    return prefixes.join(modules, ["state", "dst"]).groupBy("state", "src", "t").agg(F.max_by("dst", "n").alias("dst"))
+
+
+def import_strength(facts: DataFrame, package: str) -> DataFrame:
+    """(state, src, dst, strength) among a tree's modules, with the package's name before them; strength counts the imports.
+
+    Absolute targets go to their longest prefix that is a module; relative ones
+    climb from the importing module; an imported name is also tried as a module.
+    """
+    i, target = _targets(facts, package)
+    tried = F.array_distinct(F.array_compact(F.array(target, F.when(F.col("symbol").isNotNull(), F.concat_ws(".", target, "symbol")))))
+    each = i.select("state", "src", F.explode(tried).alias("t")).groupBy("state", "src", "t").agg(F.count("*").alias("n"))
+    found = each.join(_resolved(each, facts, package), ["state", "src", "t"])
+    return found.where("src != dst").groupBy("state", "src", "dst").agg(F.sum("n").alias("strength"))
+
+
+def import_edges(facts: DataFrame, package: str) -> DataFrame:
+    """(state, src, dst): the edges of `import_strength`, each once."""
+    return import_strength(facts, package).select("state", "src", "dst")
+
+
+def imported_symbols(facts: DataFrame, package: str) -> DataFrame:
+    """(state, src, home, symbol): what modules take from the tree's others; symbol is null for a whole module."""
+    i, target = _targets(facts, package)
+    each = i.select("state", "src", target.alias("t"), "symbol").distinct()
+    found = each.join(_resolved(each, facts, package), ["state", "src", "t"])
+    return found.where("src != dst").select("state", "src", F.col("dst").alias("home"), "symbol").distinct()
+
+
+def bare_edges(facts: DataFrame) -> DataFrame:
+    """(state, src, dst): imports whose target, as written, is a module's path below the root; levels don't count."""
+    i = view(facts, "import").select("state", F.col("module").alias("src"), F.col("target").alias("dst")).where("dst != '' and src != dst").distinct()
+    return i.join(facts.select("state", F.col("module").alias("dst")).distinct(), ["state", "dst"], "left_semi").select("state", "src", "dst")
+
+
+def bare_coupling(facts: DataFrame) -> DataFrame:
+    """(state, total_internal_edges, max_module_fanout) over `bare_edges`."""
+    fan = bare_edges(facts).groupBy("state", "src").agg(F.count("*").alias("n")).groupBy("state").agg(F.sum("n").alias("total_internal_edges"), F.max("n").alias("max_module_fanout"))
+    return facts.select("state").distinct().join(fan, "state", "left").na.fill(0)
+
+
+def third_party(facts: DataFrame, package: str) -> DataFrame:
+    """(state, module, top): outside packages that a module imports when it runs; the root module is `__init__`.
+
+    Relative imports, the tree's own package, the standard library and imports
+    for type checkers only are left out.
+    """
+    i = view(facts, "import").where("level = 0 and runtime").select("state", F.when(F.col("module") == "", "__init__").otherwise(F.col("module")).alias("module"), F.split("target", r"\.")[0].alias("top"))
+    return i.where((F.col("top") != "") & (F.col("top") != package) & ~F.col("top").isin(*sorted(sys.stdlib_module_names))).distinct()
+
+
+def class_homes(facts: DataFrame) -> DataFrame:
+    """(state, name, module) of the outermost classes whose name one module alone defines."""
+    c = view(facts, "class").where("top_level").select("state", "name", "module").distinct()
+    return c.groupBy("state", "name").agg(F.min("module").alias("module"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+# Ends of class names and starts of function names that tell of a translation.
+SEAM_CLASSES = ("adapter", "wrapper", "codec", "translator", "mapper")
+SEAM_FUNCTIONS = ("to_", "from_", "adapt", "convert")
+
+
+def translation_seams(facts: DataFrame) -> DataFrame:
+    """(state, module) of the modules that hold a class or function whose name tells of a translation."""
+    name = F.lower("name")
+    own = ((F.col("kind") == "class") & F.regexp_replace(name, "s+$", "").rlike(f"({'|'.join(SEAM_CLASSES)})$")) | (
+        (F.col("kind") == "function") & name.rlike(f"^({'|'.join(SEAM_FUNCTIONS)})")
+    )
+    return facts.where(own).select("state", "module").distinct()
+
+
+def changed_functions(facts: DataFrame, paths: list[str], least: int = LEAST_TOKENS) -> DataFrame:
+    """The functions of `functions` in the files of a change set (paths, whole or from the root on)."""
+    fits = F.lit(False)
+    for p in paths:
+        fits = fits | (F.col("path") == p) | F.col("path").endswith("/" + p.lstrip("/"))
+    return functions(facts.where(fits), least)

@@ -7,12 +7,15 @@ import re
 import subprocess
 import tarfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from plumbline.functions.scalar import first_date
+from plumbline.session import ship
 
 
 class Refused(ValueError):
@@ -29,9 +32,10 @@ def source_files(spark: SparkSession, root: str, state: str = "head") -> DataFra
     any Python file is refused: nothing was measured.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root).select("path", "content")
-    empty = [(p, b"") for p in empty_files(spark, root) if p.endswith(".py")]
-    if empty:  # the reader gives no row for a file without bytes
-        files = files.unionByName(spark.createDataFrame(empty, "path string, content binary"))
+    unlisted = [(p,) for p in unlisted_files(spark, root)]
+    if unlisted:
+        ship(spark)
+        files = files.unionByName(spark.createDataFrame(unlisted, "path string").repartition(max(1, len(unlisted) // 256), "path").mapInPandas(_contents, "path string, content binary"))
     base = F.lit(root.rstrip("/").rsplit("://", 1)[-1])
     plain = F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?(?=/)", "")
     below = F.regexp_replace(F.substr(plain, F.length(base) + 2, F.length(plain)), r"\.py$", "")
@@ -44,19 +48,99 @@ def source_files(spark: SparkSession, root: str, state: str = "head") -> DataFra
     return out
 
 
-def empty_files(spark: SparkSession, root: str) -> list[str]:
-    """Paths of the files without bytes below a folder, from its listing."""
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    listing = path.getFileSystem(context.hadoopConfiguration()).listFiles(path, True)
+def _file_system(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _holds_python(fs, path) -> bool:
+    """Is there a Python file at or below a folder, generated folders left out; the walk ends at the first."""
+    below = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if status.isFile() and name.endswith(".py"):
+            return True
+        if status.isDirectory() and name not in SKIPPED:
+            below.append(status.getPath())
+    return any(_holds_python(fs, p) for p in below)
+
+
+def resolve_root(spark: SparkSession, root: str) -> str:
+    """The root, if it can be measured. Refused: a missing path, a file, a tree without Python files, and a
+    folder without Python files of its own whose only source folder is named instead."""
+    fs, path = _file_system(spark, root)
+    if not fs.exists(path):
+        raise Refused(f"no such path: {root}")
+    if not fs.getFileStatus(path).isDirectory():
+        raise Refused(f"not a folder: {root}")
+    if not _holds_python(fs, path):
+        raise Refused(f"no Python file below {root}")
+    listed = list(fs.listStatus(path))
+    if not any(s.isFile() and s.getPath().getName().endswith(".py") for s in listed):
+        inner = [s.getPath() for s in listed if s.isDirectory() and s.getPath().getName() not in SKIPPED and _holds_python(fs, s.getPath())]
+        if len(inner) == 1:
+            raise Refused(f"{root} has no Python file of its own; did you mean {root.rstrip('/')}/{inner[0].getName()}?")
+    return root
+
+
+def count_python_files(spark: SparkSession, root: str) -> int:
+    """Number of Python files below a folder; contents are not read."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root).select("path", "length")
+    for name in SKIPPED:
+        paths = paths.where(~F.col("path").contains(f"/{name}/"))
+    return paths.where("length > 0").count() + len(unlisted_files(spark, root))
+
+
+def changed_files(spark: SparkSession, root: str, staged: bool = False, span: str | None = None, patch: str | None = None, text: str | None = None) -> list[str]:
+    """Python files of a change: from a unified diff (text, or a file's path), or from git: staged, a span of commits, else against HEAD.
+
+    Paths of a diff are as written, those of git absolute. A change that can't be read is refused.
+    """
+    if text is not None or patch is not None:
+        lines = spark.createDataFrame([(x,) for x in text.split("\n")], "value string") if text is not None else spark.read.text(patch)
+        return sorted(r[0] for r in added_paths(lines).distinct().collect())  # the names in one change
+    asked = ["--cached"] if staged else [span or "HEAD"]
+    if span and span.startswith("-"):
+        raise Refused(f"not a span of commits: {span}")
+    found = []
+    for command in (["rev-parse", "--show-toplevel"], ["diff", "--name-only", *asked, "--"]):
+        done = subprocess.run(["git", "-C", root, *command], capture_output=True, text=True)
+        if done.returncode:
+            raise Refused(f"the change of {root} can't be read: {done.stderr.strip()[:200]}")
+        found.append(done.stdout)
+    top = found[0].strip()
+    return sorted(f"{top}/{p}" for p in found[1].split("\n") if p.strip().endswith(".py"))
+
+
+def unlisted_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the Python files that Spark's reader passes over: those without bytes, and those whose name, or a
+    folder's on the way, starts with an underscore or a dot (`__init__.py`). From the folder's listing; no file is opened."""
+    fs, path = _file_system(spark, root)
+    base = fs.makeQualified(path).toString().rstrip("/")
+    listing = fs.listFiles(path, True)
     found = []
     while listing.hasNext():
         status = listing.next()
-        if status.getLen() == 0:
-            found.append(status.getPath().toString())
+        at = status.getPath().toString()
+        parts = at[len(base) :].strip("/").split("/")
+        if at.endswith(".py") and not set(parts) & set(SKIPPED) and (status.getLen() == 0 or any(p[:1] in "_." for p in parts)):
+            found.append(at)
     return found
 
 
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, content) of paths, read in the task."""
+    from pyarrow import fs as arrow_fs
+
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            system, below = arrow_fs.FileSystem.from_uri(quote(re.sub(r"^file:/(?!/)", "file:///", path), safe=":/"))
+            with system.open_input_stream(below) as stream:
+                rows.append((path, stream.read()))
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, malformed): a JSON-lines log; blank lines are skipped, other bad lines kept as text."""
     lines = spark.read.text(path).where(F.trim("value") != "")
