@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, bpe, exact_dedup, mixing, pii, quality, secrets, simhash, token_counts, url_filter
+from plumbline.llm import align, ann, bpe, exact_dedup, mixing, pii, quality, secrets, simhash, token_counts, url_filter, warc
 from plumbline.session import table
 
 #: Key of the surrogates in the registered query; a deployment passes its own.
@@ -71,11 +71,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures_of(table(spark, sf_dir, "pages"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_quality_classifier, op3_poisson_mixing, op4_url_filter, op5_byte_bpe,
-        op6_exact_dedup, op7_pii_surrogates, op8_rotated_codes, op9_simhash_near_dedup, op10_token_counts,
+        op6_exact_dedup, op7_pii_surrogates, op8_rotated_codes, op9_simhash_near_dedup, op10_token_counts, op11_warc_transactions, op12_cross_tokenizer_alignment,
     )
 }
 
@@ -89,4 +97,15 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.low) AS text_sha256
         FROM d JOIN g USING (low)
     """,
+    "op11_warc_transactions": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+        bits AS (SELECT *, unhex(sha1(body))::BIT::VARCHAR AS b FROM p)
+        SELECT page_id, strlen(body) AS payload_bytes,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT
+                + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+            CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to,
+            1::BIGINT AS n_requests, CASE WHEN page_id IS NOT DISTINCT FROM first THEN true END AS digest_ok
+        FROM bits
+    """,
 }
