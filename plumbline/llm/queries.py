@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import align, ann, bpe, exact_dedup, mixing, pii, quality, secrets, simhash, token_counts, url_filter, warc
+from plumbline.llm import align, ann, bpe, exact_dedup, mixing, pii, quality, secrets, simhash, token_counts, trie, url_filter, warc
 from plumbline.session import table
 
 #: Key of the surrogates in the registered query; a deployment passes its own.
@@ -79,11 +79,16 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align.align(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("light_depth")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_quality_classifier, op3_poisson_mixing, op4_url_filter, op5_byte_bpe,
         op6_exact_dedup, op7_pii_surrogates, op8_rotated_codes, op9_simhash_near_dedup, op10_token_counts, op11_warc_transactions, op12_cross_tokenizer_alignment,
+        op13_conversation_trie,
     )
 }
 
@@ -108,4 +113,45 @@ ORACLE: dict[str, str] = {
             1::BIGINT AS n_requests, CASE WHEN page_id IS NOT DISTINCT FROM first THEN true END AS digest_ok
         FROM bits
     """,
+    "op13_conversation_trie": """
+        WITH RECURSIVE own AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+                coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS n FROM own GROUP BY ALL),
+        crc AS (
+            SELECT conv_id, conv_id::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS v FROM ids
+            UNION ALL
+            SELECT conv_id, s, k + 1, CASE WHEN w & 1 = 1 THEN xor(w >> 1, 3988292384) ELSE w >> 1 END
+            FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(v, ascii(s[k // 8 + 1])::BIGINT) ELSE v END AS w FROM crc) WHERE k < 8 * length(s)
+        ),
+        plan AS (
+            SELECT a.conv_id, a.base, xor(v, 4294967295) % 9 AS h, least(xor(v, 4294967295) % 9, coalesce(b.n, 0)) AS k
+            FROM ids a JOIN crc ON crc.conv_id = a.conv_id AND crc.k = 8 * length(s) LEFT JOIN ids b ON b.conv_id = a.base
+        ),
+        turns AS (
+            SELECT p.conv_id, i AS d, role, text FROM plan p JOIN own o ON o.conv_id = p.base AND i <= k
+            UNION ALL SELECT p.conv_id, i - h + k, role, text FROM plan p JOIN own o ON o.conv_id = p.conv_id AND i > h
+        ),
+        firsts AS (
+            SELECT conv_id, d, strlen(text) AS bytes,
+                sha256(string_agg(length(role) || '/' || length(text) || '/' || role || text, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS name
+            FROM turns
+            UNION ALL SELECT conv_id, 0, 0, '' FROM plan
+        ),
+        above AS (SELECT f.*, lag(name) OVER (PARTITION BY conv_id ORDER BY d) AS before, lead(d) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS ends FROM firsts f),
+        nodes AS (
+            SELECT name, any_value(before) AS before, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM above GROUP BY name
+        ),
+        kids AS (SELECT before, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY before),
+        sums AS (
+            SELECT f.name, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved_tokens, count(*) FILTER (kids.n IS NULL) AS n_leaves
+            FROM nodes n LEFT JOIN kids ON kids.before = n.name JOIN firsts f ON f.conv_id = n.conv_id AND f.d <= n.depth GROUP BY f.name
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums USING (name) LEFT JOIN kids ON kids.before = n.name LEFT JOIN nodes p ON p.name = n.before AND n.depth > 0
+    """,
 }
