@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar
-from plumbline.operators import apidiff, budget, calibrate, cochange, compare, graph, history, ledger, lookup, model, priority, signals, similarity, stats
+from plumbline.operators import apidiff, budget, calibrate, cochange, compare, graph, history, ledger, lookup, model, pairsample, priority, signals, similarity, stats
 from plumbline.plans import measure
 from plumbline.session import cut, table
 from plumbline.sources import facts as source_facts
@@ -714,6 +714,43 @@ def band_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.band_sample(rows, 60)
 
 
+_DRAW = "('0x' || substr(md5('0/' || {band} || '/' || k || '/{what}'), 1, 15))::BIGINT"
+_BAND = "CASE " + " ".join(f"WHEN jaccard >= {low} THEN {i}" for i, low in reversed(list(enumerate(calibrate.BANDS)))) + " END"
+
+
+@query(
+    f"""WITH {EVERY_SQL},
+    ids AS (SELECT id, class, s, row_number() OVER (ORDER BY id) - 1 AS at, count(*) OVER () AS total FROM sets),
+    high AS (SELECT a, b, least(ca, cb) AS ca, greatest(ca, cb) AS cb, jaccard AS score, {_BAND} AS band FROM pairs WHERE jaccard >= 0.2),
+    size AS (SELECT band, count(*) AS n FROM high GROUP BY band UNION ALL SELECT 0, (SELECT count(*) * (count(*) - 1) // 2 FROM sets) - (SELECT count(*) FROM high)),
+    there AS (SELECT *, [1,2,4,4,2,1][band + 1] AS w FROM size WHERE n > 0),
+    quota AS (SELECT band, n, least(n, greatest(1, round_even(60.0::DOUBLE * w / (SELECT sum(w) FROM there), 0)))::BIGINT AS q FROM there),
+    nums AS (SELECT k, {_DRAW.format(band="0", what="i")} % total AS i, {_DRAW.format(band="0", what="j")} % (total - 1) AS j, total FROM range(2000) r(k), (SELECT any_value(total) AS total FROM ids)),
+    low AS (
+        SELECT k, x.id AS x, y.id AS y, CASE WHEN x.class = y.class THEN 1.0 ELSE len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) END AS score
+        FROM nums JOIN ids x ON x.at = i JOIN ids y ON y.at = j + (j >= i)::BIGINT
+    ),
+    low_draws AS (SELECT least(x, y) AS a, greatest(x, y) AS b, any_value(score) AS score, 0 AS band, min(k) AS k FROM low WHERE score < 0.2 GROUP BY 1, 2),
+    classes AS (SELECT ca, cb, band, any_value(score) AS score, count(*) AS n FROM high GROUP BY ca, cb, band),
+    sums AS (SELECT *, sum(n) OVER (PARTITION BY band ORDER BY ca, cb) AS upto FROM classes),
+    hits AS (
+        SELECT k, s.* FROM range(2000) r(k), quota t JOIN sums s ON s.band = t.band AND t.band > 0
+        WHERE {_DRAW.format(band="t.band", what="r")} % t.n >= s.upto - s.n AND {_DRAW.format(band="t.band", what="r")} % t.n < s.upto
+    ),
+    one AS (SELECT h.*, arg_min(i.id, md5('0/' || band || '/' || k || '/a/' || i.id)) AS a FROM hits h JOIN ids i ON i.class = ca GROUP BY ALL),
+    two AS (SELECT o.*, arg_min(i.id, md5('0/' || band || '/' || k || '/b/' || i.id)) AS b FROM one o JOIN ids i ON i.class = cb AND i.id <> o.a GROUP BY ALL),
+    high_draws AS (SELECT least(a, b) AS a, greatest(a, b) AS b, any_value(score) AS score, band, min(k) AS k FROM two GROUP BY 1, 2, 4),
+    ranked AS (SELECT d.*, row_number() OVER (PARTITION BY band ORDER BY k) AS r FROM (SELECT * FROM low_draws UNION ALL SELECT * FROM high_draws) d)
+    SELECT a, b, score, band FROM ranked JOIN quota USING (band) WHERE r <= q AND q < n
+    UNION ALL SELECT a, b, score, band FROM high JOIN quota USING (band) WHERE q >= n"""
+)
+def pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of all documents with enough words over all bands, those without a common shingle too."""
+    docs = table(spark, sf_dir, "documents")
+    members = similarity.document_members(docs).withColumnRenamed("doc_id", "id")
+    return pairsample.pair_sample(members, _docs(spark, sf_dir), 60)
+
+
 # --- comparison, surfaces, decisions -----------------------------------------------------------------------------
 
 
