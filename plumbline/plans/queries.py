@@ -228,6 +228,37 @@ def graph_strong_components_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strong_components_by(edges, "segment")
 
 
+@query(
+    """WITH RECURSIVE w AS (SELECT year(o_orderdate) AS y, c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
+    edges AS (SELECT y, src, dst FROM w WHERE n * 10 >= (SELECT 16.0 * avg(n) FROM w)),
+    v AS (SELECT DISTINCT y, n_nationkey AS id FROM w, nation),
+    deg AS (SELECT y, id, (SELECT count(*) FROM edges e WHERE e.y = v.y AND src = id) AS fan_out, (SELECT count(*) FROM edges e WHERE e.y = v.y AND dst = id) AS fan_in FROM v),
+    reach AS (SELECT y, src AS a, dst AS b FROM edges UNION SELECT r.y, r.a, e.dst FROM reach r JOIN edges e ON r.b = e.src AND r.y = e.y),
+    scc AS (SELECT r.y, r.a AS id, min(r.b) AS scc FROM reach r JOIN reach q ON q.y = r.y AND q.a = r.b AND q.b = r.a GROUP BY r.y, r.a),
+    c AS (SELECT y, scc, count(*) AS k FROM scc GROUP BY y, scc HAVING count(*) > 1),
+    cy AS (SELECT y, count(*) AS n_cycles, sum(k)::BIGINT AS cyclic, max(k) AS largest FROM c GROUP BY y),
+    d AS (SELECT y, count(*) AS n, sum(fan_out)::BIGINT AS e, max(fan_in) AS f, max(fan_out) AS g,
+        CASE WHEN count(*) FILTER (fan_in + fan_out > 0) > 1 THEN stddev_pop(fan_out::DOUBLE / (fan_in + fan_out)::DOUBLE) FILTER (fan_in + fan_out > 0) / (avg(fan_out::DOUBLE / (fan_in + fan_out)::DOUBLE) FILTER (fan_in + fan_out > 0) + 1e-9::DOUBLE) ELSE 0.0::DOUBLE END AS cv
+        FROM deg GROUP BY y),
+    j AS (SELECT d.*, coalesce(n_cycles, 0) AS n_cycles, coalesce(cyclic, 0) AS cyclic, coalesce(largest, 0) AS largest FROM d LEFT JOIN cy USING (y)),
+    p AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - e::DOUBLE / n / 5)) * 0.6::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - f::DOUBLE / n)) * 0.4::DOUBLE AS mod,
+      greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - cyclic::DOUBLE / n)) * 0.7::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - largest::DOUBLE / n)) * 0.3::DOUBLE AS hier, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - cv)) AS cons FROM j),
+    m AS (SELECT *, 10 * (0.45::DOUBLE * mod + 0.30::DOUBLE * hier + 0.25::DOUBLE * cons) AS mmi FROM p)
+    SELECT y::VARCHAR AS state, n AS n_modules, e AS n_edges, f AS max_fan_in, g AS max_fan_out, n_cycles, cyclic AS cyclic_modules, largest AS largest_cycle,
+      e::DOUBLE / n AS coupling_density, cyclic::DOUBLE / n AS cycle_ratio, f::DOUBLE / n AS max_fan_in_ratio,
+      round(mmi, 2) AS mmi, CASE WHEN mmi < 4 THEN 'critical' WHEN mmi < 6 THEN 'high' WHEN mmi < 7.5 THEN 'moderate' ELSE 'low' END AS tier, round(mod, 3) AS mod, round(hier, 3) AS hier, round(cons, 3) AS cons FROM m"""
+)
+def graph_snapshots_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade graph of every year, measured in one plan: a history of snapshots with their modularity."""
+    t = lambda n: table(spark, sf_dir, n)
+    per = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    w = per.where("c_nationkey != s_nationkey").groupBy(F.year("o_orderdate").cast("string").alias("state"), F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count("*").alias("n"))
+    w = cut(w)
+    edges = w.join(F.broadcast(w.agg(F.count("*").alias("k"), F.sum("n").alias("s")))).where("n * k * 10 >= s * 16").select("state", "src", "dst")
+    nations = w.select("state").distinct().join(F.broadcast(t("nation").select(F.collect_list("n_nationkey").alias("ids"))))  # the one list of nations
+    return graph.graph_snapshots(nations.select("state", F.explode("ids").alias("id")), edges, "state")
+
+
 @query(
     f"""WITH RECURSIVE {TRADE_SQL}, {SCC_SQL}, c AS (SELECT count(*) AS k FROM scc GROUP BY scc HAVING count(*) > 1)
     SELECT d.*, c.*, CASE WHEN d.n_modules = 0 THEN 0.0::DOUBLE ELSE d.n_edges::DOUBLE / d.n_modules END AS coupling_density, CASE WHEN d.n_modules = 0 THEN 0.0::DOUBLE ELSE c.cyclic_modules::DOUBLE / d.n_modules END AS cycle_ratio, CASE WHEN d.n_modules = 0 THEN 0.0::DOUBLE ELSE d.max_fan_in::DOUBLE / d.n_modules END AS max_fan_in_ratio
