@@ -38,8 +38,8 @@ from plumbline.llm.texts import map_arrow, pieces_of, strings
 from plumbline.session import written
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-UNIT = 1 << 22
-CACHE = 200_000
+UNIT = 1 << 21
+CACHE = 100_000
 #: Pair counts are broadcast up to this many pairs, and shuffled beyond.
 MOST_PAIRS = 1 << 20
 BREAK = re.compile(r"(?<=\S)(?= \S)")
@@ -62,7 +62,6 @@ class ByteBpe:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -74,10 +73,7 @@ class ByteBpe:
             if all(c in byte_of for c in token):
                 self.entry[i] = bytes(byte_of[c] for c in token)
         self.length = np.array([len(x) for x in self.entry], np.int64)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True
+        self.path, self.model = path, None
         # Where each merge makes the next entry, ids are ranks and the faster library gives the same tokens.
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         first = min((model["vocab"][a + b] for a, b in merges), default=0)
@@ -87,6 +83,18 @@ class ByteBpe:
             if len(ranks) == first + len(merges):
                 self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def library(self):
+        """The tokenizers library's reading of the file, loaded where it is needed."""
+        if self.model is None:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_file(self.path)
+            self.model.no_truncation()
+            self.model.no_padding()
+            self.model.encode_special_tokens = True
+        return self.model
+
     def ids(self, text: str) -> np.ndarray:
         if self.ranked is not None:
             return np.array(self.ranked.encode_ordinary(text), np.int64)
@@ -271,39 +279,51 @@ def tagged_ends(shape: Column) -> Column:
 
 
 def form_of(shape: Column) -> Column:
-    """What a pair of end arrays gives: indexes into A and into B for each link, and the order of tokens by groups.
+    """What a pair of end arrays gives: the links and the order of tokens by groups.
 
-    The order has numbers into the ids of A, the ids of B and the two marks, joined.
+    A link holds an index into A, one into B and a bit for links that end a group, in one long. The order has numbers into the ids of A, the ids of B and the two marks, joined.
     """
 
     def parts(ends: Column) -> Column:
-        is_a = lambda v: v.bitwiseAND(F.lit(LOW + 1)) == 0
-        index = lambda v: v.bitwiseAND(F.lit(LOW)).cast("int")
-        again = lambda v, i: ~is_a(v) & (F.shiftright(F.get(ends, i - 1), 32) == F.shiftright(v, 32))
-        at_a = F.transform(ends, lambda v, i: F.when(is_a(v), index(v)).when(~again(v, i) | (i == 0), i - index(v)))
-        at_b = F.transform(ends, lambda v, i: F.when(is_a(v), i - index(v)).when(~again(v, i) | (i == 0), index(v)))
-        lasts = F.transform(ends, lambda v, i: F.when(again(v, i), F.struct((i - index(v) - 1).alias("p"), index(v).alias("q"))))
-        return F.struct(F.array_compact(at_a).alias("at_a"), F.array_compact(at_b).alias("at_b"), F.array_compact(lasts).alias("lasts"))
+        def link(v: Column, i: Column) -> Column:
+            index = v.bitwiseAND(F.lit(LOW))
+            same = lambda k: F.shiftright(F.get(ends, k), 32) == F.shiftright(v, 32)
+            of_a = F.shiftleft(index, 32) + F.shiftleft(i - index, 1) + F.when(same(i + 1), 1).otherwise(0)
+            of_b = F.when(same(i - 1), F.lit(None)).otherwise(F.shiftleft(i - index, 32) + F.shiftleft(index, 1))
+            return F.when(v.bitwiseAND(F.lit(LOW + 1)) == 0, of_a).otherwise(of_b)
+
+        return F.array_compact(F.transform(ends, link))
+
+    def split(links: Column) -> Column:
+        """links with those that end a group, where a token of either side ends."""
+        return F.struct(links.alias("links"), F.filter(links, lambda x: x.bitwiseAND(F.lit(1)) == 1).alias("lasts"))
 
     def ordered(x: Column) -> Column:
         n_a, n_b = F.size(shape["ae"]), F.size(shape["be"])
 
         def group(t: Column, g: Column) -> Column:
             before = F.get(x["lasts"], g - 1)
-            first_a, first_b = F.coalesce(before["p"], F.lit(-1)) + 1, F.coalesce(before["q"], F.lit(-1)) + 1
-            return F.concat(F.array(n_a + n_b + 1), F.sequence(first_a, t["p"]), F.array(n_a + n_b), F.sequence(n_a + first_b, n_a + t["q"]))
+            first_a, first_b = F.coalesce(_a_of(before) + 1, F.lit(0)), F.coalesce(_b_of(before) + 1, F.lit(0))
+            return F.concat(F.array(n_a + n_b + 1), F.sequence(first_a, _a_of(t)), F.array(n_a + n_b), F.sequence(n_a + first_b, n_a + _b_of(t)))
 
         order = F.flatten(F.transform(x["lasts"], group))
-        return F.struct(x["at_a"].alias("at_a"), x["at_b"].alias("at_b"), order.alias("order"), F.size(F.array_intersect(shape["ae"], shape["be"])).alias("n_groups"))
+        return F.struct(x["links"].alias("links"), order.alias("order"), F.size(F.array_intersect(shape["ae"], shape["be"])).alias("n_groups"))
+
+    return F.transform(F.transform(F.transform(F.array(tagged_ends(shape)), parts), split), ordered)[0]
+
+
+def _a_of(link: Column) -> Column:
+    return F.shiftright(link, 32).cast("int")
+
 
-    return F.transform(F.transform(F.array(tagged_ends(shape)), parts), ordered)[0]
+def _b_of(link: Column) -> Column:
+    return F.shiftright(link.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
 
 
 def piece_of(p: Column, forms: Column) -> Column:
     """A piece's links, as pairs of ids in one long, and its ids with the marks in the order of its groups."""
     form = F.get(forms, p["shape"])
-    pair = lambda x, y: F.shiftleft(F.get(p["a"], x).cast("long"), 32) + F.get(p["b"], y)
-    links = F.zip_with(form["at_a"], form["at_b"], pair)
+    links = F.transform(form["links"], lambda x: F.shiftleft(F.get(p["a"], _a_of(x)).cast("long"), 32) + F.get(p["b"], _b_of(x)))
     pool = F.array(F.concat(p["a"], p["b"], F.array(F.lit(SIDES), F.lit(GROUPS))))
     order = F.transform(pool, lambda c: F.transform(form["order"], lambda k: F.get(c, k)))[0]
     return F.struct(links.alias("links"), order.alias("order"), form["n_groups"].cast("long").alias("n_groups"))
