@@ -219,19 +219,48 @@ def _sizes_fit(n1: Column, n2: Column, similarity: float) -> Column:
     return F.least(n1, n2) >= F.lit(similarity) * F.greatest(n1, n2) - 1e-6
 
 
-def prefix_candidates(live: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst, r1, r2) of all classes in different components that may have the similarity, at any distance.
+def ranked_features(sets: DataFrame) -> DataFrame:
+    """(f, key, n, pos) of sets (key, shingles): shingles that two sets or more hold, numbered in each from rare to frequent.
 
-    Shared shingles before the nearer end of the two prefixes lie in both
-    prefixes, the others behind one prefix. So the shared ones of the prefixes
-    and the longer rest bound the whole number of shared shingles.
+    Shingles of one set alone come first in the order and are only counted.
     """
-    side = lambda i: live.select("f", F.col("root").alias(f"r{i}"), F.col("key").alias(f"k{i}"), F.col("size").alias(f"n{i}"))
-    both = side(1).join(side(2), "f").where((F.col("r1") < F.col("r2")) & _sizes_fit(F.col("n1"), F.col("n2"), similarity))
-    pairs = both.groupBy("k1", "k2", "n1", "n2", "r1", "r2").count()
-    rest = F.greatest(*(F.col(n) - _prefix_length(F.col(n), similarity) for n in ("n1", "n2")))
+    each = cut(sets.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("f")))
+    counts = each.groupBy("f").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(counts, "f")
+    own = Window.partitionBy("key")  # as many rows as the text has shingles
+    pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "f"))
+    return shared.select("f", "key", "n", pos.alias("pos"))
+
+
+def prefix_pairs(features: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(k1, k2, r1, r2): a row for each shingle on which a set of the first size meets a larger one, pairs of one root left out.
+
+    Two sets with the similarity share a shingle among the first
+    n - ceil(similarity n) + 1 of the larger and the first n - ceil(2 similarity / (1 + similarity) n) + 1
+    of the smaller, in an order from rare to frequent. At the first shared
+    one, what follows it in either set must still allow the overlap. So sets
+    with many shingles of their own meet nothing, however many resemble each other less.
+    """
+    least = 2 * similarity / (1 + similarity)
+    kept = cut(features.where(F.col("pos") <= _prefix_length(F.col("n"), similarity)).join(roots, "key"))
+    side = lambda i, df: df.select("f", *(F.col(c).alias(f"{c}{i}") for c in ("key", "root", "n", "pos")))
+    small = side(1, kept.where(F.col("pos") <= _prefix_length(F.col("n"), least)))
+    order = F.struct("n1", "key1") < F.struct("n2", "key2")
     needed = F.lit(similarity / (1 + similarity)) * (F.col("n1") + F.col("n2")) - 1e-6
-    return pairs.where(F.col("count") + rest >= needed).select(F.col("k1").alias("src"), F.col("k2").alias("dst"), "r1", "r2")
+    room = 1 + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    fits = order & (F.col("root1") != F.col("root2")) & _sizes_fit(F.col("n1"), F.col("n2"), similarity) & (room >= needed)
+    met = small.join(side(2, kept), "f").where(fits)
+    return met.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.col("root1").alias("r1"), F.col("root2").alias("r2"))
+
+
+def prefix_candidates(live: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst, r1, r2) of all live classes in different components that may have the similarity, at any distance.
+
+    Similar classes share a shingle of their prefixes and so are live. Only these
+    are compared, by prefixes in the order of their own frequencies.
+    """
+    pairs = prefix_pairs(ranked_features(sets), live.select("key", "root").distinct(), similarity).distinct()
+    return pairs.select(F.col("k1").alias("src"), F.col("k2").alias("dst"), F.least("r1", "r2").alias("r1"), F.greatest("r1", "r2").alias("r2"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -482,8 +511,11 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         links = links.groupBy(F.least("r1", "r2").alias("r1"), F.greatest("r1", "r2").alias("r2")).agg(one).select("e.src", "e.dst", "r1", "r2")
         named = joined(named, links)
         live = live_features(shared, named)
-        if not live.isEmpty():
-            named = joined(named, star_candidates(live, similarity) if own else prefix_candidates(live, similarity))
+        if own and not live.isEmpty():
+            named = joined(named, star_candidates(live, similarity))
+        elif not live.isEmpty():
+            sets = sets_of(live.select("key"), classes, named_docs, words, id_col, text_col)
+            named = joined(named, prefix_candidates(live, sets, similarity))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(lows, "root").select("key", "component_id")
     return rows.join(ids, "key").select("doc_id", "component_id")

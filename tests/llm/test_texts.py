@@ -181,6 +181,53 @@ def test_large_group_gives_few_candidates(spark, monkeypatch):
     assert sum(counted) <= 2 * len(texts), counted
 
 
+def changed_copies(n: int, changes: int, seed: int = 9) -> list[str]:
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.sample(range(120), changes):
+            own[at] = f"x{rng.randint(0, 10**12)}"
+        out.append(" ".join(own))
+    return out
+
+
+def joined_by_jaccard(texts: list[str], least: float = 0.8) -> int:
+    """Number of components of all pairs."""
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if common >= least * (len(a) + len(sets[j]) - common):
+                parent[find(i)] = find(j)
+    return len({find(i) for i in range(len(sets))})
+
+
+@pytest.mark.parametrize("changes", [3, 1])
+def test_join_rows_of_large_groups(spark, monkeypatch, changes):
+    """Groups below (Jaccard near 0.6) and above the similarity: the rows that the prefix join makes, not only what it keeps."""
+    made = {}
+    for n in (150, 600):
+        counted, keep = [], simhash.prefix_pairs
+        monkeypatch.setattr(simhash, "prefix_pairs", lambda *a, k=keep, c=counted: c.append(k(*a).count()) or k(*a))
+        texts = changed_copies(n, changes)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = rows_of(simhash.similar_components(df))
+        monkeypatch.setattr(simhash, "prefix_pairs", keep)
+        made[n] = sum(counted)
+        assert len({c for _, c in found}) == joined_by_jaccard(texts)
+    assert made[600] <= (600 if changes == 1 else 600 * 600 / 40), made
+
+
 def test_equal_fingerprints_are_verified(spark):
     line = " ".join(f"l{i}" for i in range(11))
     texts = [" ".join([line] * 100 + [f"{c}{i}" for i in range(40)]) for c in "ab"]
