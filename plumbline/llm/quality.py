@@ -125,14 +125,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], n_grades:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text"):
     """Fit on at most `fit_rows` labelled documents, those with the smallest seeded hash of the id.
 
-    Only hashed features of the sample reach the driver. Labels with a null id
+    Only hashed features of the sample reach the driver, one row for each
+    labelled id however often the documents repeat it. Labels with a null id
     or quality are left out; a null toxic counts as 0; of contradicting labels
     of one id the lowest grade holds.
     """
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) != 0, 1).otherwise(2)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(grade).alias("__grade"))
     sample = known.orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(fit_rows)
-    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "__id")
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "__id")
+    # An id that many rows repeat is one row of the sample: the text with the smallest digest.
+    picked = rows.groupBy("__id").agg(F.first("__grade").alias("__grade"), F.min_by("text", F.sha2("text", 256)).alias("text"))
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:

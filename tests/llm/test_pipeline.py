@@ -125,3 +125,36 @@ def test_stages_take_odd_rows(spark, tmp_path):
             stage(spark, docs, DATA).write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() == 0) or rows_in
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark, monkeypatch):
+    """Many rows of one id fetch as much as one, and the model doesn't depend on how often they repeat."""
+    texts = [(i, f"word{i % 7} good text number {i}" if i % 2 else f"junk{i} ### {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    sizes, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, grades, *a: sizes.append(len(rows)) or fit(rows, grades, *a))
+    models = [quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels) for rows in (texts, texts + [texts[3]] * 500)]
+    assert sizes == [40, 40]
+    assert (models[0][0] == models[1][0]).all() and (models[0][1] == models[1][1]).all()
+
+
+def test_gradient_of_the_fit(spark):
+    """The fitted weights leave no descent: the loss near them is no lower in random directions."""
+    rng = np.random.default_rng(0)
+    rows = [(np.sort(rng.choice(quality.BUCKETS, 5, replace=False)).astype("<i4"), rng.random(5)) for _ in range(60)]
+    grades = [int(r[1].sum() > 2.2) + int(r[1].sum() > 2.8) for r in rows]
+    w, t = quality.fit(rows, grades, steps=3000)
+
+    def loss(w, t):
+        edges = np.concatenate([[-np.inf], t, [np.inf]])
+        s = np.array([v @ w[i] for i, v in rows])
+        y = np.array(grades)
+        p = 1 / (1 + np.exp(-(edges[y + 1] - s))) - 1 / (1 + np.exp(-(edges[y] - s)))
+        return -np.log(np.maximum(p, 1e-12)).mean()
+
+    start = loss(np.zeros_like(w), t)
+    here = loss(w, t)
+    assert here < start
+    step = 1e-3 * np.array([1.0, -1.0])
+    for d in step:  # thresholds carry no penalty, so the slope there is flat
+        assert abs(loss(w, t + np.array([d, 0])) - here) < 1e-4 and abs(loss(w, t + np.array([0, d])) - here) < 1e-4
