@@ -36,6 +36,35 @@ def diff_surfaces(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.select("symbol", "status", (F.size("reasons") > 0).alias("breaking"), "reasons")
 
 
+def diff_with_defaults(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of `diff_surfaces` with `notes`, over surfaces that also hold defaults (array<string> beside the parameters).
+
+    Notes tell what callers may want to know and no call fails for: a default
+    that is another text now, and new parameters that may be left out. A symbol
+    with other defaults alone is changed too.
+    """
+    side = lambda df, i: df.select("symbol", F.col("kind").alias(f"k{i}"), F.col("params").cast(PARAMS).alias(f"p{i}"), F.col("defaults").alias(f"d{i}"))
+    both = side(before, 1).join(side(after, 2), "symbol").where("k1 = k2")
+    noted = both.select("symbol", default_notes(F.col("p1"), F.col("d1"), F.col("p2"), F.col("d2")).alias("notes")).where(F.size("notes") > 0)
+    none = F.array().cast("array<string>")
+    out = diff_surfaces(before, after).join(noted, "symbol", "full_outer")
+    return out.select("symbol", F.coalesce("status", F.lit("changed")).alias("status"), F.coalesce("breaking", F.lit(False)).alias("breaking"), F.coalesce("reasons", none).alias("reasons"), F.array_sort(F.coalesce("notes", none)).alias("notes"))
+
+
+def default_notes(old: Column, old_defaults: Column, new: Column, new_defaults: Column) -> Column:
+    """Changed defaults of parameters by name, and new optional parameters."""
+    at = lambda xs, n: F.array_position(F.transform(xs, lambda q: q["name"]), n).cast("int") - 1
+
+    def of_old(p: Column, i: Column) -> Column:
+        was, now = F.get(old_defaults, i), F.get(new_defaults, at(new, p["name"]))
+        return F.when((at(new, p["name"]) >= 0) & (was != now), F.concat(F.lit("default of "), p["name"], F.lit(": "), was, F.lit(" to "), now))
+
+    def of_new(q: Column) -> Column:
+        return F.when((at(old, q["name"]) < 0) & q["has_default"] & ~q["kind"].isin("varargs", "varkw"), F.concat(F.lit("new optional: "), q["name"]))
+
+    return F.array_compact(F.concat(F.transform(old, of_old), F.transform(new, of_new)))
+
+
 def diff_with_methods(before: DataFrame, after: DataFrame) -> DataFrame:
     """The rows of `diff_surfaces` with the methods (kind method, symbol Class.name) of classes folded into their class.
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions import scalar
-from plumbline.operators import apidiff, budget, calibrate, cochange, compare, graph, history, ledger, lookup, model, pairsample, priority, signals, similarity, stats
+from plumbline.operators import apidiff, budget, calibrate, cochange, compare, graph, history, ledger, lineage, lookup, model, pairsample, priority, signals, similarity, stats
 from plumbline.plans import measure
 from plumbline.session import cut, table
 from plumbline.sources import facts as source_facts
-from plumbline.sources import files
+from plumbline.sources import files, gitstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -417,17 +417,17 @@ def dict_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.every_site_keys(rows)
 
 
-SHAPES = "('order','a',['id','lines','customer']),('order','b',['id','items','discount']),('order','c',['id','lines']),('user','a',['id']),('user','b',['id','name'])"
-
-
 @query(
-    f"""WITH s(term, module, fields) AS (VALUES {SHAPES})
+    """WITH s AS (SELECT p_brand AS term, 'm' || (p_size % 10) AS module, list_distinct(array_agg(p_type || ' ' || split_part(p_name, ' ', 1))) AS fields FROM part GROUP BY ALL)
     SELECT x.term, x.module AS a, y.module AS b FROM s x JOIN s y ON x.term = y.term AND x.module < y.module
     WHERE len(list_filter(x.fields, lambda f: NOT list_contains(y.fields, f))) > 0 AND len(list_filter(y.fields, lambda f: NOT list_contains(x.fields, f))) > 0"""
 )
 def incompatible_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT * FROM VALUES {SHAPES.replace('[', 'array(').replace(']', ')')} AS s(term, module, fields)")
-    return signals.incompatible_shapes(rows)
+    """Brands as terms, sizes as modules, kinds of parts as fields."""
+    field = F.concat_ws(" ", "p_type", F.split("p_name", " ")[0])
+    parts = table(spark, sf_dir, "part")
+    shapes = parts.groupBy(F.col("p_brand").alias("term"), F.concat(F.lit("m"), (F.col("p_size") % 10).cast("string")).alias("module")).agg(F.collect_set(field).alias("fields"))
+    return signals.incompatible_shapes(shapes)
 
 
 QUESTION = "Which small steel or brass parts do we have in burnished steel?"
@@ -444,19 +444,17 @@ def keyword_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.keyword_hits(part, QUESTION)
 
 
-SITES = "('log','order',['id'],false),('archive','order',[],true),('lookup','order',['id','lines','customer'],false),('note','user',['id'],false)"
-ENTITIES = "('order',['id','lines','customer','total','due']),('user',['id','name'])"
-
-
 @query(
-    f"""WITH s(site, param, used, passed_whole) AS (VALUES {SITES}), e(param, keys) AS (VALUES {ENTITIES}),
+    """WITH s AS (SELECT l_orderkey AS site, l_returnflag AS param, list_distinct(array_agg('k' || l_linenumber)) AS used, any_value(l_orderkey % 3 = 0) AS passed_whole FROM lineitem GROUP BY ALL),
+    e AS (SELECT l_returnflag AS param, list_distinct(array_agg('k' || l_linenumber)) AS keys FROM lineitem GROUP BY ALL),
     j AS (SELECT site, param, len(list_filter(used, lambda u: list_contains(keys, u)))::INT AS n_used, len(keys)::INT AS n_full, passed_whole FROM s JOIN e USING (param) WHERE len(keys) >= 3)
     SELECT site, param, n_used, n_full, n_used::DOUBLE / n_full AS fraction FROM j WHERE n_used::DOUBLE / n_full <= 0.34 OR (passed_whole AND n_used <= 1)"""
 )
 def under_used_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrays = lambda s: s.replace("[]", "cast(array() as array<string>)").replace("['", "array('").replace("']", "')")
-    sites = spark.sql(f"SELECT * FROM VALUES {arrays(SITES)} AS s(site, param, used, passed_whole)")
-    return signals.under_used_parameters(sites, spark.sql(f"SELECT * FROM VALUES {arrays(ENTITIES)} AS s(param, keys)"))
+    """Orders as sites that take a flag's lines and use some of its line numbers; every third passes it on whole."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_returnflag").alias("param"), F.concat(F.lit("k"), F.col("l_linenumber").cast("string")).alias("key"))
+    sites = lines.groupBy("site", "param").agg(F.collect_set("key").alias("used")).withColumn("passed_whole", F.col("site") % 3 == 0)
+    return signals.under_used_parameters(sites, lines.groupBy("param").agg(F.collect_set("key").alias("keys")))
 
 
 # --- budgets over monthly snapshots of orders ------------------------------------------------------
@@ -581,55 +579,71 @@ def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- ledger --------------------------------------------------------------------------------------------
 
-LEDGER = """
-    ('core','2026-01-05','open',NULL,'ana','after 2026-03-01 refactor','2026-02-01','HIGH'), ('core','2026-01-09','open',NULL,NULL,'when traffic doubles',NULL,'LOW'),
-    ('api','2026-02-01','open',NULL,'bo','by 2026-12-24',NULL,'MODERATE'), ('api','2026-02-09','closed','2026-02-01','bo',NULL,NULL,'MODERATE'),
-    ('web','2026-03-01',NULL,NULL,'cy','2026-02-30 is no day','soon',NULL), ('web','2026-03-04','open',NULL,'cy',NULL,'due 2027-01-01','LOW')
-"""
-LEDGER_COLUMNS = "(region, \"when\", status, closes, owner, repayment_trigger, review_date, exposure_tier)"
-OPEN_SQL = f"l{LEDGER_COLUMNS} AS (VALUES {LEDGER}), o AS (SELECT * FROM l WHERE coalesce(status, '') <> 'closed' AND NOT EXISTS (SELECT 1 FROM l c WHERE c.status = 'closed' AND c.region = l.region AND c.closes = l.\"when\"))"
+LEDGER_SQL = """
+    n AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderkey AS "when" FROM orders),
+    l AS (SELECT 'c' || o_custkey AS region, "when", CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' END AS status,
+        CASE WHEN o_orderstatus = 'F' THEN lag("when") OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS closes,
+        CASE WHEN o_orderkey % 5 > 0 THEN 'owner ' || o_orderkey % 7 END AS owner,
+        CASE o_orderkey % 3 WHEN 0 THEN 'by ' || strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%d') || ' at last' WHEN 1 THEN 'when traffic doubles' END AS repayment_trigger,
+        CASE o_orderkey % 4 WHEN 1 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') WHEN 2 THEN 'soon' END AS review_date,
+        CASE WHEN o_totalprice > 300000 THEN 'HIGH' WHEN o_totalprice > 150000 THEN 'MODERATE' WHEN o_totalprice > 50000 THEN 'LOW' END AS exposure_tier FROM n)"""
+OPEN_SQL = f"{LEDGER_SQL}, o AS (SELECT * FROM l WHERE coalesce(status, '') <> 'closed' AND NOT EXISTS (SELECT 1 FROM l c WHERE c.status = 'closed' AND c.region = l.region AND c.closes = l.\"when\"))"
 DATE_SQL = "try_cast(nullif(regexp_extract(coalesce({0}, ''), '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS DATE)"
 
 
-def _ledger(spark):
-    return spark.sql(f"SELECT * FROM VALUES {LEDGER} AS l{LEDGER_COLUMNS.replace(chr(34), '`')}")
+def _ledger(spark, sf_dir):
+    """Orders as decisions of a customer: an F closes the one before."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    later = lambda n: F.date_format(F.date_add("o_orderdate", n), "yyyy-MM-dd")
+    before = F.lag(F.concat_ws(" ", day, k.cast("string"))).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    price = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("region"),
+        F.concat_ws(" ", day, k.cast("string")).alias("when"),
+        F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "O", "open").alias("status"),
+        F.when(F.col("o_orderstatus") == "F", before).alias("closes"),
+        F.when(k % 5 > 0, F.concat(F.lit("owner "), (k % 7).cast("string"))).alias("owner"),
+        F.when(k % 3 == 0, F.concat(F.lit("by "), later(90), F.lit(" at last"))).when(k % 3 == 1, "when traffic doubles").alias("repayment_trigger"),
+        F.when(k % 4 == 1, later(30)).when(k % 4 == 2, "soon").alias("review_date"),
+        F.when(price > 300000, "HIGH").when(price > 150000, "MODERATE").when(price > 50000, "LOW").alias("exposure_tier"),
+    )
 
 
 @query(f"WITH {OPEN_SQL} SELECT * FROM o")
 def ledger_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.open_entries(_ledger(spark)).select("region", "when", "status", "closes", "owner", "repayment_trigger", "review_date", "exposure_tier")
+    return ledger.open_entries(_ledger(spark, sf_dir)).select("region", "when", "status", "closes", "owner", "repayment_trigger", "review_date", "exposure_tier")
 
 
 @query(
     f"""WITH {OPEN_SQL}, d AS (SELECT *, coalesce({DATE_SQL.format('review_date')}, {DATE_SQL.format('repayment_trigger')}) AS due FROM o)
     SELECT (SELECT count(*) FROM l) AS n_entries, (SELECT count(*) FROM l WHERE status = 'closed') AS n_closed, count(*) AS n_open, count(*) FILTER (WHERE coalesce(owner, '') <> '') AS n_owned,
-      count(*) FILTER (WHERE due < DATE '2026-06-30') AS n_overdue, max("when"::DATE) AS last_accepted, round(count(*) FILTER (WHERE coalesce(owner, '') <> '')::DOUBLE / count(*), 3) AS coverage,
-      date_diff('day', max("when"::DATE), DATE '2026-06-30')::INT AS held_days FROM d"""
+      count(*) FILTER (WHERE due < DATE '2000-06-30') AS n_overdue, max("when"[1:10]::DATE) AS last_accepted, round(count(*) FILTER (WHERE coalesce(owner, '') <> '')::DOUBLE / count(*), 3) AS coverage,
+      date_diff('day', max("when"[1:10]::DATE), DATE '2000-06-30')::INT AS held_days FROM d"""
 )
 def ledger_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.report(_ledger(spark), dt.date(2026, 6, 30))
+    return ledger.report(_ledger(spark, sf_dir), dt.date(2000, 6, 30))
 
 
 @query(f"WITH {OPEN_SQL} SELECT coalesce(exposure_tier, 'NEEDS_ASSESSMENT') AS tier, count(*) AS n_open FROM o GROUP BY 1")
 def ledger_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.by_tier(_ledger(spark))
+    return ledger.by_tier(_ledger(spark, sf_dir))
 
 
-LEVELS = "(SELECT * FROM (VALUES ('low'), ('medium'), ('high'), (NULL)) v(x))"
+_LEVEL = "CASE WHEN {0} < {1} THEN 'low' WHEN {0} < {2} THEN 'medium' WHEN {0} < {3} THEN 'high' END"
+EXPOSURE = {"v": ("l_quantity", 17, 34, 49), "s": ("l_discount", 0.035, 0.065, 0.095), "c": ("l_tax", 0.025, 0.055, 0.085), "d": ("l_extendedprice", 30000, 60000, 100000), "b": ("l_linenumber", 3, 6, 8)}
 
 
 @query(
-    f"""WITH l AS {LEVELS}, d AS (SELECT a.x AS v, b.x AS s, c.x AS c, e.x AS d, f.x AS b FROM l a, l b, l c, l e, l f),
+    f"""WITH d AS (SELECT {", ".join(f"{_LEVEL.format(*x)} AS {n}" for n, x in EXPOSURE.items())} FROM lineitem),
     n AS (SELECT *, (v='high')::INT + (s='high')::INT + (c='high')::INT + (d='high')::INT + (b='high')::INT AS h, (v='medium')::INT + (s='medium')::INT + (c='medium')::INT + (d='medium')::INT + (b='medium')::INT AS m FROM d)
     SELECT v, s, c, d, b, CASE WHEN v IS NULL OR s IS NULL OR c IS NULL OR d IS NULL OR b IS NULL THEN 'NEEDS_ASSESSMENT' WHEN c='high' AND s='high' THEN 'HIGH' WHEN c='high' AND b='high' THEN 'HIGH'
-      WHEN h >= 3 AND (c='high' OR v='high') THEN 'HIGH' WHEN h >= 1 OR m >= 2 THEN 'MODERATE' ELSE 'LOW' END AS tier FROM n"""
+      WHEN h >= 3 AND (c='high' OR v='high') THEN 'HIGH' WHEN h >= 1 OR m >= 2 THEN 'MODERATE' ELSE 'LOW' END AS tier, count(*) AS n_lines FROM n GROUP BY ALL"""
 )
 def exposure_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("low", "medium", "high", None)], "x string")
-    out = rows.select(F.col("x").alias("v"))
-    for name in ("s", "c", "d", "b"):  # the 1,024 combinations of five dimensions
-        out = out.select("*", F.explode(F.array(*(F.lit(x) for x in ("low", "medium", "high", None)))).alias(name))
-    return out.withColumn("tier", scalar.exposure_tier(*(F.col(n) for n in ("v", "s", "c", "d", "b"))))
+    """Lines of orders with five dimensions in levels, some of them missing."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(*(f"{_LEVEL.format(*x)} AS {n}" for n, x in EXPOSURE.items()))
+    tier = scalar.exposure_tier(*(F.col(n) for n in EXPOSURE))
+    return lines.withColumn("tier", tier).groupBy(*EXPOSURE, "tier").agg(F.count("*").alias("n_lines"))
 
 
 # --- votes and agreement --------------------------------------------------------------------------------
@@ -799,24 +813,30 @@ def compare_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.mismatches(cases.withColumn("case", order), scalar.half_up_cents(F.col("mills")), even).drop("case")
 
 
-BEFORE = "('a.fetch','function','normal:x:0,normal:y:1'),('a.gone','function',''),('a.same','function','normal:x:0'),('a.kw','function','normal:x:0'),('a.opt','function','normal:x:0'),('a.ren','function','normal:x:0'),('a.va','function','varargs:r:0')"
-AFTER = "('a.fetch','function','normal:x:0,normal:y:0'),('a.new','class',''),('a.same','function','normal:x:0'),('a.kw','function','kwonly:x:0'),('a.opt','function','normal:x:0,normal:z:1'),('a.ren','function','normal:q:0'),('a.va','function','')"
-EXPECTED_DIFF = (
-    "('a.fetch','changed',true,'default lost: y'),('a.gone','removed',true,'symbol removed'),('a.new','added',false,''),('a.kw','changed',true,'now keyword-only: x'),"
-    "('a.opt','changed',false,''),('a.ren','changed',true,'new required: q|parameter gone: x'),('a.va','changed',true,'lost varargs')"
+@query(
+    """WITH p AS (SELECT l_partkey, l_linestatus, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY ALL),
+    f AS (SELECT 'p' || l_partkey AS symbol, 'a' || l_linenumber AS name, l_linestatus = 'F' AS old, q >= 25 AS has_default, CASE WHEN q >= 25 THEN floor(q / 10)::INT::VARCHAR END AS d FROM p),
+    s AS (SELECT symbol, bool_or(old) AS before, bool_or(NOT old) AS after FROM f GROUP BY symbol),
+    j AS (SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.name, y.name) AS name, x.name IS NULL AS fresh, y.name IS NULL AS gone, x.has_default AS d1, y.has_default AS d2, x.d AS t1, y.d AS t2
+        FROM (SELECT * FROM f WHERE old) x FULL JOIN (SELECT * FROM f WHERE NOT old) y ON x.symbol = y.symbol AND x.name = y.name),
+    r AS (SELECT symbol, CASE WHEN gone THEN 'parameter gone: ' || name WHEN fresh AND NOT d2 THEN 'new required: ' || name WHEN NOT fresh AND d1 AND NOT d2 THEN 'default lost: ' || name END AS reason,
+        CASE WHEN fresh AND d2 THEN 'new optional: ' || name WHEN d1 AND d2 AND t1 <> t2 THEN 'default of ' || name || ': ' || t1 || ' to ' || t2 END AS note,
+        fresh OR gone OR d1 IS DISTINCT FROM d2 OR t1 IS DISTINCT FROM t2 AS changed FROM j)
+    SELECT s.symbol, CASE WHEN NOT after THEN 'removed' WHEN NOT before THEN 'added' ELSE 'changed' END AS status,
+        CASE WHEN NOT after THEN true WHEN NOT before THEN false ELSE count(reason) > 0 END AS breaking,
+        CASE WHEN NOT after THEN 'symbol removed' WHEN NOT before THEN '' ELSE coalesce(string_agg(reason, '|' ORDER BY reason), '') END AS reasons,
+        CASE WHEN after AND before THEN coalesce(string_agg(note, '|' ORDER BY note), '') ELSE '' END AS notes
+    FROM s JOIN r USING (symbol) GROUP BY s.symbol, before, after HAVING bool_or(changed)"""
 )
-
-
-def _surface(spark, values):
-    rows = spark.sql(f"SELECT * FROM VALUES {values} AS s(symbol, kind, spec)")
-    part = lambda p, i: F.split(p, ":")[i]
-    params = F.transform(F.filter(F.split("spec", ","), lambda p: p != ""), lambda p: F.struct(part(p, 0).alias("kind"), part(p, 1).alias("name"), (part(p, 2) == "1").alias("has_default")))
-    return rows.select("symbol", "kind", params.alias("params"))
-
-
-@query(f"SELECT * FROM (VALUES {EXPECTED_DIFF}) d(symbol, status, breaking, reasons)")
 def surface_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apidiff.diff_surfaces(_surface(spark, BEFORE), _surface(spark, AFTER)).withColumn("reasons", F.concat_ws("|", "reasons"))
+    """Parts as functions with keyword parameters: the lines shipped before and those after make two surfaces."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linestatus", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    has = F.col("q") >= 25
+    one = F.struct(F.col("l_linenumber"), F.struct(F.lit("kwonly").alias("kind"), F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("name"), has.alias("has_default")).alias("p"), F.when(has, F.floor(F.col("q") / 10).cast("int").cast("string")).alias("d"))
+    each = lines.groupBy("l_partkey", "l_linestatus").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    each = each.select("l_linestatus", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("symbol"), F.lit("function").alias("kind"), F.col("x.p").alias("params"), F.col("x.d").alias("defaults"))
+    found = apidiff.diff_with_defaults(each.where("l_linestatus = 'F'"), each.where("l_linestatus != 'F'"))
+    return found.withColumn("reasons", F.concat_ws("|", "reasons")).withColumn("notes", F.concat_ws("|", "notes"))
 
 
 @query("SELECT o_custkey AS candidate_id, o_orderkey AS id, row_number() OVER w AS revision, lead(o_orderkey) OVER w AS superseded_by FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
@@ -1032,19 +1052,142 @@ def derive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- source text -----------------------------------------------------------------------------------------------------
 
 
-def own_source(spark: SparkSession) -> DataFrame:
-    """This package's own files as a source tree (state, path, module, text)."""
-    root = Path(__file__).resolve().parent.parent
-    kept = [p for p in sorted(root.rglob("*.py")) if "llm" not in p.relative_to(root).parts]
-    rows = [("head", str(p.relative_to(root)), ".".join(p.relative_to(root).with_suffix("").parts).removesuffix(".__init__").replace("__init__", ""), p.read_text()) for p in kept]
-    return spark.createDataFrame(rows, "state string, path string, module string, text string")
+_BODY = {
+    True: "    total = a + b\n    for x in range(total):\n        total = total + x * b\n    return total\n",
+    False: "    found = [a]\n    while a < b:\n        found.append(a)\n        a = a + 1\n    if found:\n        return found\n    return None\n",
+}
+TREE_SQL = """
+    place AS (SELECT n_nationkey, r_name AS state, lower(replace(n_name, ' ', '_')) AS module, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+    inside AS (SELECT a.state, a.module AS src, b.module AS dst FROM edges e JOIN place a ON a.n_name = e.src JOIN place b ON b.n_name = e.dst AND b.state = a.state),
+    function AS (SELECT state, module, c_mktsegment, count(*) % 2 = 0 AS even FROM place JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
+"""
+
+
+def trade_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python source made from the tables (state, path, module, text): a tree for each region, a module for each nation.
+
+    A module imports the nations of its region that `_edges` gives it, names the
+    region in a string and has a function for each market segment of its
+    customers, of one of two shapes. Texts follow from counts, so a file is
+    short whatever the tables.
+    """
+    t = lambda n: table(spark, sf_dir, n)
+    module = F.lower(F.replace("n_name", F.lit(" "), F.lit("_")))
+    place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.col("r_name").alias("state"), module.alias("module"))
+    place = cut(place)
+    ends = lambda c: place.select(F.col("n_name").alias(c), F.col("state").alias(f"{c}_state"), F.col("module").alias(f"{c}_module"))
+    inside = _edges(spark, sf_dir).join(ends("src"), "src").join(ends("dst"), "dst").where("src_state = dst_state")
+    imports = inside.groupBy(F.col("src_module").alias("module")).agg(F.array_sort(F.collect_list(F.concat(F.lit("import trade."), "dst_module", F.lit("\n")))).alias("imports"))
+    counts = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").agg(F.count("*").alias("n"))
+    body = F.when(F.col("n") % 2 == 0, _BODY[True]).otherwise(_BODY[False])
+    name = F.lower(F.regexp_replace("c_mktsegment", "[^A-Za-z]", "_"))
+    functions = counts.groupBy("n_nationkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("def "), name, F.lit("(a, b):\n"), body))).alias("functions"))
+    rows = place.join(imports, "module", "left").join(functions, "n_nationkey", "left")
+    text = F.concat(F.concat_ws("", "imports"), F.lit('REGION = "trade of '), "state", F.lit('"\n'), F.concat_ws("", "functions"))
+    return rows.select("state", F.concat("module", F.lit(".py")).alias("path"), "module", text.alias("text"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TRADE_SQL}, {TREE_SQL},
+    each AS (
+        SELECT state, module, 'module' AS kind, 1 AS n FROM place
+        UNION ALL SELECT state, src, 'import', 1 FROM inside
+        UNION ALL SELECT state, module, 'literal', 1 FROM place
+        UNION ALL SELECT state, module, unnest(['function', 'surface', 'param', 'param']), 1 FROM function
+        UNION ALL SELECT state, module, 'literal', 1 FROM function WHERE NOT even
+    ) SELECT state, module, kind, count(*) AS n FROM each GROUP BY state, module, kind"""
+)
 def source_facts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_facts.extract(own_source(spark)).groupBy("module", "kind").agg(F.count("*").alias("n"))
+    facts = source_facts.extract(trade_source(spark, sf_dir))
+    return facts.groupBy("state", "module", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TRADE_SQL}, {TREE_SQL},
+    reach AS (SELECT state, src AS a, dst AS b FROM inside UNION SELECT r.state, r.a, i.dst FROM reach r JOIN inside i ON i.state = r.state AND i.src = r.b),
+    ring AS (SELECT DISTINCT r.state, r.a AS module FROM reach r JOIN reach q ON q.state = r.state AND q.a = r.b AND q.b = r.a),
+    shape AS (SELECT state, even, count(*) AS k FROM function GROUP BY ALL),
+    per AS (SELECT state, count(*)::DOUBLE AS modules, (SELECT count(*) FROM inside i WHERE i.state = p.state)::DOUBLE AS edges, (SELECT count(*) FROM ring i WHERE i.state = p.state)::DOUBLE AS cyclic,
+        (SELECT count(*) FROM function f WHERE f.state = p.state)::DOUBLE AS total, (SELECT coalesce(sum(k), 0) FROM shape f WHERE f.state = p.state AND k > 1)::DOUBLE AS redundant,
+        (SELECT count(*) FROM shape f WHERE f.state = p.state AND k > 1)::DOUBLE AS clusters FROM place p GROUP BY state),
+    long AS (
+        SELECT state, 'redundant_clusters' AS metric, clusters AS value, NULL AS numerator, NULL AS denominator FROM per
+        UNION ALL SELECT state, 'redundant_functions', redundant, NULL, NULL FROM per
+        UNION ALL SELECT state, 'duplication_ratio', CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE redundant / total END, redundant, total FROM per
+        UNION ALL SELECT state, 'cycle_ratio', cyclic / modules, cyclic, modules FROM per
+        UNION ALL SELECT state, 'connascence_shared', (modules >= 2)::INT::DOUBLE, NULL, NULL FROM per
+        UNION ALL SELECT state, 'coupling_density', edges / modules, edges, modules FROM per
+        UNION ALL SELECT state, 'n_modules', modules, NULL, NULL FROM per
+        UNION ALL SELECT state, 'n_edges', edges, NULL, NULL FROM per
+    ) SELECT state, metric, value, numerator::BIGINT AS numerator, denominator::BIGINT AS denominator FROM long"""
+)
 def source_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.metrics(source_facts.extract(own_source(spark)), "plumbline")
+    return measure.metrics(source_facts.extract(trade_source(spark, sf_dir)), "trade")
+
+
+# --- history: content, ancestry, renames ------------------------------------------------------------------------------
+
+
+@query(
+    """WITH f AS (SELECT year(o_orderdate)::VARCHAR AS state, o_orderkey, substr(o_orderpriority, 1, 1)::INT AS k FROM orders),
+    each AS (SELECT state, 'module' AS kind, 1 AS n FROM f UNION ALL SELECT state, 'import', 1 FROM f UNION ALL SELECT state, unnest(['function', 'param', 'surface']), k FROM f UNION ALL SELECT state, 'literal', k FROM f)
+    SELECT state, kind, sum(n)::BIGINT AS n FROM each GROUP BY state, kind"""
+)
+def history_facts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years as commits, orders as files whose content follows from priority and state: each content is parsed once."""
+    digit = F.substring("o_orderpriority", 1, 1).cast("int")
+    functions = F.array_join(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.concat(F.lit("def f"), i.cast("string"), F.lit("(a):\n    return a + "), i.cast("string"), F.lit("\n"))), "")
+    text = F.concat(F.lit("import status_"), F.lower("o_orderstatus"), F.lit("\n"), functions)
+    orders = table(spark, sf_dir, "orders").withColumn("k", digit).withColumn("text", text)
+    files = orders.select(F.year("o_orderdate").cast("string").alias("state"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), F.md5("text").alias("blob"), "text")
+    contents = files.groupBy("blob").agg(F.first("text").alias("text"))
+    return gitstore.facts_by_content(files.drop("text"), contents).groupBy("state", "kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT event_id, user_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS own FROM events),
+    edge AS (
+        SELECT event_id AS sha, coalesce(own, event_id - 1) AS parent FROM c WHERE event_id > 0
+        UNION SELECT event_id, event_id - 1 FROM c WHERE event_type = 'purchase' AND event_id > 0 AND event_id % 4 = 0
+    ),
+    tips AS (SELECT max(event_id) AS tip FROM events WHERE event_type IN ('signup', 'error') GROUP BY event_type),
+    reach AS (SELECT tip, tip AS sha FROM tips UNION SELECT tip, parent FROM reach JOIN edge USING (sha)),
+    plain AS (SELECT sha FROM edge GROUP BY sha HAVING count(*) < 2 UNION SELECT 0),
+    n AS (SELECT tip, event_type || ' ' || user_id % 10 AS item, count(*) AS n FROM reach JOIN events ON event_id = sha WHERE sha IN (SELECT sha FROM plain) GROUP BY ALL)
+    SELECT tip::VARCHAR AS tip, item, n::DOUBLE / max(n) OVER (PARTITION BY tip) AS volatility FROM n"""
+)
+def ancestry_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commits: each goes on from its user's last one or branches off the event before; some purchases also merge that."""
+    events, k = table(spark, sf_dir, "events"), F.col("event_id")
+    own = F.coalesce(F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")), k - 1)
+    merged = F.when((F.col("event_type") == "purchase") & (k % 4 == 0) & (F.col("own") != k - 1), k - 1)
+    parents = F.when(k > 0, F.transform(F.array_compact(F.array("own", merged)), lambda x: x.cast("string"))).otherwise(F.array().cast("array<string>"))
+    commits = cut(events.withColumn("own", own).select(k.alias("seq"), k.cast("string").alias("sha"), parents.alias("parents")))
+    touches = events.select(k.cast("string").alias("sha"), F.concat_ws(" ", "event_type", (F.col("user_id") % 10).cast("string")).alias("item"))
+    tips = events.where("event_type in ('signup', 'error')").groupBy("event_type").agg(F.max(k).cast("string").alias("tip"))
+    return lineage.bounded_volatility(commits, touches, tips)
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT event_id AS seq, 'u' || user_id AS path, 'u' || lag(user_id) OVER (ORDER BY event_id) AS prev, event_type FROM events),
+    ch AS (SELECT seq, path, CASE WHEN event_type = 'signup' THEN 'A' WHEN event_type = 'error' THEN 'D' WHEN event_type = 'purchase' AND prev <> path THEN 'R' ELSE 'M' END AS status,
+        CASE WHEN event_type = 'purchase' AND prev <> path THEN prev END AS old FROM c),
+    birth AS (SELECT path, seq, old FROM ch WHERE status IN ('A', 'R')
+        UNION ALL SELECT path, min(seq), NULL FROM ch x WHERE status NOT IN ('A', 'R') GROUP BY path HAVING min(seq) < coalesce((SELECT min(seq) FROM ch y WHERE y.path = x.path AND status IN ('A', 'R')), 1e18)),
+    life AS (SELECT path, seq AS born, old, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS until FROM birth),
+    came AS (SELECT n.path, n.born, o.path AS opath, o.born AS oborn FROM life n JOIN life o ON o.path = n.old AND o.born < n.born AND (o.until IS NULL OR o.until >= n.born)),
+    heir AS (SELECT opath, oborn, arg_min(path, (born, path)) AS path, min(born) AS born FROM came GROUP BY opath, oborn),
+    chain AS (SELECT path, born, path AS p, born AS b FROM life WHERE until IS NULL UNION ALL SELECT c.path, c.born, h.opath, h.oborn FROM chain c JOIN heir h ON h.path = c.p AND h.born = c.b),
+    dead AS (SELECT l.path FROM life l JOIN ch ON ch.path = l.path AND status = 'D' AND seq > born WHERE until IS NULL UNION SELECT l.path FROM life l JOIN ch ON ch.old = l.path AND seq > born WHERE until IS NULL),
+    hit AS (SELECT l.path, l.born, seq FROM life l JOIN ch ON ch.path = l.path AND CASE WHEN status = 'D' THEN seq > born AND (until IS NULL OR seq <= until) ELSE seq >= born AND (until IS NULL OR seq < until) END)
+    SELECT DISTINCT c.path, seq FROM chain c JOIN hit h ON h.path = c.p AND h.born = c.b WHERE c.path NOT IN (SELECT path FROM dead)"""
+)
+def followed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of a file for each user: sign-ups add it, errors remove it, a purchase renames the file of the event before."""
+    events = history.numbered(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id")
+    user = lambda c: F.concat(F.lit("u"), F.col(c).cast("string"))
+    before = events.select((F.col("at") + 1).alias("at"), user("user_id").alias("prev"))
+    rows = events.join(before, "at", "left").withColumn("path", user("user_id"))
+    renamed = (F.col("event_type") == "purchase") & (F.col("prev") != F.col("path"))
+    status = F.when(F.col("event_type") == "signup", "A").when(F.col("event_type") == "error", "D").when(renamed, "R").otherwise("M")
+    return lineage.followed(rows.select(F.col("event_id").alias("seq"), status.alias("status"), "path", F.when(renamed, F.col("prev")).alias("old_path")))

@@ -415,7 +415,7 @@ def test_fixed_values(spark):
     assert [one.select(stats.modularity_tier(F.lit(x))).first()[0] for x in (3.9, 4.0, 6.0, 7.5)] == ["critical", "high", "moderate", "low"]
 
 
-def test_body_tokens():
+def test_body_tokens_of_contexts_and_calls():
     import ast
 
     text = "def f(a):\n    def g(b: int): return b.c\n    x = h(a, k=1)\n    return m.n(x)(2)\n"

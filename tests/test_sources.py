@@ -193,3 +193,16 @@ def test_names_and_locality(spark):
     assert [r[0] for r in lookup.bare_names(ids, "shop").collect()] == ["a", "shopper.a", None]
     m = spark.createDataFrame([(1, "a.x"), (1, "a.x"), (2, "a.x"), (2, "a.y"), (3, "a.x"), (3, "b"), (4, "c")], "cluster int, module string")
     assert rows(priority.cluster_scores(m)) == [(1, 2, 1, 2), (2, 2, 2, 4), (3, 2, 3, 6)]
+
+
+def test_changed_defaults_are_told_and_break_nothing(spark):
+    p = lambda name, has: ("normal", name, has)
+    schema = f"symbol string, kind string, params {apidiff.PARAMS}, defaults array<string>"
+    old = [("m.f", "function", [p("a", False), p("b", True)], [None, "1"]), ("m.g", "function", [p("a", True)], ["1"]), ("m.h", "function", [p("a", False)], [None])]
+    new = [("m.f", "function", [p("a", False), p("b", True)], [None, "2"]), ("m.g", "function", [p("a", True)], ["1"]), ("m.h", "function", [p("a", False), p("c", True)], [None, "3"])]
+    found = apidiff.diff_with_defaults(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))
+    assert sorted(map(tuple, found.collect())) == [
+        ("m.f", "changed", False, [], ["default of b: 1 to 2"]),
+        ("m.h", "changed", False, [], ["new optional: c"]),
+    ]
+    assert apidiff.verdict(found) == ("COMPATIBLE", 0)
