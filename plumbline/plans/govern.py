@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import graph, signals, similarity, stats
+from plumbline.operators import graph, lookup, signals, similarity, stats
 
 # Statuses of a run.
 HELD, CROSSED, REFUSED, ADVISORY, NOT_MEASURED = range(5)
@@ -117,6 +117,32 @@ def answer(facts: DataFrame, question: str, limit: int = 12) -> DataFrame:
     return hits.orderBy(F.desc("score"), "name").limit(limit)
 
 
+def answer_by_kind(model: dict[str, DataFrame], question: str, ratified: DataFrame | None = None) -> DataFrame:
+    """(label, kind, name): what a model holds for a question, by the matcher of its kind, and live decisions.
+
+    model has `functions` (qualname, tokens, doc), `entities` (name, tokens),
+    `modules` (module, tokens), `conventions` (value, modules) and `helpers`
+    (concept, tokens, site); the question's cues choose the kind, and with no cue
+    the functions and helpers are asked by keywords. ratified is (name, superseded_by).
+    """
+    spark = next(iter(model.values())).sparkSession
+    kind = spark.range(1).select(signals.route(F.lit(question)).alias("k")).first()["k"]
+    if kind == "entity":
+        found = lookup.entity_matches(model["entities"], question).select("name")
+    elif kind == "module":
+        found = lookup.module_matches(model["modules"], question).select(F.col("module").alias("name"))
+    elif kind == "convention":
+        found = lookup.convention_matches(model["conventions"], question).select(F.col("value").alias("name"))
+    elif kind == "helper":
+        found = lookup.helper_matches(model["helpers"], model["functions"], question).select("name")
+    else:
+        found = signals.keyword_hits(model["functions"].select(F.col("qualname").alias("name"), "tokens", "doc"), question).orderBy(F.desc("score"), "name").select("name")
+    out = found.select(F.lit("OBSERVED").alias("label"), F.lit(kind).alias("kind"), "name")
+    if ratified is None:
+        return out
+    return out.unionByName(ratified.where("superseded_by is null").select(F.lit("RATIFIED").alias("label"), F.lit(kind).alias("kind"), "name"))
+
+
 def context_lines(observed: DataFrame, candidates: DataFrame, ratified: DataFrame, most: int = 25) -> DataFrame:
     """(label, line): live ratified decisions, observed facts, and at most `most` candidates with the rest counted.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import ratio
-from plumbline.operators import budget, graph, history, signals, similarity
+from plumbline.operators import budget, cochange, graph, history, signals, similarity
 from plumbline.session import cut
 from plumbline.sources import facts as source_facts
 from plumbline.sources.files import GitLog, GitTree
@@ -97,6 +97,39 @@ def metrics(facts: DataFrame, package: str) -> DataFrame:
     return wide.select("state", F.explode(F.array(*each)).alias("m")).select("state", "m.*")
 
 
+def measure_all(facts: DataFrame, package: str, touches: DataFrame | None = None, history_error: str | None = None) -> DataFrame:
+    """Long (state, metric, value, numerator, denominator, error): `metrics` and the rest of the composite.
+
+    touches is (state, basket, item) with items named as modules of the package.
+    Without a history hidden coupling and contagion are 0, and error says why
+    where it could not be read, so that a zero can be told from no reading.
+    """
+    extra = source_facts.third_party(facts, package).select("state", "module", "top").distinct()
+    sprawl = extra.groupBy("state", "top").agg(F.count("*").alias("n")).groupBy("state").agg(F.count("*").alias("third_party_imports"), F.count_if(F.col("n") == 1).alias("single_use_third_party"))
+    arch = architecture(facts, package).select("state", "max_fan_in", "max_fan_in_ratio", "cyclic_modules", "n_modules")
+    row = arch.join(sprawl, "state", "left").na.fill(0)
+    if touches is None:
+        row = row.withColumn("hyperliminal_pairs", F.lit(0)).withColumn("contagion_mean", F.lit(0.0))
+    else:
+        row = row.join(hidden_by_state(touches, source_facts.import_edges(facts, package)), "state", "left").na.fill(0)
+    none = F.lit(None).cast("long")
+    rows = [("max_fan_in_ratio", F.col("max_fan_in"), F.col("n_modules")), *((c, none, none) for c in ("max_fan_in", "cyclic_modules", "third_party_imports", "single_use_third_party", "hyperliminal_pairs", "contagion_mean"))]
+    each = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), a.cast("long").alias("numerator"), b.cast("long").alias("denominator")) for c, a, b in rows]
+    long = row.select("state", F.explode(F.array(*each)).alias("m")).select("state", "m.*")
+    unread = F.when(F.col("metric").isin("hyperliminal_pairs", "contagion_mean"), F.lit(history_error))
+    return metrics(facts, package).unionByName(long).withColumn("error", unread.cast("string"))
+
+
+def hidden_by_state(touches: DataFrame, edges: DataFrame) -> DataFrame:
+    """(state, hyperliminal_pairs, contagion_mean): pairs that change together without an edge, and modules a change touches."""
+    key = lambda c: F.concat_ws("\x01", "state", c)
+    keyed = touches.select(key("basket").alias("basket"), key("item").alias("item"))
+    hidden = cochange.hidden_coupling(cochange.pair_counts(keyed), edges.select(key("src").alias("src"), key("dst").alias("dst")))
+    pairs = hidden.groupBy(F.split("a", "\x01")[0].alias("state")).agg(F.count("*").alias("hyperliminal_pairs"))
+    sizes = touches.select("state", "basket", "item").distinct().groupBy("state", "basket").agg(F.count("*").alias("n")).groupBy("state").agg(F.avg("n").alias("contagion_mean"))
+    return sizes.join(pairs, "state", "left").na.fill(0)
+
+
 def check(measured: DataFrame, ceilings: DataFrame) -> DataFrame:
     """(state, n_breaches, n_improved, status): held or crossed for each state; a breach comes first."""
     bad = budget.breaches(measured, ceilings).groupBy("state").agg(F.count("*").alias("n_breaches"))

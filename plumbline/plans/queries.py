@@ -14,7 +14,7 @@ from plumbline.operators import apidiff, budget, calibrate, cochange, compare, g
 from plumbline.plans import measure
 from plumbline.session import cut, table
 from plumbline.sources import facts as source_facts
-from plumbline.sources import files, gitstore
+from plumbline.sources import files, gitstore, rewrite
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1191,3 +1191,34 @@ def followed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     renamed = (F.col("event_type") == "purchase") & (F.col("prev") != F.col("path"))
     status = F.when(F.col("event_type") == "signup", "A").when(F.col("event_type") == "error", "D").when(renamed, "R").otherwise("M")
     return lineage.followed(rows.select(F.col("event_id").alias("seq"), status.alias("status"), "path", F.when(renamed, F.col("prev")).alias("old_path")))
+
+
+_KEYED = "def build_order(a):\n    seen = {\"zz\": a}\n    order = {\"k0\": a}\n"
+
+
+@query(
+    """WITH k AS (SELECT o_orderkey, list_sort(list_distinct(array_agg('k' || l_linenumber))) AS ks FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY o_orderkey)
+    SELECT shape, count(*) AS n FROM (SELECT 'k0|' || array_to_string(ks, '|') AS shape FROM k) GROUP BY shape"""
+)
+def returned_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions made from orders: keys set one by one on the mapping that is returned, and one on another mapping."""
+    key = F.concat(F.lit("    order[\"k"), F.col("l_linenumber").cast("string"), F.lit("\"] = a\n"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus != 'P'").select("o_orderkey")
+    body = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.array_join(F.collect_list(key), "").alias("body"))
+    files_made = body.select("o_orderkey", F.concat(F.lit(_KEYED), "body", F.lit("    return order\n")).alias("text"))
+    return rewrite.returned_mappings(files_made, "build_order").groupBy("shape").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH f AS (SELECT year(o_orderdate)::VARCHAR AS state, o_orderstatus AS s, o_orderkey % 3 = 0 AS guarded FROM orders)
+    SELECT state, count(*) AS files, count(*) FILTER (guarded) AS stripped, count(*) FILTER (NOT guarded) AS imports FROM f GROUP BY state"""
+)
+def runtime_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made from orders, every third importing for type checkers only: what is left after the strip."""
+    guarded = F.col("o_orderkey") % 3 == 0
+    line = F.concat(F.lit("import status_"), F.lower("o_orderstatus"), F.lit("\n"))
+    text = F.when(guarded, F.concat(F.lit("if TYPE_CHECKING:\n    "), line, F.lit("else:\n    x = 1\n"))).otherwise(line)
+    made = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("state"), F.col("o_orderkey").cast("string").alias("path"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("module"), text.alias("text"))
+    stripped = cut(rewrite.without_type_checking(made))
+    facts = source_facts.extract(stripped).where("kind = 'import'").groupBy("state").agg(F.count("*").alias("imports"))
+    return stripped.groupBy("state").agg(F.count("*").alias("files"), F.count_if("stripped").alias("stripped")).join(facts, "state", "left").na.fill(0)

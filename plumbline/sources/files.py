@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 from plumbline.functions.scalar import first_date
-from plumbline.session import ship
+from plumbline.session import ship, written
 
 
 class Refused(ValueError):
@@ -149,6 +150,31 @@ def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Da
     return good, parsed.where("not (r._bad is null and r is not null and value like '{%')").select("value")
 
 
+def read_numbered_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed) of JSON-lines files, both with file and line; malformed keeps the text.
+
+    Every line that is not blank must hold one object. Lines are numbered from 1
+    in each file. A file may be read in many parts: a line's number is its place
+    in its part and the lines of the parts before, which are counted once.
+    """
+    meta = lambda c: F.col(f"_metadata.{c}")
+    lines = spark.read.text(path).select("value", meta("file_path").alias("file"), meta("file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = written(lines)
+    parts = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part
+    parts = parts.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    named = lines.join(parts, ["file", "start"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value").where(F.trim("value") != "")
+    parsed = named.withColumn("r", F.from_json("value", f"struct<{schema}, _bad string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    whole = F.col("r._bad").isNull() & F.col("r").isNotNull() & F.ltrim("value").startswith("{")
+    return parsed.where(whole).select("file", "line", "r.*").drop("_bad"), parsed.where(~whole).select("file", "line", "value")
+
+
+def malformed_note(malformed: DataFrame, shown: int = 5) -> DataFrame:
+    """(file, n, lines): lines of each file that were left out, and the numbers of the first `shown`."""
+    first = malformed.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("line")))
+    return first.groupBy("file").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= shown, F.col("line")))), ", ").alias("lines"))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Labelled pairs (a, b, score, label) from JSON lines; a malformed line stops the read."""
     return spark.read.schema("a string, b string, score double, label string").option("mode", "FAILFAST").json(path)

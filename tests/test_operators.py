@@ -326,8 +326,8 @@ def test_body_tokens():
     def of(src):
         return facts.body_tokens(ast.parse(src).body[0])
 
-    assert of("def f(x):\n    return g(x).y(1)") == ["Return", "CALL", "CALLEE_y", "CALL", "CALLEE_g", "NAME", "CONST_int"]
-    assert of("def f(x):\n    x[0](1)") == ["Expr", "CALL", "Call", "Subscript", "NAME", "CONST_int", "Load", "CONST_int"]
+    assert of("def f(x):\n    return g(x).y(1)") == ["Return", "CALL", "CALLEE_y", "CALL", "CALLEE_g", "NAME", "Load", "CONST_int"]
+    assert of("def f(x):\n    x[0](1)") == ["Expr", "CALL", "Call", "Subscript", "NAME", "Load", "CONST_int", "Load", "CONST_int"]
 
 
 def test_empty_tree_is_refused(spark, tmp_path):
