@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 from plumbline.functions import scalar
 from plumbline.operators import apidiff, budget, calibrate, cochange, compare, graph, history, ledger, lineage, lookup, model, pairsample, priority, signals, similarity, stats
 from plumbline.plans import measure
-from plumbline.session import cut, table
+from plumbline.session import cut, shared_path, table
 from plumbline.sources import facts as source_facts
-from plumbline.sources import files, gitstore, rewrite
+from plumbline.sources import blocks, files, gitstore, rewrite, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1222,3 +1222,36 @@ def runtime_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = cut(rewrite.without_type_checking(made))
     facts = source_facts.extract(stripped).where("kind = 'import'").groupBy("state").agg(F.count("*").alias("imports"))
     return stripped.groupBy("state").agg(F.count("*").alias("files"), F.count_if("stripped").alias("stripped")).join(facts, "state", "left").na.fill(0)
+
+
+# --- runs and answers -------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH t AS (SELECT role, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n\\t\\r]+'), lambda w: w <> '')) AS n FROM conversations)
+    SELECT role, count(*) AS n_turns, sum(n)::BIGINT AS n_words, 'words 1' AS scorer FROM t GROUP BY role"""
+)
+def resumed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns scored by their words in a run that stops after every other turn and is taken up again."""
+    turns = table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    path = shared_path(spark, "run")
+    score = lambda df: df.select("key", F.size(scalar.words(F.col("text"))).cast("string").alias("value"))
+    runs.take_up(turns.where("turn % 2 = 0").select("key", "text"), path, "words 1", score)
+    whole = runs.take_up(turns.select("key", "text"), path, "words 1", score)
+    return whole.join(turns.select("key", "role"), "key").groupBy("role", "scorer").agg(F.count("*").alias("n_turns"), F.sum(F.col("value").cast("long")).alias("n_words"))
+
+
+@query(
+    """WITH a AS (SELECT conv_id, count(*) FILTER (turn % 3 = 0 AND turn < 6) AS n, bool_or(turn = 0) AS f0, bool_or(turn = 3) AS f3, bool_or(turn = 0 AND conv_id % 2 = 0) AS c0, bool_or(turn = 3 AND conv_id % 2 = 0) AS c3 FROM conversations GROUP BY conv_id)
+    SELECT (f0::INT + f3::INT) AS files_returned, (c0::INT + c3::INT) AS sites_covered, c0 AND c3 AS oracle, count(*) AS n FROM a GROUP BY ALL"""
+)
+def covered_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made from conversations: turns 0 and 3 come back as fenced files, in even conversations with the mark."""
+    turn = F.col("turn").cast("string")
+    mark = F.when(F.col("conv_id") % 2 == 0, "PLATINUM").otherwise("GOLD")
+    words = F.replace(F.coalesce("text", F.lit("")), F.lit("`"), F.lit("'"))
+    fence = F.concat(F.lit("./site/t"), turn, F.lit(".py\n```python\n# "), F.regexp_replace(words, r"\s+", " "), F.lit("\nTIER = '"), mark, F.lit("'\n```\n"))
+    block = F.when((F.col("turn") % 3 == 0) & (F.col("turn") < 6), fence).otherwise("and so on\n")
+    answers = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "").alias("text"))
+    found = blocks.site_coverage(blocks.file_blocks(answers), ["site/t0.py", "site/t3.py"], "PLATINUM")
+    return found.groupBy("files_returned", "sites_covered", "oracle").agg(F.count("*").alias("n"))
