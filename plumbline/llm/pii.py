@@ -43,10 +43,13 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Don", "господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Doña", "госпожа")
 NEUTRAL = ("Dr", "Prof", "Mx")
-ADDRESS = "(?=[MHSDPFг])(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True)) + ")"
-NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+#: The same in capitals, as headings have them.
+MALE, FEMALE, NEUTRAL = (tuple(dict.fromkeys((*forms, *(f.upper() for f in forms)))) for forms in (MALE, FEMALE, NEUTRAL))
+ADDRESS = "(?=[MHSDPFгГ])(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True)) + ")"
+# A word of a name: an initial with its point, or letters after a capital, with inner capitals, apostrophes and hyphens.
+NAME = r"(?:\p{Lu}\.(?=[ ]\p{Lu})|\p{Lu}\p{M}*(?:['’\-]?\p{L}\p{M}*)+)"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{M}0-9._%+\-])[\p{L}\p{M}0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{M}0-9._%+\-])[\p{L}\p{M}0-9._%+\-]++@[\p{L}\p{M}0-9\-]++(?:\.[\p{L}\p{M}0-9\-]+)*\.\p{L}{2,}",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
     r"|(?<![0-9+])\+[0-9]{1,3}[ .\-][0-9]{2,4}[ .\-][0-9]{3,4}(?:[ .\-][0-9]{2,4})?(?![0-9])"
@@ -54,7 +57,7 @@ PATTERNS = {
     r"|(?<![0-9+.\-])0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![0-9])",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{3}(?:[ \-]?[0-9]){10,16})(?![0-9])",
-    "name": rf"(?<!\p{{L}}){ADDRESS}\.? {NAME}(?: {NAME})?",
+    "name": rf"(?<!\p{{L}}){ADDRESS}\.? {NAME}(?: {NAME}){{0,3}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 GATE = rf"[0-9@]|{ADDRESS}\.? \p{{Lu}}"
@@ -93,18 +96,35 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
+def _valid(digits: Column) -> Column:
+    return F.pmod(luhn_sum(digits), F.lit(10)) == 0
+
+
+def card_of(m: Column) -> Column:
+    """The card in a run of groups of digits: the run, or else the first 13 to 19 digits of whole groups that pass the Luhn test."""
+    groups = F.split(m, r"[ \-]")
+    # A single character parts two groups, so a group starts at the lengths of those before and their number.
+    start = lambda i: F.aggregate(F.slice(groups, 1, i), F.lit(1), lambda a, g: a + F.length(g) + 1)
+    to = lambda i, j: F.substr(m, start(i), start(j + 1) - start(i) - 1)
+    last = F.size(groups) - 1
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: to(i, j))))
+    inner = F.filter(runs, lambda r: F.length(_digits(r)).between(13, 19) & _valid(_digits(r)))
+    return F.when(_valid(_digits(m)), m).otherwise(F.get(inner, F.lit(0)))
+
+
 def entity_type(m: Column) -> Column:
-    """Type of a match; a card that fails the Luhn test has none."""
+    """Type of a match; a run of digits without a card that passes the Luhn test has none."""
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
         test = m.rlike(f"^(?:{pattern})$")
-        kind = F.when(test & (F.pmod(luhn_sum(_digits(m)), F.lit(10)) == 0) if name == "card" else test, F.lit(name)).otherwise(kind)
+        kind = F.when(test & card_of(m).isNotNull() if name == "card" else test, F.lit(name)).otherwise(kind)
     return kind
 
 
 def parts_of(m: Column) -> Column:
     """Array of (kind, canon, raw): what of a match is replaced. canon is equal for one entity."""
     kind, digits = entity_type(m), _digits(m)
+    card = card_of(m)
     word = F.regexp_extract(m, r"^([^ .]+)", 1)
     gender = F.when(word.isin(*MALE), "given_m").when(word.isin(*FEMALE), "given_f").otherwise("given_n")
     names = F.split(bare_name(m), " ")
@@ -114,12 +134,13 @@ def parts_of(m: Column) -> Column:
 
     named = F.transform(names, lambda w, i: part(F.when(i == F.size(names) - 1, F.lit("family")).otherwise(gender), F.lower(w), w))
     canon = (
-        F.when(kind.isin("card", "ssn"), digits)
+        F.when(kind == "card", _digits(card))
+        .when(kind == "ssn", digits)
         .when(kind == "phone", _digits(F.regexp_replace(m, r"^\+[0-9]{1,3}", "")))
         .otherwise(F.lower(m))
     )
     none = F.array().cast("array<struct<kind:string,canon:string,raw:string>>")
-    return F.when(kind.isNull(), none).when(kind == "name", named).otherwise(F.array(part(kind, canon, m)))
+    return F.when(kind.isNull(), none).when(kind == "name", named).when(kind == "card", F.array(part(kind, canon, card))).otherwise(F.array(part(kind, canon, m)))
 
 
 def bare_name(m: Column) -> Column:
@@ -292,7 +313,9 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", broadcas
         made = F.transform(parts, one)
         title = F.regexp_extract(m, rf"^({ADDRESS}\.? )", 1)
         named = F.get(parts, F.lit(0))["kind"].rlike("^(given|family)")
-        return F.when(F.size(parts) == 0, m).when(named, F.concat(title, F.concat_ws(" ", made))).otherwise(F.get(made, F.lit(0)))
+        one_of = F.get(parts, F.lit(0))
+        inside = F.replace(m, one_of["raw"], F.get(made, F.lit(0)))  # a card may be a part of a run of digits
+        return F.when(F.size(parts) == 0, m).when(named, F.concat(title, F.concat_ws(" ", made))).when(one_of["kind"] == "card", inside).otherwise(F.get(made, F.lit(0)))
 
     gaps = F.split("text", ANY, -1)
     pieces = F.zip_with(gaps, F.zip_with("m", "p", whole), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))

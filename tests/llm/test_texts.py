@@ -531,3 +531,57 @@ def test_empty_tables(empty):
     assert simhash.drop_near_copies(empty).count() == 0
     assert secrets.scan_secrets(empty).count() == 0
     assert pii.replace_entities(empty, "k").count() == 0
+
+
+LEAKS = {
+    "code 123 4111 1111 1111 1111 ok": ["4111 1111 1111 1111"],
+    "pay 4111-1111-1111-1111-77 now": ["4111-1111-1111-1111"],
+    "Mrs Mary Ann Evans came": ["Mary", "Ann", "Evans"],
+    "Mr McDonald and Mr O'Neil and Ms D’Arcy-Smith": ["McDonald", "Donald", "O'Neil", "Neil", "Arcy", "Smith"],
+    "Mr. J. Smith wrote": ["J. Smith", "Smith"],
+    "MR JOHN SMITH SIGNED": ["JOHN", "SMITH"],
+    "Dr Anna Maria Luisa Weber": ["Anna", "Maria", "Luisa", "Weber"],
+    "to jose@exämple.de, please": ["jose", "exämple"],
+}
+
+
+def test_names_cards_and_addresses_that_used_to_stay(spark):
+    df = spark.createDataFrame(list(enumerate(LEAKS)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, "k").collect()}
+    for k, (text, secret) in enumerate(LEAKS.items()):
+        for s in secret:
+            assert s not in out[k], (text, out[k])
+    assert out[0].startswith("code 123 ") and out[0].endswith(" ok") and re.fullmatch(r"code 123 \d{4} \d{4} \d{4} \d{4} ok", out[0])
+    assert out[1].endswith("-77 now")
+
+
+def test_digit_runs_without_a_card_stay(spark):
+    texts = ["order 1234 5678 9012 3456 789", "pi 3141592653589793", "Mr 5 and Mr smith"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in pii.replace_entities(df, "k").orderBy("doc_id").collect()] == texts
+
+
+def test_generated_texts_hold_none_of_their_entities(spark):
+    """Property: no name, card or address of a generated text is in its result, and different ones stay different."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(4, 9))).capitalize()
+
+    def card():
+        digits = [4] + [rng.randint(0, 9) for _ in range(14)]
+        doubled = sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(digits))
+        return "".join(map(str, [*digits, -doubled % 10]))
+
+    rows, secrets_of = [], []
+    for k in range(60):
+        names = [rng.choice([word(), f"Mc{word()}", f"O'{word()}"]) for _ in range(rng.randint(1, 4))]
+        number, mail = card(), f"{word()}.{word()}@{word().lower()}.org"
+        rows.append((k, f"{rng.choice(['Mr', 'Mrs.', 'DR', 'Frau'])} {' '.join(names)} paid by {number}, ref {rng.randint(10, 99)} {number[:4]} {number[4:8]} {number[8:12]} {number[12:]}; {mail}"))
+        secrets_of.append([*names, number, number[4:12], mail, mail.split("@")[0]])
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for k, secret in enumerate(secrets_of):
+        for s in secret:
+            assert s not in out[k], (rows[k], out[k])
+    mails = [re.search(r"\S+@\S+", t)[0] for t in out.values()]
+    assert len(set(mails)) == len(mails)
+
