@@ -9,9 +9,11 @@ from pyspark.sql.window import Window
 from plumbline.functions.scalar import singular
 
 # Names of containers, which are no terms of a domain.
-GENERIC = """kwargs args options opts self data params config result results response request headers extra extras
-context ctx env environ meta info state payload obj item items value values kw d cls session
-cookie morsel record row entry attrs props settings""".split()
+GENERIC = (
+    "kwargs", "args", "options", "opts", "self", "data", "params", "config", "result", "results", "response", "request", "headers", "extra", "extras",
+    "context", "ctx", "env", "environ", "meta", "info", "state", "payload", "obj", "item", "items", "value", "values", "kw", "d", "cls", "session", "cookie",
+    "morsel", "record", "row", "entry", "attrs", "props", "settings",
+)
 
 
 def cluster_scores(members: DataFrame) -> DataFrame:

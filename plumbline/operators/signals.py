@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 # Numbers that say nothing when shared, words that are no subject of a question, and the cues of its kind in their order.
 TRIVIAL = (0, 1, 2, -1, 10, 100, 1000, 0.0, 1.0, 0.5)
-STOP = """which what where does do is the a an of for to in on sites site compute computes canonical shape exist exists already
-helper helpers reuse layer layers depend depends dependency module modules convention conventions constant value values govern governs
-entity shapes and diverge diverges how there any it its has have are with this that use used uses shared constants or across""".split()
+STOP = (
+    "which", "what", "where", "does", "do", "is", "the", "a", "an", "of", "for", "to", "in", "on", "sites", "site", "compute", "computes", "canonical",
+    "shape", "exist", "exists", "already", "helper", "helpers", "reuse", "layer", "layers", "depend", "depends", "dependency", "module", "modules",
+    "convention", "conventions", "constant", "value", "values", "govern", "governs", "entity", "shapes", "and", "diverge", "diverges", "how", "there", "any",
+    "it", "its", "has", "have", "are", "with", "this", "that", "use", "used", "uses", "shared", "constants", "or", "across",
+)
 CUES = (
     ("convention", r"\bconvention|\bconstant|\bvalue"),
     ("entity", r"\bentity|\bshape|\bcanonical"),
