@@ -45,7 +45,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.llm.texts import map_arrow, map_rows, raw
 from plumbline.operators.components import connected_components
-from plumbline.session import cut
+from plumbline.session import cut, written
 
 SEED = 42
 BLOCK = 2048
@@ -156,7 +156,7 @@ def set_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
 
 
 def shared_features(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(f, key, size, part): prefix shingles that more than one class holds; part: share of a class's prefix that is shared.
+    """(f, key, size, pos): prefix shingles that more than one class holds, each at its place in the prefix.
 
     A task gives each class once, so copies don't add up. The prefixes move
     once, by shingle; those of one class only are dropped where they arrive.
@@ -167,7 +167,7 @@ def shared_features(docs: DataFrame, words: int, similarity: float, id_col: str
         seen: set[int] = set()
 
         def work(batch: pa.RecordBatch) -> dict:
-            fs, keys, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            fs, keys, sizes, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
             for text in raw(batch.column(0)):
                 distinct = np.unique(shingle_hashes(text.lower(), words))
                 key = set_digest(distinct)
@@ -178,16 +178,15 @@ def shared_features(docs: DataFrame, words: int, similarity: float, id_col: str
                 fs.append(first)
                 keys.append(np.full(len(first), key))
                 sizes.append(np.full(len(first), len(distinct), np.int32))
-            return {"f": pa.array(np.concatenate(fs)), "key": pa.array(np.concatenate(keys)), "size": pa.array(np.concatenate(sizes))}
+                places.append(np.arange(1, len(first) + 1, dtype=np.int32))
+            return {n: pa.array(np.concatenate(x)) for n, x in (("f", fs), ("key", keys), ("size", sizes), ("pos", places))}
 
         return work
 
-    features = map_rows(docs.select(F.col(text_col).cast("string").alias("text")), make, "f long, key long, size int")
+    features = map_rows(docs.select(F.col(text_col).cast("string").alias("text")), make, "f long, key long, size int, pos int")
     near = Window.partitionBy("f")
     held = features.withColumn("low", F.min("key").over(near)).withColumn("high", F.max("key").over(near)).where("low <> high")
-    held = cut(held.select("f", "key", "size").distinct())
-    parts = held.groupBy("key").agg((F.count("*") / _prefix_length(F.first("size"), similarity)).alias("part"))
-    return cut(held.join(parts, "key").select("f", "key", "size", "part"))
+    return written(held.select("f", "key", "size", "pos").distinct())
 
 
 def _prefix_length(n: Column, similarity: float) -> Column:
@@ -198,7 +197,7 @@ def live_features(shared: DataFrame, named: DataFrame) -> DataFrame:
     """The shared features with their root, of shingles that more than one component holds."""
     live = shared.join(named.select("key", "root"), "key")
     several = live.groupBy("f").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("f")
-    return cut(live.join(several, "f", "left_semi"))
+    return written(live.join(several, "f", "left_semi"))
 
 
 def star_candidates(live: DataFrame, similarity: float) -> DataFrame:
@@ -207,6 +206,8 @@ def star_candidates(live: DataFrame, similarity: float) -> DataFrame:
     The class that shares most of its prefix is the middle of its group: what
     the others were made from. So a group of n gives n candidates.
     """
+    share = live.groupBy("key").agg((F.count("*") / _prefix_length(F.first("size"), similarity)).alias("part"))
+    live = live.join(share, "key")
     middle = live.groupBy("f").agg(F.max_by(F.struct("key", "size", "root"), F.struct("part", "key")).alias("m"))
     pairs = live.join(middle, "f").where((F.col("root") != F.col("m.root")) & _sizes_fit(F.col("size"), F.col("m.size"), similarity))
     counted = pairs.groupBy("key", F.col("m.key").alias("mid"), "root", F.col("m.root").alias("other")).count()
@@ -219,48 +220,44 @@ def _sizes_fit(n1: Column, n2: Column, similarity: float) -> Column:
     return F.least(n1, n2) >= F.lit(similarity) * F.greatest(n1, n2) - 1e-6
 
 
-def ranked_features(sets: DataFrame) -> DataFrame:
-    """(f, key, n, pos) of sets (key, shingles): shingles that two sets or more hold, numbered in each from rare to frequent.
-
-    Shingles of one set alone come first in the order and are only counted.
-    """
-    each = cut(sets.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("f")))
-    counts = each.groupBy("f").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(counts, "f")
-    own = Window.partitionBy("key")  # as many rows as the text has shingles
-    pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "f"))
-    return shared.select("f", "key", "n", pos.alias("pos"))
-
-
-def prefix_pairs(features: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(k1, k2, r1, r2): a row for each shingle on which a set of the first size meets a larger one, pairs of one root left out.
+def prefix_pairs(live: DataFrame, similarity: float) -> DataFrame:
+    """(k1, k2, n1, n2, r1, r2): a row for each shingle on which a class meets a larger one of another component.
 
     Two sets with the similarity share a shingle among the first
     n - ceil(similarity n) + 1 of the larger and the first n - ceil(2 similarity / (1 + similarity) n) + 1
-    of the smaller, in an order from rare to frequent. At the first shared
-    one, what follows it in either set must still allow the overlap. So sets
-    with many shingles of their own meet nothing, however many resemble each other less.
+    of the smaller, in the one order of all prefixes. At the first shared
+    one, what follows it in either set must still allow the overlap. Shingles
+    of few texts come first, so sets with many of their own meet nothing,
+    however many others resemble them less.
     """
     least = 2 * similarity / (1 + similarity)
-    kept = cut(features.where(F.col("pos") <= _prefix_length(F.col("n"), similarity)).join(roots, "key"))
-    side = lambda i, df: df.select("f", *(F.col(c).alias(f"{c}{i}") for c in ("key", "root", "n", "pos")))
-    small = side(1, kept.where(F.col("pos") <= _prefix_length(F.col("n"), least)))
-    order = F.struct("n1", "key1") < F.struct("n2", "key2")
-    needed = F.lit(similarity / (1 + similarity)) * (F.col("n1") + F.col("n2")) - 1e-6
+    side = lambda i, df: df.select("f", *(F.col(c).alias(f"{x}{i}") for c, x in (("key", "k"), ("root", "r"), ("size", "n"), ("pos", "pos"))))
+    small = side(1, live.where(F.col("pos") <= _prefix_length(F.col("size"), least)))
+    order = F.struct("n1", "k1") < F.struct("n2", "k2")
     room = 1 + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    fits = order & (F.col("root1") != F.col("root2")) & _sizes_fit(F.col("n1"), F.col("n2"), similarity) & (room >= needed)
-    met = small.join(side(2, kept), "f").where(fits)
-    return met.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.col("root1").alias("r1"), F.col("root2").alias("r2"))
+    fits = order & (F.col("r1") != F.col("r2")) & _sizes_fit(F.col("n1"), F.col("n2"), similarity) & (room >= _needed(similarity))
+    return small.join(side(2, live), "f").where(fits).select("k1", "k2", "n1", "n2", "r1", "r2")
+
+
+def _needed(similarity: float) -> Column:
+    """Shared shingles that sets of n1 and n2 need."""
+    return F.lit(similarity / (1 + similarity)) * (F.col("n1") + F.col("n2")) - 1e-6
 
 
-def prefix_candidates(live: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst, r1, r2) of all live classes in different components that may have the similarity, at any distance.
+def prefix_candidates(live: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst, r1, r2) of all classes in different components that may have the similarity, at any distance.
 
-    Similar classes share a shingle of their prefixes and so are live. Only these
-    are compared, by prefixes in the order of their own frequencies.
+    Shared shingles before the nearer end of the two prefixes lie in both
+    prefixes, the others behind one prefix. So the shared ones of the prefixes
+    and the longer rest bound the whole number of shared shingles.
     """
-    pairs = prefix_pairs(ranked_features(sets), live.select("key", "root").distinct(), similarity).distinct()
-    return pairs.select(F.col("k1").alias("src"), F.col("k2").alias("dst"), F.least("r1", "r2").alias("r1"), F.greatest("r1", "r2").alias("r2"))
+    met = written(prefix_pairs(live, similarity).distinct())
+    features = live.select("f", "key")
+    one = met.join(features.withColumnRenamed("key", "k1"), "k1")
+    both = one.join(features.withColumnRenamed("key", "k2"), ["k2", "f"]).groupBy(*met.columns).count()
+    rest = F.greatest(*(F.col(n) - _prefix_length(F.col(n), similarity) for n in ("n1", "n2")))
+    kept = both.where(F.col("count") + rest >= _needed(similarity))
+    return kept.select(F.col("k1").alias("src"), F.col("k2").alias("dst"), F.least("r1", "r2").alias("r1"), F.greatest("r1", "r2").alias("r2"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -457,11 +454,11 @@ def sets_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id
     Only their texts are read for it; the ids are broadcast up to
     `broadcast_rows` and joined by shuffle beyond.
     """
-    needed = cut(classes.join(ends.distinct(), "key").select("key", F.col("low").alias("doc_id")))
+    needed = written(classes.join(ends.distinct(), "key").select("key", F.col("low").alias("doc_id")))
     ids = needed.select("doc_id").distinct()
     texts = _texts(docs, id_col, text_col)
     sets = shingle_sets(texts.join(F.broadcast(ids) if needed.count() <= broadcast_rows else ids, "doc_id", "left_semi"), words)
-    return cut(sets.join(needed, ["key", "doc_id"]).groupBy("key").agg(F.first("shingles").alias("shingles")))
+    return written(sets.join(needed, ["key", "doc_id"]).groupBy("key").agg(F.first("shingles").alias("shingles")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -486,8 +483,8 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     any radius. Null and empty texts are one class.
     """
     named_docs = docs.where(F.col(id_col).isNotNull())
-    rows = cut(set_prints(named_docs, words, id_col, text_col))
-    classes = cut(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low"), F.max("size").alias("size")))
+    rows = written(set_prints(named_docs, words, id_col, text_col))
+    classes = written(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low"), F.max("size").alias("size")))
     named = classes.withColumn("root", F.col("key"))
 
     def joined(named: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -499,7 +496,7 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         good = verified(candidates, sets_of(ends, classes, named_docs, words, id_col, text_col), similarity)
         moved = connected_components(good, "r1", "r2")
         found = named.join(moved, named["root"] == moved["node"], "left")
-        return cut(found.select("key", "fp", "low", "size", F.coalesce("component", "root").alias("root")))
+        return written(found.select("key", "fp", "low", "size", F.coalesce("component", "root").alias("root")))
 
     shared = shared_features(named_docs, words, similarity, id_col, text_col)
     for own in (True, False):
@@ -511,11 +508,8 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         links = links.groupBy(F.least("r1", "r2").alias("r1"), F.greatest("r1", "r2").alias("r2")).agg(one).select("e.src", "e.dst", "r1", "r2")
         named = joined(named, links)
         live = live_features(shared, named)
-        if own and not live.isEmpty():
-            named = joined(named, star_candidates(live, similarity))
-        elif not live.isEmpty():
-            sets = sets_of(live.select("key"), classes, named_docs, words, id_col, text_col)
-            named = joined(named, prefix_candidates(live, sets, similarity))
+        if not live.isEmpty():
+            named = joined(named, star_candidates(live, similarity) if own else prefix_candidates(live, similarity))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(lows, "root").select("key", "component_id")
     return rows.join(ids, "key").select("doc_id", "component_id")
