@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut, ship
+from plumbline.session import ship, written
 
 LEAST_TOKENS = 12
 # The words of an identifier, and the labels in body_tokens.
@@ -220,19 +220,37 @@ def file_facts(module: str, text: str | None, segments: bool = False) -> Iterato
                 yield "surface", f"{module}.{name}", data
 
 
+#: Facts, and characters of their details, that go to Spark together.
+FRAME_ROWS, FRAME_CHARS = 20_000, 4_000_000
+COLUMNS = ["state", "path", "module", "kind", "name", "data"]
+
+
+def frames(batches: Iterator[pd.DataFrame], segments: bool = False) -> Iterator[pd.DataFrame]:
+    """Facts of files (state, path, module, text), many files to a frame: a frame for each would cost more than the parse."""
+    rows: list[tuple] = []
+    chars = 0
+    for pdf in batches:
+        for state, path, module, text in pdf.itertuples(index=False):
+            for kind, name, data in file_facts(module, text, segments):
+                rows.append((state, path, module, kind, name, json.dumps(data)))
+                chars += len(rows[-1][-1])
+            if len(rows) >= FRAME_ROWS or chars >= FRAME_CHARS:
+                yield pd.DataFrame(rows, columns=COLUMNS)
+                rows, chars = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=COLUMNS)
+
+
 def extract(files: DataFrame, segments: bool = False) -> DataFrame:
     """All facts of (state, path, module, text), written once; see `view` for typed tables."""
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(10_000)
-        for pdf in batches:
-            for state, path, module, text in pdf.itertuples(index=False):
-                rows = [(state, path, module, kind, name, json.dumps(data)) for kind, name, data in file_facts(module, text, segments)]
-                yield pd.DataFrame(rows, columns=["state", "path", "module", "kind", "name", "data"])
+        yield from frames(batches, segments)
 
-    schema = "state string, path string, module string, kind string, name string, data string"
-    return cut(files.select("state", "path", "module", "text").mapInPandas(run, schema))
+    schema = ", ".join(f"{c} string" for c in COLUMNS)
+    return written(files.select("state", "path", "module", "text").mapInPandas(run, schema))
 
 
 def view(facts: DataFrame, kind: str) -> DataFrame:

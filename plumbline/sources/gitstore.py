@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from plumbline.session import cut, ship
+from plumbline.session import cut, ship, written
 from plumbline.sources import facts as source_facts
+from plumbline.sources import rewrite
 from plumbline.sources.files import SKIPPED, Refused
 
 #: Stands for the module of a file while its content is parsed for all its places.
@@ -171,6 +172,16 @@ def facts_by_content(files: DataFrame, contents: DataFrame, segments: bool = Fal
     return placed.where(shown).select("state", "path", "module", "kind", name.alias("name"), "data")
 
 
+def stripped_by_content(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files (..., blob, stripped), contents (blob, text)) of files (..., text) after `rewrite.without_type_checking`.
+
+    Each distinct text is stripped once, and is one row of contents.
+    """
+    keyed = files.withColumn("blob", F.md5(F.coalesce("text", F.lit(""))))
+    contents = written(rewrite.without_type_checking(keyed.groupBy("blob").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))))
+    return keyed.drop("text").join(contents.select("blob", "stripped"), "blob"), contents.select("blob", "text")
+
+
 def history_facts(shas: DataFrame, repo: str, subdir: str = "") -> DataFrame:
     """Facts of the Python files of many commits (sha), as `facts.extract` gives them; state is the commit."""
     files = cut(listing(shas, repo, subdir)).withColumnRenamed("sha", "state")

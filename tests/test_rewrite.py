@@ -2,10 +2,11 @@
 
 import json
 
+import pandas as pd
 import pytest
 
 from plumbline.plans import govern, measure
-from plumbline.sources import facts, files, rewrite
+from plumbline.sources import facts, files, gitstore, rewrite
 
 RETURNS = {
     "a literal": ("def build(a):\n    return {'x': 1, 'y': {'z': 2}}", ["x", "y"]),
@@ -127,3 +128,23 @@ def test_answers_by_kind(spark):
     live = make([("use money", None), ("old", "r2")], "name string, superseded_by string")
     rows = govern.answer_by_kind(model, "parse a date", live).collect()
     assert sorted((r["label"], r["name"]) for r in rows) == [("OBSERVED", "m.parse_date"), ("RATIFIED", "use money")]
+
+
+def test_many_small_files_share_frames():
+    pdf = pd.DataFrame([(str(k), "p", f"m{k}", "import a\n") for k in range(3_000)], columns=["state", "path", "module", "text"])
+    made = list(facts.frames(iter([pdf, pdf])))
+    assert len(made) == 1
+    assert len(made[0]) == 12_000
+    long = pdf.head(3).assign(text="x = '" + "y" * facts.FRAME_CHARS + "'\n")
+    assert [len(m) for m in facts.frames(iter([long]))] == [2, 2, 2]
+
+
+def test_each_content_is_stripped_once(spark):
+    rows = [(str(k % 3), f"o{k}.py", None if k % 5 == 4 else "if TYPE_CHECKING:\n    import b\n" if k % 2 else "import a\n") for k in range(60)]
+    made = spark.createDataFrame(rows, "state string, path string, text string")
+    placed, contents = gitstore.stripped_by_content(made)
+    assert sorted(r["text"] for r in contents.collect()) == ["", "import a\n", "pass\n\n"]
+    got = {r["path"]: r["stripped"] for r in placed.collect()}
+    plain = {r["path"]: r["stripped"] for r in rewrite.without_type_checking(made).collect()}
+    assert got == plain
+    assert len(got) == 60
