@@ -55,12 +55,21 @@ def locality(a_module, b_module, a_package, b_package):
 def cluster_cochange(members: DataFrame, touches: DataFrame) -> DataFrame:
     """(cluster, n_pairs, max_jaccard, mean_jaccard) over the member pairs of clusters (cluster, item).
 
-    Member pairs that never met count with similarity 0.
+    Member pairs that never met count with similarity 0: they are counted, not
+    listed. Baskets are split by cluster before their pairs are formed, so pairs
+    across clusters aren't formed either.
     """
-    m = members.select("cluster", "item").distinct()
-    pairs = m.select("cluster", F.col("item").alias("a")).join(m.select("cluster", F.col("item").alias("b")), "cluster").where("a < b")
-    scored = pairs.join(pair_counts(touches).select("a", "b", "jaccard"), ["a", "b"], "left").na.fill(0.0, ["jaccard"])
-    return scored.groupBy("cluster").agg(F.count("*").alias("n_pairs"), F.max("jaccard").alias("max_jaccard"), F.avg("jaccard").alias("mean_jaccard"))
+    m = members.select("cluster", "item").where("cluster is not null and item is not null").distinct()
+    t = touches.select("basket", "item").where("basket is not null and item is not null").repartition("basket").distinct()
+    sized = m.join(t.groupBy("item").agg(F.count("*").alias("n")), "item")
+    own = t.join(sized, "item").repartition("basket", "cluster")
+    side = lambda s: own.select("basket", "cluster", F.col("item").alias(s), F.col("n").alias(f"n{s}"))
+    met = side("a").join(side("b"), ["basket", "cluster"]).where("a < b").groupBy("cluster", "a", "b", "na", "nb").agg(F.count("*").alias("co"))
+    score = ratio(F.col("co"), F.col("na") + F.col("nb") - F.col("co"))
+    some = met.groupBy("cluster").agg(F.max(score).alias("top"), F.sum(score).alias("whole"))
+    sizes = m.groupBy("cluster").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("n_pairs")).where("n_pairs > 0")
+    both = sizes.join(some, "cluster", "left").na.fill(0.0, ["top", "whole"])
+    return both.select("cluster", "n_pairs", F.col("top").alias("max_jaccard"), (F.col("whole") / F.col("n_pairs")).alias("mean_jaccard"))
 
 
 def shared_kernel(uses: DataFrame, least_consumers: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar
-from plumbline.operators import apidiff, budget, calibrate, compare, graph, history, ledger, model, similarity, stats
+from plumbline.operators import apidiff, budget, calibrate, cochange, compare, graph, history, ledger, model, similarity, stats
 from plumbline.operators.components import connected_components
 from plumbline.plans import measure, queries
 from plumbline.sources import facts, files
@@ -424,3 +424,13 @@ def test_body_tokens_of_contexts_and_calls():
         "Assign NAME Store CALL CALLEE_h NAME Load keyword CONST_int "
         "Return CALL Call CALL CALLEE_n NAME Load NAME Load CONST_int"
     ).split()
+
+
+def test_member_pairs_that_never_met_are_counted_not_listed(spark):
+    n = 100_000  # 5 thousand million pairs
+    members = spark.range(n).selectExpr("0 AS cluster", "id AS item").union(spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 3), (2, 5), (None, 1), (None, 2)], "cluster int, item long"))
+    touches = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (2, 2), (2, None), (3, 1), (3, 5), (4, 200_000), (None, 1), (None, 3)], "basket int, item long")
+    got = sorted(map(tuple, cochange.cluster_cochange(members, touches).collect()))
+    assert [g[:3] for g in got] == [(0, n * (n - 1) // 2, 2 / 3), (1, 3, 2 / 3)]
+    assert got[0][3] == pytest.approx((2 / 3 + 1 / 3) / (n * (n - 1) / 2))
+    assert got[1][3] == pytest.approx(2 / 9)
