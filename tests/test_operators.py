@@ -434,3 +434,34 @@ def test_member_pairs_that_never_met_are_counted_not_listed(spark):
     assert [g[:3] for g in got] == [(0, n * (n - 1) // 2, 2 / 3), (1, 3, 2 / 3)]
     assert got[0][3] == pytest.approx((2 / 3 + 1 / 3) / (n * (n - 1) / 2))
     assert got[1][3] == pytest.approx(2 / 9)
+
+
+def test_collisions_do_not_form_pairs_over_a_common_feature(spark):
+    n = 60_000  # 3,600 million pairs share the feature 0
+    side = lambda base: spark.range(n).select((F.col("id") + base).alias("id"), F.array(F.lit(0), F.col("id") * 9 + base + 1, F.col("id") * 9 + base + 2).cast("array<bigint>").alias("s"), F.lit(3).alias("n"))
+    same = lambda k: spark.createDataFrame([(k, [0, -1, -2], 3)], "id long, s array<bigint>, n int")
+    found = similarity.change_collisions(side(10_000_000).union(same(1)), side(20_000_000).union(same(2)))
+    assert rows(found) == [(2, 1, 1.0)]
+
+
+def test_whole_sets_are_never_written(spark, monkeypatch):
+    kept = []
+    put = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df: kept.append(df.columns) or put(df))
+    monkeypatch.setattr(similarity, "cut", None)
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words), "x"), (2, " ".join(words), "y"), (3, " ".join(words[:-1]), "z"), (4, "few words", "x")], "doc_id long, text string, source string")
+    sets = similarity.document_sets(docs, also="source")
+    assert rows(sets.select("id", "copies", "n", "source")) == [(1, 2, 36, "x"), (3, 1, 35, "z")]
+    assert rows(similarity.similar_pairs(sets)) == [(1, 3, 35, 36, 35 / 36)]
+    assert kept
+    assert not any("s" in columns for columns in kept)
+
+
+def test_grams_are_distinct_runs():
+    a, b = [1, 2, 3, 1, 2, 3, 1], [2, 3, 1]
+    assert len(similarity.grams(a, 3)) == 3
+    assert set(similarity.grams(b, 3)) <= set(similarity.grams(a, 3))
+    assert len(similarity.grams([1, 2], 3)) == 1
+    assert len(similarity.grams([], 3)) == 0
+    assert set(similarity.grams([1, 2], 2)).isdisjoint(similarity.grams([2, 1], 2))
