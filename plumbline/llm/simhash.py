@@ -52,6 +52,10 @@ BLOCK = 2048
 MOST_BLOCK = 1 << 17
 GRID = 512
 SIZE_STEP, SIZE_BASE = 1.25, 128
+#: Links of a tile pair that are held before they are cut down to a forest (about 150 bytes each while that is done).
+HELD = 1 << 17
+#: So many shingles before a shared one are looked at for an earlier meeting of two sets.
+MEETINGS = 8
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -220,23 +224,42 @@ def _sizes_fit(n1: Column, n2: Column, similarity: float) -> Column:
     return F.least(n1, n2) >= F.lit(similarity) * F.greatest(n1, n2) - 1e-6
 
 
+def folded(live: DataFrame, back: int = MEETINGS) -> DataFrame:
+    """The live features without those that the same classes hold as an earlier one, each with the `back` before it.
+
+    All prefixes are in one order, so the first of the shingles that a set of
+    classes holds comes first in each of them, and so does the first that two
+    classes share: every pair that meets still does. A set of classes is known
+    by its number and two sums of hashes.
+    """
+    held = (F.count("*"), F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64("key", F.lit(SEED))))
+    holders = live.groupBy("f").agg(*(c.alias(f"h{i}") for i, c in enumerate(held)), F.min_by("pos", "key").alias("place"))
+    first = holders.groupBy("h0", "h1", "h2").agg(F.min_by("f", "place").alias("f")).select("f")
+    before = F.collect_list("f").over(Window.partitionBy("key").orderBy("pos").rowsBetween(-back, -1))
+    return live.join(first, "f", "left_semi").withColumn("before", before)
+
+
 def prefix_pairs(live: DataFrame, similarity: float) -> DataFrame:
-    """(k1, k2, n1, n2, r1, r2): a row for each shingle on which a class meets a larger one of another component.
+    """(k1, k2, n1, n2, r1, r2): a row for a shingle on which a class meets a larger one of another component.
 
     Two sets with the similarity share a shingle among the first
     n - ceil(similarity n) + 1 of the larger and the first n - ceil(2 similarity / (1 + similarity) n) + 1
     of the smaller, in the one order of all prefixes. At the first shared
     one, what follows it in either set must still allow the overlap. Shingles
     of few texts come first, so sets with many of their own meet nothing,
-    however many others resemble them less.
+    however many others resemble them less. What two sets share after their
+    first meeting gives no more rows where one of the last few shingles of both
+    shows that they have met.
     """
     least = 2 * similarity / (1 + similarity)
-    side = lambda i, df: df.select("f", *(F.col(c).alias(f"{x}{i}") for c, x in (("key", "k"), ("root", "r"), ("size", "n"), ("pos", "pos"))))
+    live = written(folded(live))
+    side = lambda i, df: df.select("f", *(F.col(c).alias(f"{x}{i}") for c, x in (("key", "k"), ("root", "r"), ("size", "n"), ("pos", "pos"), ("before", "before"))))
     small = side(1, live.where(F.col("pos") <= _prefix_length(F.col("size"), least)))
     order = F.struct("n1", "k1") < F.struct("n2", "k2")
     room = 1 + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
     fits = order & (F.col("r1") != F.col("r2")) & _sizes_fit(F.col("n1"), F.col("n2"), similarity) & (room >= _needed(similarity))
-    return small.join(side(2, live), "f").where(fits).select("k1", "k2", "n1", "n2", "r1", "r2")
+    first = ~F.arrays_overlap("before1", "before2")
+    return small.join(side(2, live), "f").where(fits & first).select("k1", "k2", "n1", "n2", "r1", "r2")
 
 
 def _needed(similarity: float) -> Column:
@@ -249,14 +272,16 @@ def prefix_candidates(live: DataFrame, similarity: float) -> DataFrame:
 
     Shared shingles before the nearer end of the two prefixes lie in both
     prefixes, the others behind one prefix. So the shared ones of the prefixes
-    and the longer rest bound the whole number of shared shingles.
+    and the longer rest bound the whole number of shared shingles. A pair is one
+    row with the two prefixes, whatever they share.
     """
     met = written(prefix_pairs(live, similarity).distinct())
-    features = live.select("f", "key")
-    one = met.join(features.withColumnRenamed("key", "k1"), "k1")
-    both = one.join(features.withColumnRenamed("key", "k2"), ["k2", "f"]).groupBy(*met.columns).count()
+    ends = met.select(F.explode(F.array("k1", "k2")).alias("key")).distinct()
+    held = written(live.join(ends, "key", "left_semi").groupBy("key").agg(F.collect_list("f").alias("fs")))
+    one = met.join(held.select(F.col("key").alias("k1"), F.col("fs").alias("fs1")), "k1")
+    both = one.join(held.select(F.col("key").alias("k2"), F.col("fs").alias("fs2")), "k2")
     rest = F.greatest(*(F.col(n) - _prefix_length(F.col(n), similarity) for n in ("n1", "n2")))
-    kept = both.where(F.col("count") + rest >= _needed(similarity))
+    kept = both.where(F.size(F.array_intersect("fs1", "fs2")) + rest >= _needed(similarity))
     return kept.select(F.col("k1").alias("src"), F.col("k2").alias("dst"), F.least("r1", "r2").alias("r1"), F.greatest("r1", "r2").alias("r2"))
 
 
@@ -378,7 +403,7 @@ def tile_links(x: dict, y: dict, same: bool, radius: int, ratio: float = 0.0) ->
         for kept, new in zip(got, (u[apart], v[apart] + base, d[apart]), strict=True):
             kept.append(new)
         held += int(apart.sum())
-        if held > 1 << 20:
+        if held > HELD:
             got = [[z] for z in forest(*map(np.concatenate, got), label)]
             held = len(got[0][0])
     u, v, _ = forest(*map(np.concatenate, got), label)
