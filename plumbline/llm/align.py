@@ -306,8 +306,7 @@ def form_of(shape: Column) -> Column:
             first_a, first_b = F.coalesce(_a_of(before) + 1, F.lit(0)), F.coalesce(_b_of(before) + 1, F.lit(0))
             return F.concat(F.array(n_a + n_b + 1), F.sequence(first_a, _a_of(t)), F.array(n_a + n_b), F.sequence(n_a + first_b, n_a + _b_of(t)))
 
-        order = F.flatten(F.transform(x["lasts"], group))
-        return F.struct(x["links"].alias("links"), order.alias("order"), F.size(F.array_intersect(shape["ae"], shape["be"])).alias("n_groups"))
+        return F.struct(x["links"].alias("links"), F.flatten(F.transform(x["lasts"], group)).alias("order"))
 
     return F.transform(F.transform(F.transform(F.array(tagged_ends(shape)), parts), split), ordered)[0]
 
@@ -321,12 +320,14 @@ def _b_of(link: Column) -> Column:
 
 
 def piece_of(p: Column, forms: Column) -> Column:
-    """A piece's links, as pairs of ids in one long, and its ids with the marks in the order of its groups."""
+    """A piece's links, as pairs of ids in one long, and its groups written out."""
     form = F.get(forms, p["shape"])
     links = F.transform(form["links"], lambda x: F.shiftleft(F.get(p["a"], _a_of(x)).cast("long"), 32) + F.get(p["b"], _b_of(x)))
     pool = F.array(F.concat(p["a"], p["b"], F.array(F.lit(SIDES), F.lit(GROUPS))))
     order = F.transform(pool, lambda c: F.transform(form["order"], lambda k: F.get(c, k)))[0]
-    return F.struct(links.alias("links"), order.alias("order"), form["n_groups"].cast("long").alias("n_groups"))
+    joined = F.array_join(order.cast("array<string>"), ",")
+    text = F.replace(F.replace(F.substring(joined, len(str(GROUPS)) + 2, LOW), F.lit(f",{SIDES},"), F.lit("|")), F.lit(f",{GROUPS},"), F.lit(";"))
+    return F.struct(links.alias("links"), text.alias("groups"))
 
 
 def aligned(units: DataFrame, id_cols: list[str]) -> DataFrame:
@@ -334,21 +335,20 @@ def aligned(units: DataFrame, id_cols: list[str]) -> DataFrame:
     forms = units.withColumn("forms", F.transform("shapes", form_of))
     made = forms.withColumn("made", F.transform("pieces", lambda p: piece_of(p, F.col("forms"))))
 
-    # Only the look-up stays inside the unit's row; what follows works on a text's own row.
+    # Only the look-up, one for each place of a piece, stays inside the unit's row; what follows works on a text's own row.
     def one(d: Column) -> Column:
-        found = lambda name: F.transform(d["pieces"], lambda k: F.get(F.col("made"), k)[name]).alias(name)
-        return F.struct(*(d[c].alias(c) for c in id_cols), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), found("n_groups"), found("links"), found("order"))
+        found = F.transform(d["pieces"], lambda k: F.get(F.col("made"), k)).alias("found")
+        return F.struct(*(d[c].alias(c) for c in id_cols), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), found)
 
     rows = made.select(F.explode(F.transform("docs", one)).alias("d")).select("d.*")
-    joined = F.array_join(F.flatten("order").cast("array<string>"), ",")
-    text = F.replace(F.replace(F.substring(joined, len(str(GROUPS)) + 2, LOW), F.lit(f",{SIDES},"), F.lit("|")), F.lit(f",{GROUPS},"), F.lit(";"))
+    rows = rows.select(*id_cols, "n_a", "n_b", F.col("found.groups").alias("groups"), F.flatten("found.links").alias("links"))
     return rows.select(
         *id_cols,
         "n_a",
         "n_b",
-        F.aggregate("n_groups", F.lit(0).cast("long"), lambda s, n: s + n).alias("n_groups"),
-        F.when(F.size("order") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"),
-        F.flatten("links").alias("links"),
+        (F.col("n_a") + F.col("n_b") - F.size("links")).alias("n_groups"),
+        F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256"),
+        "links",
     )
 
 

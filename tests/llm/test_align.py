@@ -100,3 +100,16 @@ def test_kept_links_are_the_counted_ones(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = align.align(docs, keep_links=True)
     assert out.where(F.size("links") != F.col("n_links")).count() == 0
+
+
+def test_groups_are_written_once_a_piece(spark):
+    """Each distinct piece of a unit has its groups as text, however often texts hold it."""
+    docs = spark.createDataFrame([(i, "shared words " * 50) for i in range(4)], "doc_id long, text string").coalesce(1)
+    units = align.tokenised(docs, ["doc_id"], "text", public_tokenizers.path(align.BYTE_BPE), public_tokenizers.path(align.PIECE_BPE))
+    forms = units.withColumn("forms", F.transform("shapes", align.form_of))
+    made = forms.select(F.transform("pieces", lambda p: align.piece_of(p, F.col("forms"))).alias("m")).selectExpr("explode(m) AS m").select("m.*").collect()
+    assert len(made) == 3  # shared, words, and the last with its space
+    for r in made:
+        groups = [[x.split(",") for x in g.split("|")] for g in r["groups"].split(";")]
+        assert all(len(g) == 2 and all(int(i) >= 0 for x in g for i in x) for g in groups)
+        assert len(r["links"]) == sum(len(x) for g in groups for x in g) - len(groups)
