@@ -114,7 +114,7 @@ def dup_document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {EVERY_SQL}, {CLUSTERS_SQL} SELECT s.id AS doc_id, s.class, m.cluster FROM sets s LEFT JOIN members m ON s.id = m.id")
 def dup_document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _docs(spark, sf_dir)
-    found = similarity.document_clusters(sets, similarity.similar_pairs(sets)).select("class", "cluster")
+    found = similarity.document_clusters(sets, similarity.similar_links(sets)).select("class", "cluster")
     return similarity.document_members(table(spark, sf_dir, "documents")).join(found, "class", "left").select("doc_id", "class", "cluster")
 
 

@@ -104,3 +104,29 @@ def test_repeated_texts_by_either_way(spark, monkeypatch):
     twice = spark.createDataFrame([(5, text), (5, text), (None, text + " a"), (None, text + " a")], "doc_id long, text string")
     monkeypatch.undo()
     assert sorted(map(str, rows(similarity.document_sets(twice).select(F.coalesce("id", F.lit(-1)), "copies")))) == ["(-1, 2)", "(5, 2)"]
+
+
+def test_links_join_what_pairs_join(spark):
+    n = 400
+    df = similarity.document_sets(spark.createDataFrame(list(enumerate(near_copies(n))), "doc_id long, text string"))
+    links = similarity.similar_links(df)
+    assert links.count() == n - 1  # one tile
+    assert rows(similarity.clusters(df, links)) == [(i, 0) for i in range(n)]
+
+
+#: What each gives for the group of 400 near copies and 20 other texts.
+GROUPED = {
+    "dup_document_clusters": lambda got: [r[2] for r in got] == [0] * 400 + [None] * 20,
+}
+
+
+@pytest.mark.parametrize("name", sorted(GROUPED))
+def test_clusters_take_links_not_all_pairs(spark, monkeypatch, tmp_path, name):
+    from plumbline.plans import queries
+
+    spark.createDataFrame(list(enumerate(near_copies(400))), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    edges, find = [], similarity.connected_components
+    monkeypatch.setattr(similarity, "connected_components", lambda df, *ends: edges.append(df.count()) or find(df, *ends))
+    got = rows(queries.QUERIES[name](spark, str(tmp_path)))
+    assert GROUPED[name](got)
+    assert edges == [399]
