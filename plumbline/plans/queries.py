@@ -62,7 +62,7 @@ def dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {SETS_SQL}, {CLUSTERS_SQL} SELECT id, cluster FROM members")
 def dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _docs(spark, sf_dir)
-    return similarity.clusters(sets, similarity.similar_pairs(sets))
+    return similarity.clusters(sets, similarity.similar_links(sets))
 
 
 @query(
