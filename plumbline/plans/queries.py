@@ -73,7 +73,7 @@ def dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dup_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _docs(spark, sf_dir)
-    return similarity.snapshot(sets, similarity.similar_pairs(sets))
+    return similarity.snapshot(sets, similarity.similar_links(sets))
 
 
 @query(
