@@ -126,7 +126,7 @@ def dup_document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dup_document_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _docs(spark, sf_dir)
-    return similarity.document_snapshot(sets, similarity.similar_pairs(sets))
+    return similarity.document_snapshot(sets, similarity.similar_links(sets))
 
 
 @query(

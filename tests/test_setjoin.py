@@ -119,6 +119,7 @@ GROUPED = {
     "dup_document_clusters": lambda got: [r[2] for r in got] == [0] * 400 + [None] * 20,
     "dup_clusters": lambda got: got == [(i, 0) for i in range(400)],
     "dup_snapshot": lambda got: got == [(420, 1, 400, 400 / 420)],
+    "dup_document_snapshot": lambda got: got == [(420, 1, 400, 400 / 420)],
 }
 
 
