@@ -133,3 +133,28 @@ def test_clusters_take_links_not_all_pairs(spark, monkeypatch, tmp_path, name):
     got = rows(queries.QUERIES[name](spark, str(tmp_path)))
     assert GROUPED[name](got)
     assert edges == [399]
+
+
+#: Pairs at thresholds from 0.20 on in the group of 400 near copies; documents are counted with their copies.
+SWEPT = {
+    "dup_threshold_sweep": 400 * 399 // 2,
+}
+
+
+@pytest.mark.parametrize("name", sorted(SWEPT))
+def test_sweeps_write_no_pairs(spark, monkeypatch, tmp_path, name):
+    from plumbline.plans import queries
+
+    texts = near_copies(400)
+    spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept, put = [], similarity.written
+
+    def counted(one):
+        out = put(one)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "written", counted)
+    got = rows(queries.QUERIES[name](spark, str(tmp_path)))
+    assert len(got) == 13 and got[0] == (0.2, SWEPT[name])
+    assert max(kept) < SWEPT[name] / 4
