@@ -138,6 +138,7 @@ def test_clusters_take_links_not_all_pairs(spark, monkeypatch, tmp_path, name):
 #: Pairs at thresholds from 0.20 on in the group of 400 near copies; documents are counted with their copies.
 SWEPT = {
     "dup_threshold_sweep": 400 * 399 // 2,
+    "dup_document_sweep": 401 * 400 // 2,
 }
 
 
