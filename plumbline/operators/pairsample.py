@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.scalar import ratio
 from plumbline.operators import calibrate, history, similarity
-from plumbline.session import cut
+from plumbline.session import cut, written
 
 #: Below this share of accepted draws the complement is no larger than what was joined, and is listed instead.
 LEAST_SHARE = 1 / 64
@@ -93,7 +93,7 @@ def complement(members: DataFrame, sets: DataFrame, total: int) -> DataFrame:
 
 def running(rows: DataFrame, order: list[str], value: str) -> DataFrame:
     """rows with `upto`, the sum of `value` over the rows before in the order, by ranges and their sums."""
-    spread = cut(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    spread = written(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     sums = spread.groupBy("__p").agg(F.sum(value).alias("__s"))
     before = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__before"))  # a row for each range
     inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -140,7 +140,7 @@ def pair_sample(members: DataFrame, sets: DataFrame, n: int, seed: int = 0) -> D
     numbered = cut(history.numbered(members.select("id", "class"), "id"))
     total = numbered.count()
     joined = similarity.class_pairs(sets, similarity.similar_pairs(sets, calibrate.BANDS[1])).withColumn("band", calibrate.band(F.col("jaccard")))
-    joined = cut(joined.select("a", "b", "n_pairs", "jaccard", "band"))
+    joined = written(joined.select("a", "b", "n_pairs", "jaccard", "band"))
     sizes = band_sizes(total, joined) if total > 1 else {}
     out = None
     for band, quota in quotas(n, sizes).items():
@@ -155,7 +155,7 @@ def pair_sample(members: DataFrame, sets: DataFrame, n: int, seed: int = 0) -> D
         elif sizes[band] <= quota:
             part = all_of(joined, numbered, band)
         else:
-            summed = cut(running(joined.where(F.col("band") == band), ["a", "b"], "n_pairs"))
+            summed = written(running(joined.where(F.col("band") == band), ["a", "b"], "n_pairs"))
             part = _until(lambda m, b=band, s=summed, q=sizes[band]: joined_draws(s, numbered, b, q, m, seed), quota)
         out = part if out is None else out.unionByName(part)
     if out is None:

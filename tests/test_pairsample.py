@@ -81,3 +81,11 @@ def test_small_complement_is_listed(spark):
 def test_too_few_items(spark):
     members, sets = table_of(spark, [(1, 1, ["a"])])
     assert pairsample.pair_sample(members, sets, 10).collect() == []
+
+
+def test_pairs_are_kept_as_columns(spark, groups, monkeypatch):
+    members, sets = table_of(spark, groups)
+    kept, cut = [], pairsample.cut
+    monkeypatch.setattr(pairsample, "cut", lambda df: kept.append(df.columns) or cut(df))
+    assert pairsample.pair_sample(members, sets, 40).count()
+    assert kept and not any("n_pairs" in columns for columns in kept)
