@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bits of a place, of them those that name its bucket; features that a task counts at once; bytes of text at once.
 PLACE, BUCKET, CHUNK, SLICE = 40, 10, 2_000_000, 2_000_000
+#: Features of a batch that are worked on at once.
+PIECE = 400_000
 #: Features are ranked as rare by how many of these numbers of sets they reach.
 STEPS = (2, 4, 8, 16, 64, 256, 1024, 4096)
 #: Bits of a map for each feature in it, and most bits of the first map and of the others (powers of 2).
@@ -121,6 +123,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values.to_numpy(), owner
 
 
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most PIECE features in `s`, or of one set."""
+    for batch in batches:
+        size, low = np.cumsum(pc.list_value_length(batch.column("s")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while low < len(size):
+            high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + PIECE, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def truth(column: pa.Array) -> np.ndarray:
     return column.fill_null(False).to_numpy(zero_copy_only=False)
 
@@ -164,7 +176,7 @@ def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "new", "places", "many", "times"])
 
-    for batch in batches:
+    for batch in pieces(batches):
         values, owner = flat(batch.column("s"))
         at, new = places(values), truth(batch.column("new"))[owner]
         for side in (0, 1):
@@ -235,7 +247,7 @@ def keep(least: float, maps):
     """Of sets (id, n, new, s): those whose features, rare ones first, can be common enough, and how many are the prefix."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             values, owner = flat(batch.column("s"))
             rank = rarity(values, maps.value)
             n = batch.column("n").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -65,6 +65,7 @@ def test_numbers_packed():
 @pytest.mark.parametrize("tile, most", [(200, 29), (similarity.TILE, 13)])
 def test_exact_with_small_tiles_and_with_full_maps(spark, monkeypatch, tile, most):
     monkeypatch.setattr(similarity, "TILE", tile)
+    monkeypatch.setattr(similarity, "LEAST_WEIGHT", 1)
     monkeypatch.setattr(setjoin, "MOST", most)
     texts = near_copies(60)
     sets = {i: runs_of(t) for i, t in enumerate(texts)}
@@ -159,3 +160,20 @@ def test_sweeps_write_no_pairs(spark, monkeypatch, tmp_path, name):
     got = rows(queries.QUERIES[name](spark, str(tmp_path)))
     assert len(got) == 13 and got[0] == (0.2, SWEPT[name])
     assert max(kept) < SWEPT[name] / 4
+
+
+def test_batches_are_worked_on_in_pieces(monkeypatch):
+    monkeypatch.setattr(setjoin, "PIECE", 10)
+    s = pa.array([[1] * 4, None, [2] * 6, [3], [4] * 30, [], [5] * 2])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), s], names=["id", "s"])
+    got = list(setjoin.pieces([batch, batch.slice(3)]))
+    assert [b.column("id").to_pylist() for b in got] == [[0, 1, 2], [3], [4], [5, 6], [3], [4], [5, 6]]
+    assert setjoin.flat(got[1].column("s"))[0].tolist() == [3]
+
+
+def test_small_sets_of_a_tile_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 4000)
+    sets = spark.createDataFrame([(i, [1, 2, 3, 100 + i % 7], 4) for i in range(100)], "id long, s array<bigint>, n int")
+    met = similarity._met(sets.withColumn("new", F.lit(None).cast("boolean")), 0.45, False)
+    assert met.groupBy("t", "u").count().agg(F.max("count")).first()[0] < 60
+    assert similarity.similar_pairs(sets).count() == 100 * 99 // 2
